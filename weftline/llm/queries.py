@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontamination
+from weftline.llm import decontamination, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +25,19 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_decontamination": op1_decontamination}
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document, its words without those of windows of twenty that stand earlier, too."""
+    found = substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"), size=20)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op8_substring_dedup": op8_substring_dedup,
+}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SPACED = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL = {
     "op1_decontamination": rf"""
@@ -44,4 +54,13 @@ found as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct
 select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
   sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join words using (doc_id) left join found using (doc_id)""",
+    "op8_substring_dedup": rf"""
+with d as (select doc_id, {_SPACED} as w from documents),
+win as (select doc_id, k, w[k:k + 19] as g from d, unnest(range(1, len(w) - 18)) as u(k)),
+ranked as (select doc_id, k, row_number() over (partition by g order by doc_id, k) as r from win),
+gone as (select distinct doc_id, p from ranked, unnest(range(k, k + 20)) as u(p) where r > 1),
+words as (select doc_id, p, w[p] as x from d, unnest(range(1, len(w) + 1)) as u(p)),
+kept as (select doc_id, string_agg(x, ' ' order by p) as t, count(*) as n from words anti join gone using (doc_id, p) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from d left join kept using (doc_id)""",
 }
