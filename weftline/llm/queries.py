@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontamination, substring_dedup
+from weftline.llm import decontamination, substring_dedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,13 +31,22 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page, its record as read back from the archives written for all pages."""
+    found = warc.archive(_read(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op8_substring_dedup": op8_substring_dedup,
+    "op10_warc": op10_warc,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _SPACED = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+#: Base32 of the hexadecimal digest d: eight letters of every five bytes.
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((cast('0x' || substr(d, {1 + 10 * g}, 10) as bigint) >> {35 - 5 * j}) & 31 as integer), 1)" for g in range(4) for j in range(8))
 
 ORACLE_SQL = {
     "op1_decontamination": rf"""
@@ -63,4 +72,10 @@ words as (select doc_id, p, w[p] as x from d, unnest(range(1, len(w) + 1)) as u(
 kept as (select doc_id, string_agg(x, ' ' order by p) as t, count(*) as n from words anti join gone using (doc_id, p) group by doc_id)
 select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256
 from d left join kept using (doc_id)""",
+    "op10_warc": f"""
+with p as (select page_id, coalesce(html, '') as h from pages),
+x as (select page_id, h, sha1(h) as d, min(page_id) over (partition by h) as o from p)
+select page_id, cast(octet_length(encode(h)) as bigint) as payload_bytes, {_BASE32} as payload_digest,
+  case when page_id = o then 'response' else 'revisit' end as record_type, case when page_id = o then null else o end as refers_to
+from x""",
 }
