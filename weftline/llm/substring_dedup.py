@@ -74,7 +74,7 @@ class _Chunk:
         near = np.zeros(n, bool)
         at = self.starts[hit[self.inverse]]
         if len(at) and n >= size:
-            near = W.covered(np.maximum(at - (size - block), 0), size - block + 1, n)
+            near = W.covered(np.maximum(at - (size - block), w.first[w.rows[at]]), at + 1, n)  # not beyond the row: chunks may be dealt in another order
             fits = np.zeros(n, bool)
             fits[: n - size + 1] = W.whole(w.rows, size)
             near &= fits
@@ -170,7 +170,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
         run = np.repeat(heads, np.diff(np.append(heads, len(group))))
         later = (ids != ids[run]) | (places != places[run]) | elsewhere[group]
-        gone = W.covered(starts[order[later]], size, n)
+        gone = W.covered(starts[order[later]], starts[order[later]] + size, n)
         return _cut(texts, c, gone)
 
     out = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("removed", pa.list_(pa.list_(pa.int64())))])

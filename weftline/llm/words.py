@@ -145,9 +145,8 @@ def batches(column: pa.Array, most: int):
         at = to
 
 
-def covered(begin: np.ndarray, size: int, n: int) -> np.ndarray:
-    """Which of n places lie in [b, b + size) for some b of begin."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, begin, 1)
-    np.add.at(edge, np.minimum(begin + size, n), -1)
+def covered(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places lie in one of the ranges [begin, end)."""
+    edge = np.bincount(begin, minlength=n + 1).astype(np.int64)
+    edge -= np.bincount(end, minlength=n + 1)
     return np.cumsum(edge[:n]) > 0
