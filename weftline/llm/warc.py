@@ -1,7 +1,7 @@
 """WARC archives with identical-payload revisits, and their index by external merge.
 
-write_archives() writes one record a page as plain WARC/1.1 files through Spark's text writer (any file system Spark
-knows). read_archives() reads them back whole file by whole file, so that payloads may hold anything, and cuts every
+write_archives() writes one record a page as WARC/1.1 files, each gzipped as a whole, through Spark's text writer (any
+file system Spark knows). read_archives() reads them back whole file by whole file, so that payloads may hold anything, and cuts every
 batch of files into a locally sorted run of captures. Runs are sliced at key borders, and each key range is merged from
 its slices by a k-way loser tree on (URL key, timestamp, page id): range after range, the output is in global order.
 
@@ -13,6 +13,7 @@ referred to unless all are null); an empty table gives an empty index; other col
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 
@@ -86,11 +87,11 @@ def write_archives(pages: DataFrame, path: str, timestamp: Column | None = None,
         F.lit("\r\n\r\n"),
     )
     # The writer's line end closes the record.
-    every.select(F.concat(head, block, F.lit("\r\n")).alias("value")).write.option("lineSep", "\r\n").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    every.select(F.concat(head, block, F.lit("\r\n")).alias("value")).write.option("lineSep", "\r\n").option("maxRecordsPerFile", RECORDS_A_FILE).option("compression", "gzip").text(path)
 
 
 def records(body: bytes):
-    """(offset, headers, block) of each record of a WARC file."""
+    """(offset, headers, block) of each record of an unpacked WARC file."""
     at = 0
     while at < len(body):
         end = body.index(b"\r\n\r\n", at)
@@ -175,7 +176,7 @@ def read_archives(spark: SparkSession, path: str, at: list[tuple]) -> DataFrame:
         for batch in parts:
             for file, content in zip(batch.column("path"), batch.column("content"), strict=True):
                 name, found = file.as_py(), []
-                for offset, headers, block in records(content.as_py()):
+                for offset, headers, block in records(gzip.decompress(content.as_py())):
                     found.append(_capture(name, offset, headers, block))
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), _CAPTURE.types, strict=True)], names=_CAPTURE.names)
 
