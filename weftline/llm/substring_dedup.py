@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from weftline.llm import words as W
 
-CHUNK_BYTES = 8_000_000
-PART_BYTES = 12_000_000
+CHUNK_BYTES = 4_000_000
+PART_BYTES = 8_000_000
 _LAST = np.iinfo(np.int64).max
 _ENTRY = "p int, chunk int, n int, hashes binary, more binary, hits binary"
 _BITS = "chunk int, p int, n int, bits binary, hits binary"
@@ -92,6 +92,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chunks, parts = max(1, -(-total // CHUNK_BYTES)), max(1, -(-total // PART_BYTES))
     dealt = source.select(F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"), "id", "text").repartition(chunks, "chunk")
 
+    def lean(f):
+        """f, whose memory is given back after each group."""
+
+        def call(*tables: pa.Table) -> pa.Table:
+            try:
+                return f(*tables)
+            finally:
+                W.release()
+
+        return (lambda a: call(a)) if f in (probe, meet, own) else (lambda a, b: call(a, b))
+
     def probe(table: pa.Table) -> pa.Table:
         c = _Chunk(table, block)
         indexed = np.zeros(len(c.blocks), bool)
@@ -174,11 +185,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return _cut(texts, c, gone)
 
     out = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("removed", pa.list_(pa.list_(pa.int64())))])
-    entries = dealt.groupBy("chunk").applyInArrow(probe, _ENTRY)
-    hits = entries.groupBy("p").applyInArrow(meet, _BITS)
-    windows = dealt.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(extend, _ENTRY)
-    found = windows.groupBy("p").applyInArrow(own, _BITS)
-    return dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(finish, "id long, n_words long, n_removed long, kept string, removed array<array<bigint>>")
+    entries = dealt.groupBy("chunk").applyInArrow(lean(probe), _ENTRY)
+    hits = entries.groupBy("p").applyInArrow(lean(meet), _BITS)
+    windows = dealt.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(lean(extend), _ENTRY)
+    found = windows.groupBy("p").applyInArrow(lean(own), _BITS)
+    return dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(lean(finish), "id long, n_words long, n_removed long, kept string, removed array<array<bigint>>")
 
 
 def _table(rows: list[tuple], ddl: str) -> pa.Table:
@@ -201,7 +212,7 @@ def _cut(texts: pa.Table, c: _Chunk, gone: np.ndarray) -> pa.Table:
     keep[w.ends[between]] = True
     body[w.ends[between]] = 0x20
     _, offsets = W.raw(texts.column("text"))
-    lengths = np.concatenate([[0], np.cumsum(keep)])[offsets]
+    lengths = np.concatenate([[0], np.cumsum(keep, dtype=np.int32)])[offsets]
     kept = pa.LargeStringArray.from_buffers(docs, pa.py_buffer(lengths.astype(np.int64)), pa.py_buffer(body[keep].tobytes())).cast(pa.string())
     words = np.diff(w.first)
     removed = np.bincount(w.rows, gone, docs).astype(np.int64) if len(w.rows) else np.zeros(docs, np.int64)

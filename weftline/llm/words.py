@@ -7,6 +7,8 @@ with a 64-bit mixer; windows of words are hashed the same way over the words' ha
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from typing import NamedTuple
 
 import numpy as np
@@ -135,6 +137,13 @@ def whole(rows: np.ndarray, size: int) -> np.ndarray:
     return rows[size - 1 :] == rows[: len(rows) - size + 1] if len(rows) >= size else np.zeros(0, bool)
 
 
+def release() -> None:
+    """Gives freed memory back to the system, so that a reused worker does not keep the most it ever held."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def batches(column: pa.Array, most: int):
     """(from, to) row ranges of about most bytes of text each."""
     _, offsets = raw(column)
