@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontamination, substring_dedup, warc
+from weftline.llm import decontamination, quality_rules, substring_dedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document, its counts, the base rule and the verdict of the threshold table."""
+    found = quality_rules.measure(_read(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per page, its record as read back from the archives written for all pages."""
     found = warc.archive(_read(spark, sf_dir, "pages"))
@@ -40,11 +46,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _SPACED = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_STOPS = ", ".join(f"'{x}'" for x in sorted({x for own in quality_rules.STOP_WORDS.values() for x in own}))
 #: Base32 of the hexadecimal digest d: eight letters of every five bytes.
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((cast('0x' || substr(d, {1 + 10 * g}, 10) as bigint) >> {35 - 5 * j}) & 31 as integer), 1)" for g in range(4) for j in range(8))
 
@@ -78,4 +86,24 @@ x as (select page_id, h, sha1(h) as d, min(page_id) over (partition by h) as o f
 select page_id, cast(octet_length(encode(h)) as bigint) as payload_bytes, {_BASE32} as payload_digest,
   case when page_id = o then 'response' else 'revisit' end as record_type, case when page_id = o then null else o end as refers_to
 from x""",
+    "op9_quality_rules": rf"""
+with d as (
+  select doc_id, coalesce(text, '') as t, {_SPACED} as w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l
+  from documents),
+tri as (select doc_id, k, w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] as g from d, unnest(range(1, len(w) - 1)) as u(k)),
+rep as (select doc_id, k from (select *, count(*) over (partition by doc_id, g) as c from tri) where c > 1),
+cov as (select doc_id, count(distinct p) as n from rep, unnest(range(k, k + 3)) as u(p) group by doc_id),
+m as (
+  select doc_id, cast(len(w) as bigint) as n_words, cast(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) as bigint) as word_chars,
+    cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+    cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines, cast(coalesce(n, 0) as bigint) as n_repeat_words,
+    (length(t) - length(replace(t, '!!', ''))) / 2 as shout, len(l) as n_lines,
+    len(list_filter(w, lambda x: list_contains([{_STOPS}], lower(x)))) as stops
+  from d left join cov using (doc_id)),
+b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, greatest(n_words, 1) as g from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and word_chars / g >= 2 and word_chars / g <= 15 and n_symbols / g <= 0.3e0 and shout / g <= 0.3e0 and stops / g >= 0.05e0
+    and n_dup_lines / greatest(n_lines, 1) <= 0.5 as kept
+from b""",
 }
