@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontamination, quality_rules, substring_dedup, warc
+from weftline.llm import chat_format, decontamination, quality_rules, substring_dedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,25 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation, what is read back from its formatted text; conversation -1 says control strings."""
+    extra = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    found = chat_format.format_trees(chat_format.chains(rows))
+    roles, texts = chat_format.read_turns(F.col("formatted"))
+    back = found.select("conv", "formatted", roles.alias("roles"), texts.alias("texts"), F.concat_ws("", F.transform("loss_spans", lambda s: F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"]))).alias("masked"))
+    loss = chat_format.unescape(F.col("masked"))
+    turns = F.concat_ws("", F.zip_with("roles", "texts", lambda r, t: F.concat(r, F.lit("\n"), t, F.lit("\n"))))
+    return back.select(
+        F.col("conv").alias("conv_id"),
+        F.size("roles").cast("long").alias("n_turns"),
+        F.sha2(turns, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document, its words without those of windows of twenty that stand earlier, too."""
     found = substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"), size=20)
@@ -45,6 +64,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op6_chat_format": op6_chat_format,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
@@ -53,6 +73,15 @@ QUERIES = {
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _SPACED = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _STOPS = ", ".join(f"'{x}'" for x in sorted({x for own in quality_rules.STOP_WORDS.values() for x in own}))
+
+
+def _escaped(column: str) -> str:
+    doubled = rf"replace({column}, '\', '\\')"
+    angle = rf"regexp_replace({doubled}, '<(\||/?s>|</?SYS>>)', '<\\\1', 'g')"
+    square = rf"regexp_replace({angle}, '\[(/?INST\])', '[\\\1', 'g')"
+    return rf"regexp_replace({square}, '\|(>)', '|\\\1', 'g')"
+
+
 #: Base32 of the hexadecimal digest d: eight letters of every five bytes.
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((cast('0x' || substr(d, {1 + 10 * g}, 10) as bigint) >> {35 - 5 * j}) & 31 as integer), 1)" for g in range(4) for j in range(8))
 
@@ -106,4 +135,14 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   not base_failed and word_chars / g >= 2 and word_chars / g <= 15 and n_symbols / g <= 0.3e0 and shout / g <= 0.3e0 and stops / g >= 0.05e0
     and n_dup_lines / greatest(n_lines, 1) <= 0.5 as kept
 from b""",
+    "op6_chat_format": rf"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e as (select *, {_escaped("role")} as r, {_escaped("text")} as t from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum({len(chat_format.OPEN) + len(chat_format.NAMED) + len(chat_format.CLOSE)} + length(r) + length(t)) as bigint) as formatted_chars
+from e group by conv_id""",
 }
