@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat_format, decontamination, quality_rules, substring_dedup, warc
+from weftline.llm import chat_format, decontamination, language_id, quality_rules, substring_dedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,14 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document, its language by prototypes learned from the documents that are not held out."""
+    docs = _read(spark, sf_dir, "documents")
+    prototypes = language_id.learn(docs.where(~language_id.held_out(F.col("doc_id"))))
+    found = language_id.predict(docs, prototypes, ["doc_id"])
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document, its words without those of windows of twenty that stand earlier, too."""
     found = substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"), size=20)
@@ -65,6 +73,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op6_chat_format": op6_chat_format,
+    "op7_language_id": op7_language_id,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
