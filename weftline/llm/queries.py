@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat_format, decontamination, language_id, pii, quality_rules, substring_dedup, warc
+from weftline.llm import chat_format, decontamination, language_id, ngram_join, pii, quality_rules, substring_dedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document, its class of near copies (five-word shingles, similarity 0.8 at least) and number of links."""
+    found = ngram_join.join(_read(spark, sf_dir, "documents"), threshold=0.8)
+    return found.select(F.col("id").alias("doc_id"), "class_id", "copy_id", "n_links")
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document, personal data by the base patterns, and with what the trained span classifier adds."""
     found = pii.find(_read(spark, sf_dir, "documents"), ["doc_id"])
@@ -78,6 +84,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op3_ngram_join": op3_ngram_join,
     "op5_pii": op5_pii,
     "op6_chat_format": op6_chat_format,
     "op7_language_id": op7_language_id,
@@ -161,4 +168,19 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
   cast(sum({len(chat_format.OPEN) + len(chat_format.NAMED) + len(chat_format.CLOSE)} + length(r) + length(t)) as bigint) as formatted_chars
 from e group by conv_id""",
+    "op3_ngram_join": rf"""
+with recursive d as (select doc_id, {_WORDS} as w from documents),
+s as (
+  select distinct doc_id, w[k:k + least(5, len(w)) - 1] as g
+  from d, unnest(range(1, len(w) - least(5, len(w)) + 2)) as u(k) where len(w) > 0),
+n as (select doc_id, count(*) as n from s group by doc_id),
+pairs as materialized (
+  select x.doc_id as a, y.doc_id as b, count(*) = max(nx.n) and count(*) = max(ny.n) as same
+  from s x join s y on x.g = y.g and x.doc_id <> y.doc_id join n nx on nx.doc_id = x.doc_id join n ny on ny.doc_id = y.doc_id
+  group by x.doc_id, y.doc_id having count(*) * 1.8 >= 0.8 * (max(nx.n) + max(ny.n))),
+reach as (select a, b from pairs union select r.a, p.b from reach r join pairs p on r.b = p.a)
+select doc_id, least(doc_id, coalesce((select min(b) from reach where a = doc_id), doc_id)) as class_id,
+  least(doc_id, coalesce((select min(b) from pairs where a = doc_id and same), doc_id)) as copy_id,
+  (select count(*) from pairs where a = doc_id) as n_links
+from d""",
 }
