@@ -40,16 +40,17 @@ def leaf_paths(messages: DataFrame) -> DataFrame:
     nodes = messages.select("conv", "id", "parent", "score")
     parents = nodes.select(F.col("conv").alias("c"), F.col("id").alias("anc"))
     known = (F.col("conv").eqNullSafe(F.col("c"))) & (F.col("parent") == F.col("anc"))
-    paths = cut(nodes.join(parents, known, "left").select("conv", "id", "anc", F.array("id").alias("path"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total")))
-    most = paths.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
-    for _ in range(most.bit_length()):  # a path that still has an ancestor then is on a cycle
-        if paths.where("anc is not null").isEmpty():
+    first = cut(nodes.join(parents, known, "left").select("conv", "id", "anc", F.array("id").alias("path"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total")))
+    done, climbing = first.where("anc is null"), first.where("anc is not null")
+    most = first.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(most.bit_length()):  # a path that is still climbing then is on a cycle
+        if climbing.isEmpty():
             break
-        up = paths.select(F.col("conv").alias("c"), F.col("id").alias("i"), F.col("anc").alias("a"), F.col("path").alias("p"), F.col("total").alias("t"))
-        joined = paths.join(up, (F.col("conv").eqNullSafe(F.col("c"))) & (F.col("anc") == F.col("i")), "left")
-        paths = cut(joined.select("conv", "id", F.col("a").alias("anc"), F.when(F.col("p").isNull(), F.col("path")).otherwise(F.concat("p", "path")).alias("path"), (F.col("total") + F.coalesce("t", F.lit(0.0))).alias("total")))
+        up = done.unionByName(climbing).select(F.col("conv").alias("c"), F.col("id").alias("i"), F.col("anc").alias("a"), F.col("path").alias("p"), F.col("total").alias("t"))
+        longer = cut(climbing.join(up, (F.col("conv").eqNullSafe(F.col("c"))) & (F.col("anc") == F.col("i"))).select("conv", "id", F.col("a").alias("anc"), F.concat("p", "path").alias("path"), (F.col("total") + F.col("t")).alias("total")))
+        done, climbing = done.unionByName(longer.where("anc is null")), longer.where("anc is not null")
     replied = nodes.select(F.col("conv").alias("c"), F.col("parent").alias("p")).where("p is not null").distinct()
-    leaves = paths.where("anc is null").join(replied, (F.col("conv").eqNullSafe(F.col("c"))) & (F.col("id") == F.col("p")), "left_anti")
+    leaves = done.join(replied, (F.col("conv").eqNullSafe(F.col("c"))) & (F.col("id") == F.col("p")), "left_anti")
     return leaves.select("conv", F.col("id").alias("leaf"), "path", (F.col("total") / F.size("path")).alias("score"))
 
 
