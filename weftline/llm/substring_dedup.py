@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import words as W
+from weftline.llm.exchange import packed, planes, slices, table_of, unbits, unplaned
 
 CHUNK_BYTES = 4_000_000
 PART_BYTES = 8_000_000
@@ -31,32 +32,6 @@ _ENTRY = "p int, chunk int, n int, hashes binary, more binary, hits binary"
 _BITS = "chunk int, p int, n int, bits binary, hits binary"
 
 
-def planes(values: np.ndarray, width: int) -> bytes:
-    """The low width bytes of 64-bit values, one byte plane after another: sorted values compress well so."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
-
-
-def unplaned(body: bytes, width: int) -> np.ndarray:
-    n = len(body) // width
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(body, np.uint8).reshape(width, n).T
-    return out.view("<u8").reshape(-1).astype(np.uint64)
-
-
-def _bits(mask: np.ndarray) -> bytes:
-    return np.packbits(mask).tobytes()
-
-
-def _unbits(body: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(body, np.uint8), count=n).astype(bool)
-
-
-def _slices(sorted_hashes: np.ndarray, parts: int) -> np.ndarray:
-    """Borders of the parts, which are ranges of the hash."""
-    p = ((sorted_hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    return np.searchsorted(p, np.arange(parts + 1, dtype=np.uint64))
-
-
 class _Chunk:
     """Words of a chunk and its distinct rolling blocks."""
 
@@ -107,19 +82,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         c = _Chunk(table, block)
         indexed = np.zeros(len(c.blocks), bool)
         indexed[c.inverse[c.place[c.starts] % block == 0]] = True
-        chunk, at, rows = table.column("chunk")[0].as_py(), _slices(c.blocks, parts), []
+        chunk, at, rows = table.column("chunk")[0].as_py(), slices(c.blocks, parts), []
         for p in range(parts):
             own = slice(at[p], at[p + 1])
             n = int(at[p + 1] - at[p])
             if n:
-                rows.append((p, chunk, n, planes(c.blocks[own] >> np.uint64(16), 6), _bits(indexed[own]) + _bits(c.counts[own] > 1), None))
-        return _table(rows, _ENTRY)
+                rows.append((p, chunk, n, planes(c.blocks[own] >> np.uint64(16), 6), packed(indexed[own]) + packed(c.counts[own] > 1), None))
+        return table_of(rows, _ENTRY)
 
     def meet(table: pa.Table) -> pa.Table:
         """Blocks that are indexed and occur twice: a bit for every distinct block of every chunk."""
         rows = table.select(["chunk", "p", "n", "hashes", "more"]).to_pylist()
         value = np.concatenate([unplaned(r["hashes"], 6) for r in rows])
-        flags = [_unbits(r["more"], 8 * len(r["more"])).reshape(2, -1)[:, : r["n"]] for r in rows]
+        flags = [unbits(r["more"], 8 * len(r["more"])).reshape(2, -1)[:, : r["n"]] for r in rows]
         indexed, several = (np.concatenate([f[k] for f in flags]) for k in (0, 1))
         order = np.argsort(value, kind="stable")
         group = np.cumsum(np.concatenate([[False], value[order][1:] != value[order][:-1]]))
@@ -127,31 +102,31 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         bits = np.empty(len(value), bool)
         bits[order] = hit[group]
         ends = np.cumsum([r["n"] for r in rows])
-        return _table([(r["chunk"], r["p"], r["n"], _bits(bits[e - r["n"] : e]), None) for r, e in zip(rows, ends.tolist(), strict=True)], _BITS)
+        return table_of([(r["chunk"], r["p"], r["n"], packed(bits[e - r["n"] : e]), None) for r, e in zip(rows, ends.tolist(), strict=True)], _BITS)
 
     def answers(table: pa.Table, column: str, n: int, at: np.ndarray) -> np.ndarray:
         out = np.zeros(n, bool)
         for r in table.select(["p", "n", column]).to_pylist():
             if r["n"]:
-                out[at[r["p"]] : at[r["p"] + 1]] = _unbits(r[column], r["n"])
+                out[at[r["p"]] : at[r["p"] + 1]] = unbits(r[column], r["n"])
         return out
 
     def extend(texts: pa.Table, hits: pa.Table) -> pa.Table:
         if not len(texts):
-            return _table([], _ENTRY)
+            return table_of([], _ENTRY)
         c = _Chunk(texts, block)
-        hit = answers(hits, "bits", len(c.blocks), _slices(c.blocks, parts))
+        hit = answers(hits, "bits", len(c.blocks), slices(c.blocks, parts))
         starts, hashes = c.candidates(hit, block, size)
-        chunk, known = texts.column("chunk")[0].as_py(), _bits(hit)
+        chunk, known = texts.column("chunk")[0].as_py(), packed(hit)
         distinct, inverse = np.unique(hashes, return_inverse=True)
         first = np.full(len(distinct), _LAST, np.int64)
         np.minimum.at(first, inverse, c.ids[c.words.rows[starts]])
-        at, rows = _slices(distinct, parts), [(chunk % parts, chunk, 0, b"", b"", known)]
+        at, rows = slices(distinct, parts), [(chunk % parts, chunk, 0, b"", b"", known)]
         for p in range(parts):
             own = slice(at[p], at[p + 1])
             if at[p + 1] > at[p]:
                 rows.append((p, chunk, int(at[p + 1] - at[p]), planes(distinct[own], 8), planes(first[own].view(np.uint64), 8), None))
-        return _table(rows, _ENTRY)
+        return table_of(rows, _ENTRY)
 
     def own(table: pa.Table) -> pa.Table:
         """A bit for every distinct window of every chunk: whether a smaller id in another chunk has it."""
@@ -165,16 +140,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             least = np.repeat(np.minimum.reduceat(ids[order], heads), np.diff(np.append(heads, len(value))))
             bits[order] = ids[order] > least
         ends = np.cumsum([r["n"] for r in rows])
-        return _table([(r["chunk"], r["p"], r["n"], _bits(bits[e - r["n"] : e]), r["hits"]) for r, e in zip(rows, ends.tolist(), strict=True)], _BITS)
+        return table_of([(r["chunk"], r["p"], r["n"], packed(bits[e - r["n"] : e]), r["hits"]) for r, e in zip(rows, ends.tolist(), strict=True)], _BITS)
 
     def finish(texts: pa.Table, found: pa.Table) -> pa.Table:
         if not len(texts):
             return pa.table({"id": [], "n_words": [], "n_removed": [], "kept": [], "removed": []}, schema=out)
         c = _Chunk(texts, block)
         known = next(h for h in found.column("hits").to_pylist() if h is not None)
-        starts, hashes = c.candidates(_unbits(known, len(c.blocks)), block, size)
+        starts, hashes = c.candidates(unbits(known, len(c.blocks)), block, size)
         distinct, inverse = np.unique(hashes, return_inverse=True)
-        elsewhere = answers(found, "bits", len(distinct), _slices(distinct, parts))
+        elsewhere = answers(found, "bits", len(distinct), slices(distinct, parts))
         w, n = c.words, len(c.words.hashes)
         order = np.lexsort((c.place[starts], c.ids[w.rows[starts]], inverse))
         ids, places, group = c.ids[w.rows[starts]][order], c.place[starts][order], inverse[order]
@@ -192,12 +167,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(lean(finish), "id long, n_words long, n_removed long, kept string, removed array<array<bigint>>")
 
 
-def _table(rows: list[tuple], ddl: str) -> pa.Table:
-    kinds = {"int": pa.int32(), "binary": pa.binary()}
-    fields = [x.split() for x in ddl.split(", ")]
-    return pa.table([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)], names=[n for n, _ in fields])
-
-
 def _cut(texts: pa.Table, c: _Chunk, gone: np.ndarray) -> pa.Table:
     """The kept words of every row, cut out of the bytes at once."""
     w = c.words
