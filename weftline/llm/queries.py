@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat_format, decontamination, language_id, ngram_join, pii, quality_rules, substring_dedup, warc
+from weftline.llm import chat_format, decontamination, language_id, mixing, ngram_join, pii, quality_rules, substring_dedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,12 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "class_id", "copy_id", "n_links")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document, its place in the mixture of all sources by the square roots of their sizes."""
+    found = mixing.mix(_read(spark, sf_dir, "documents").select("doc_id", "source"), block=16)
+    return found.select("doc_id", "source", "mix_slot", "mix_phase", "mix_position")
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document, personal data by the base patterns, and with what the trained span classifier adds."""
     found = pii.find(_read(spark, sf_dir, "documents"), ["doc_id"])
@@ -85,6 +91,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_ngram_join": op3_ngram_join,
+    "op4_mixing": op4_mixing,
     "op5_pii": op5_pii,
     "op6_chat_format": op6_chat_format,
     "op7_language_id": op7_language_id,
