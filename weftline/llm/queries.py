@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat_format, decontamination, language_id, mixing, ngram_join, pii, quality_rules, substring_dedup, warc
+from weftline.llm import chat_format, decontamination, language_id, lm_scoring, mixing, ngram_join, pii, quality_rules, substring_dedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document, how much less a model of the good documents is surprised by it than a model of all others."""
+    good = _read(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    found = lm_scoring.score(_read(spark, sf_dir, "documents"), good, k=0.1)
+    return found.select(F.col("id").alias("doc_id"), "is_target", "n_tokens", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document, its class of near copies (five-word shingles, similarity 0.8 at least) and number of links."""
     found = ngram_join.join(_read(spark, sf_dir, "documents"), threshold=0.8)
@@ -90,6 +97,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_ngram_join": op3_ngram_join,
     "op4_mixing": op4_mixing,
     "op5_pii": op5_pii,
@@ -190,4 +198,21 @@ select doc_id, least(doc_id, coalesce((select min(b) from reach where a = doc_id
   least(doc_id, coalesce((select min(b) from pairs where a = doc_id and same), doc_id)) as copy_id,
   (select count(*) from pairs where a = doc_id) as n_links
 from d""",
+    "op2_lm_scoring": rf"""
+with g as (select distinct doc_id from labels where quality = 1 and toxic = 0),
+d as (select doc_id, doc_id in (select doc_id from g) as is_target, {_WORDS} as w from documents),
+t as (select doc_id, is_target, case when k = 1 then '' else w[k - 1] end as v, w[k] as x from d, unnest(range(1, len(w) + 1)) as u(k)),
+vocabulary as (select count(distinct x) as size from t),
+own2 as (select doc_id, v, x, is_target, count(*) as n from t group by all),
+own1 as (select doc_id, v, is_target, count(*) as n from t group by all),
+all2 as (select v, x, sum(n) filter (is_target) as a, sum(n) filter (not is_target) as b from own2 group by v, x),
+all1 as (select v, sum(n) filter (is_target) as a, sum(n) filter (not is_target) as b from own1 group by v),
+loss as (
+  select o.doc_id, o.n,
+    ln(coalesce(a1.a, 0) - case when o.is_target then p.n else 0 end + 0.1e0 * size) - ln(coalesce(a2.a, 0) - case when o.is_target then o.n else 0 end + 0.1e0) as lt,
+    ln(coalesce(a1.b, 0) - case when o.is_target then 0 else p.n end + 0.1e0 * size) - ln(coalesce(a2.b, 0) - case when o.is_target then 0 else o.n end + 0.1e0) as lb
+  from own2 o join own1 p using (doc_id, v) join all2 a2 on a2.v = o.v and a2.x = o.x join all1 a1 on a1.v = o.v, vocabulary),
+mean as (select doc_id, sum(n * lt) / sum(n) as lt, sum(n * lb) / sum(n) as lb from loss group by doc_id)
+select d.doc_id, is_target, cast(len(w) as bigint) as n_tokens, round(lt, 6) as target_loss, round(lb, 6) as background_loss, round(lt - lb, 6) as score
+from d left join mean using (doc_id)""",
 }
