@@ -178,6 +178,8 @@ def read_archives(spark: SparkSession, path: str, at: list[tuple]) -> DataFrame:
                 name, found = file.as_py(), []
                 for offset, headers, block in records(gzip.decompress(content.as_py())):
                     found.append(_capture(name, offset, headers, block))
+                if not found:  # a writer without rows leaves an empty archive
+                    continue
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), _CAPTURE.types, strict=True)], names=_CAPTURE.names)
 
     def run(parts):
