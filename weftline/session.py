@@ -27,3 +27,13 @@ def get_session(app: str = "weftline", cpus: str | int = "*", shuffle_partitions
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df):
+    """The same rows with their lineage cut, in the folder of spark.checkpoint.dir (a temporary one where none is set)."""
+    import tempfile
+
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weftline-"))
+    return df.checkpoint(eager=True)
