@@ -1,6 +1,6 @@
 """The registered queries; importing the package enters them all."""
 
-from weftline.plans import event_plans, graph_plans, ranking_plans, retrieval_plans, summary_plans
+from weftline.plans import custom_plans, event_plans, graph_plans, ranking_plans, retrieval_plans, summary_plans
 from weftline.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "event_plans", "graph_plans", "ranking_plans", "retrieval_plans", "summary_plans"]
+__all__ = ["ORACLE_SQL", "QUERIES", "custom_plans", "event_plans", "graph_plans", "ranking_plans", "retrieval_plans", "summary_plans"]
