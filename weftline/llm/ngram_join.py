@@ -34,7 +34,7 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 VALUES = BANDS * ROWS
 STEP = 16
-BLOCK = 512
+BLOCK = 256
 PIECE = 1_000_000
 _MULTIPLIERS = W._mix(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)
 
