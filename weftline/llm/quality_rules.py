@@ -44,21 +44,30 @@ RULES = (
 )
 
 
+def _stop_pattern() -> str:
+    """Stop words between white space or the text's ends, alternatives grouped by their first letter."""
+    first: dict[str, set[str]] = {}
+    for word in {x for own in STOP_WORDS.values() for x in own}:
+        first.setdefault(word[0], set()).add(word[1:])
+    words = "|".join(f"{c}(?:{'|'.join(sorted(rest, key=lambda r: (-len(r), r)))})" for c, rest in sorted(first.items()))
+    return rf"(?<![^ \t\n\x0B\f\r])(?:{words})(?![^ \t\n\x0B\f\r])"
+
+
 def measure(docs: DataFrame, id_cols: list[str], text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The id columns, the counts and shares of every text, base_failed and kept."""
     words = r"array_remove(split(w_text, '[ \\t\\n\\x0B\\f\\r]+'), '')"
-    lines = r"filter(split(w_text, '\\n'), x -> x rlike '[^ \\t\\n\\x0B\\f\\r]')"
+    # Lines with a word, each from its start: blank ones never match, and no match is tried within a line.
+    lines = F.regexp_extract_all("w_text", F.lit(r"(?dm)^[ \t\x0B\f\r]*+[^ \t\n\x0B\f\r][^\n]*+"), F.lit(0))
     a = docs.select(*id_cols, F.coalesce(F.col(text_col), F.lit("")).alias("w_text"))
-    b = a.select(*id_cols, "w_text", F.expr(words).alias("w_words"), F.expr(lines).alias("w_lines"))
+    b = a.select(*id_cols, "w_text", F.expr(words).alias("w_words"), lines.alias("w_lines"))
     hashes = "case when size(w_words) < 3 then cast(array() as array<bigint>) else transform(sequence(0, size(w_words) - 3), i -> xxhash64(w_words[i], w_words[i + 1], w_words[i + 2])) end"
-    stops = ", ".join(f"'{x}'" for x in sorted({x for own in STOP_WORDS.values() for x in own}))
     c = b.select(
         *id_cols,
         F.size("w_words").cast("long").alias("n_words"),
         F.length(F.translate("w_text", " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
         (F.length("w_text") - F.length(F.translate("w_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.length("w_text") - F.length(F.replace("w_text", F.lit("!!"), F.lit("")))).cast("long").alias("w_shout"),
-        F.expr(f"size(filter(w_words, x -> lower(x) in ({stops})))").alias("w_stop"),
+        F.regexp_count(F.lower("w_text"), F.lit(_stop_pattern())).alias("w_stop"),
         F.size("w_lines").alias("w_n_lines"),
         (F.size("w_lines") - F.size(F.array_distinct("w_lines"))).cast("long").alias("n_dup_lines"),
         F.expr(hashes).alias("w_hashes"),
