@@ -28,6 +28,20 @@ def identifier_tokens(text: Column, unicode: bool = False) -> Column:
     return F.flatten(F.transform(_all(text, UNICODE_IDENTIFIER if unicode else IDENTIFIER), own))
 
 
+def identifier_bag(text: Column) -> Column:
+    """T01 in any order: the same tokens as identifier_tokens, for counting. Only texts with compound names pay for parts."""
+    safe = F.coalesce(text, F.lit(""))
+    whole = _all(F.translate(safe, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[a-z_$][a-z0-9_$]*|[0-9]+")
+
+    def parts(raw: Column) -> Column:
+        apart = F.replace(F.regexp_replace(raw, "([a-z0-9])([A-Z])", "$1 $2"), F.lit("_"), F.lit(" "))
+        return F.filter(F.transform(F.split(apart, " +"), F.lower), lambda p: (p != "") & (p != F.lower(raw)))
+
+    compound = "_|[a-z0-9][A-Z]"
+    named = F.filter(_all(text, IDENTIFIER), lambda t: t.rlike(compound))
+    return F.when(safe.rlike(compound), F.concat(whole, F.flatten(F.transform(named, parts)))).otherwise(whole)
+
+
 def aliases(name: Column) -> Column:
     """T02. Ordered distinct lower-case parts of a name at case borders, separators and other signs."""
     spaced = F.regexp_replace(F.trim(F.coalesce(name, F.lit(""))), r"([a-z0-9$])([A-Z])", "$1 $2")

@@ -19,7 +19,7 @@ def tokens_sql(c: str = "text") -> str:
 @query(f"select term, count(*) as tf, count(distinct doc_id) as df from (select doc_id, unnest({tokens_sql()}) as term from documents) group by term")
 def tokenize_terms(spark, sf_dir):
     """Every term's total and document frequency."""
-    posts = R.postings(table(spark, sf_dir, "documents"), ["doc_id"], X.identifier_tokens(F.col("text")))
+    posts = R.postings(table(spark, sf_dir, "documents"), ["doc_id"], X.identifier_bag(F.col("text")))
     return posts.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
 
 
@@ -52,14 +52,14 @@ def term_sets(spark, sf_dir):
 @query(f"select n as df, count(*) as n_terms from (select term, count(distinct doc_id) as n from (select doc_id, unnest({tokens_sql()}) as term from documents) group by term) group by n")
 def posting_histogram(spark, sf_dir):
     """How many terms have postings of each length."""
-    posts = R.postings(table(spark, sf_dir, "documents"), ["doc_id"], X.identifier_tokens(F.col("text")))
+    posts = R.postings(table(spark, sf_dir, "documents"), ["doc_id"], X.identifier_bag(F.col("text")))
     return R.document_frequency(posts).groupBy("df").agg(F.count("*").alias("n_terms"))
 
 
 @query(f"select lang, round(avg(len({tokens_sql()})), 6) as avg_len, count(*) as n_docs from documents group by lang")
 def avg_doc_len(spark, sf_dir):
     """Mean length in tokens by language, empty documents included."""
-    d = table(spark, sf_dir, "documents").select("lang", F.size(X.identifier_tokens(F.col("text"))).alias("n"))
+    d = table(spark, sf_dir, "documents").select("lang", F.size(X.identifier_bag(F.col("text"))).alias("n"))
     return d.groupBy("lang").agg(F.round(F.avg("n"), 6).alias("avg_len"), F.count("*").alias("n_docs"))
 
 

@@ -37,3 +37,9 @@ def cut(df):
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weftline-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df):
+    """df over at least as many partitions as there are cores: only inputs of fewer (small files) are dealt anew."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
