@@ -27,14 +27,14 @@ def difflib_match(spark, sf_dir):
 
 @query()
 def lcs_chunks(spark, sf_dir):
-    """Three chunks of five lines nearest to each benchmark item's first line, per document of its first best hit."""
+    """Three chunks of five lines nearest to each benchmark item's whole text, in the document of its best hit."""
     from weftline.operators import retrieval as R
 
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     docs = table(spark, sf_dir, "documents")
     hit = R.bm25(docs, items, 1).select("query_id", "doc_id")
-    chunks = docs.join(hit, "doc_id").join(items.select("query_id", F.substring_index("text", "\n", 1).alias("line")), "query_id").select("query_id", "doc_id", "line", F.inline(X.fixed_chunks(F.col("text"), 5)))
-    scored = chunks.withColumn("score", F.round(Z.chunk_ratio(F.col("chunk"), F.col("line")), 6))
+    chunks = docs.join(hit, "doc_id").join(items.select("query_id", F.col("text").alias("item")), "query_id").select("query_id", "doc_id", "item", F.inline(X.fixed_chunks(F.col("text"), 5)))
+    scored = chunks.withColumn("score", F.round(Z.chunk_ratio(F.col("chunk"), F.col("item")), 6))
     return R.top_k(scored, 3, [F.desc("score"), F.col("start")]).select("query_id", "doc_id", "start", "end", "score", F.col("rank").cast("long").alias("rank"))
 
 
