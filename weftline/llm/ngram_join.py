@@ -11,8 +11,9 @@ a bucket that holds a third of all rows is spread over many tasks. A pair counts
 Groups report their classes' link counts and a tree of links, and connected components give the class ids.
 
 Defined results: rows of null ids, and of texts without words, are no one's copies and have no links; rows that repeat
-an id and text are copies of each other; of ties the smallest id stands for its class; an empty table gives an empty
-result; other columns are not read. Sets are compared by 64-bit shingle hashes. With 32 bands of four values a pair of
+an id and text are copies of each other; of ties the smallest id stands for its class; rows that share an id but not a
+text are judged by their texts, so classes that are not linked stay apart even if their least ids are equal; an empty
+table gives an empty result; other columns are not read. Sets are compared by 64-bit shingle hashes. With 32 bands of four values a pair of
 similarity 0.8 is missed as a candidate with probability 5e-8.
 """
 
@@ -24,7 +25,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import words as W
@@ -152,12 +153,15 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("node", "label")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
-    """Per document: id, copy_id (least id of equal sets), class_id (least id of those linked by any path) and n_links.
+def _digest(text_col: str) -> Column:
+    """Tells texts apart, null from empty, too."""
+    return F.coalesce(F.md5(F.col(text_col)), F.lit(""))
 
-    n_links counts the other documents whose similarity is at least the threshold, copies included.
-    """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
+    """Per document: id, digest (of its text), key (of its shingles, null if it has none or no id), rep (least id of equal
+    sets), size (their number), links (to other sets) and label (least id and key of those linked by any path, if any)."""
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), _digest(text_col).alias("digest"))
 
     def sketch(parts):
         for batch in parts:
@@ -167,9 +171,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
                 sig = minhashes(value, first)
                 keys = [hashlib.blake2b(value[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 keys = [None if i is None else k for i, k in zip(rows.column("id").to_pylist(), keys, strict=True)]
-                yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(keys, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())], names=["id", "key", "sig"])
+                yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("digest"), pa.array(keys, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())], names=["id", "digest", "key", "sig"])
 
-    sketches = cut(source.mapInArrow(sketch, "id long, key binary, sig binary"))
+    sketches = cut(source.mapInArrow(sketch, "id long, digest string, key binary, sig binary"))
     full = sketches.where("key is not null")
     classes = full.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("size"))
     kept = cut(classes.join(full.select("key", F.col("id").alias("rep"), "sig"), ["key", "rep"]).dropDuplicates(["key"]))
@@ -223,7 +227,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
         n = np.zeros(len(rep), np.int64)
         np.add.at(n, i, size[j])
         np.add.at(n, j, size[i])
-        near = rep.copy()  # a link of every class to a smaller one, or to itself where it is least
+        keys = table.column("key").to_pylist()
+        order = np.array(sorted(range(len(rep)), key=lambda x: (rep[x], keys[x])), np.int64)
+        near = np.argsort(order)  # a link of every class to a smaller one by (rep, key), or to itself where it is least
         while True:
             before = near.copy()
             np.minimum.at(near, i, before[j])
@@ -231,30 +237,52 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
             if (near == before).all():
                 break
         hit = np.flatnonzero(n)
-        return pa.table({"key": table.column("key").take(pa.array(hit)), "rep": pa.array(rep[hit]), "near": pa.array(near[hit]), "n": pa.array(n[hit])})
+        near = order[near[hit]]
+        return pa.table({"key": table.column("key").take(pa.array(hit)), "rep": pa.array(rep[hit]), "near_key": table.column("key").take(pa.array(near)), "near": pa.array(rep[near]), "n": pa.array(n[hit])})
 
-    found = cut(left.join(told, "key").groupBy(*names).applyInArrow(lambda t: verify(t), "key binary, rep long, near long, n long"))
+    found = cut(left.join(told, "key").groupBy(*names).applyInArrow(lambda t: verify(t), "key binary, rep long, near_key binary, near long, n long"))
     links = found.groupBy("key").agg(F.sum("n").alias("links"))
-    labels = components(found.select(F.col("rep").alias("a"), F.col("near").alias("b")))
-    named = classes.join(links, "key", "left").join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", "size", "links", "label")
-    return sketches.select("id", "key").join(named, "key", "left").select(
+    pair = lambda i, k: F.struct(F.col(i).alias("id"), F.col(k).alias("key"))
+    labels = components(found.select(pair("rep", "key").alias("a"), pair("near", "near_key").alias("b"))).select(F.col("node.key").alias("key"), "label")
+    named = classes.join(links, "key", "left").join(labels, "key", "left").select("key", "rep", "size", "links", "label")
+    return sketches.select("id", "digest", "key").join(named, "key", "left").select("id", "digest", "key", "rep", "size", "links", "label")
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
+    """Per document: id, copy_id (least id of equal sets), class_id (least id of those linked by any path) and n_links.
+
+    n_links counts the other documents whose similarity is at least the threshold, copies included. Where an id repeats
+    with other texts, unlinked classes can have the same least id and thus class_id; linked() tells them apart.
+    """
+    return linked(docs, id_col, text_col, threshold, tolerance).select(
         "id",
         F.coalesce("rep", "id").alias("copy_id"),
-        F.coalesce("label", "rep", "id").alias("class_id"),
+        F.coalesce("label.id", "rep", "id").alias("class_id"),
         F.when(F.col("key").isNull(), F.lit(0)).otherwise(F.col("size") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
     )
 
 
+def _free(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """The documents without those linked to one of a smaller id; rows that repeat an id of a class stay once.
+    """One document of every class of linked ones: that of the least id; if several texts of the class have this id, the
+    text of the least MD5; if rows repeat an id and text, the least by their columns from left to right.
 
-    Rows of null ids all stay. All columns are kept.
+    Rows of null ids all stay, and so do texts without words, but for repeats of an id and text. All columns are kept.
     """
-    found = join(docs, id_col, text_col, threshold)
-    gone = found.where("id <> class_id").select(F.col("id").alias("w_gone")).distinct()
-    stay = docs.join(gone, docs[id_col] == gone["w_gone"], "left_anti")
-    twice = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
-    if twice.isEmpty():
-        return stay
-    known = stay.where(F.col(id_col).isNotNull())
-    return known.dropDuplicates([id_col]).unionByName(stay.where(F.col(id_col).isNull()))
+    found = cut(linked(docs, id_col, text_col, threshold).where("id is not null").select("id", "digest", F.coalesce("label.key", "key").alias("class"), F.coalesce("label.id", "rep", "id").alias("least")))
+    first = found.where("class is not null and id = least").select("class", "id", "digest").distinct()
+    best = first.groupBy("class").agg(F.min("digest").alias("best"), F.count("*").alias("n")).where("n > 1").select("class", "best")
+    other = first.join(best, "class").where("digest <> best").select("id", "digest")
+    gone = found.where("id <> least").select("id", "digest").unionByName(other).distinct().select(F.col("id").alias("w_gone"), F.col("digest").alias("w_text"))
+    own, row = _free("w_digest", docs.columns), _free("w_row", docs.columns)
+    marked = docs.withColumn(own, _digest(text_col))
+    stay = marked.join(gone, (marked[id_col].cast("long") == gone["w_gone"]) & (marked[own] == gone["w_text"]), "left_anti")
+    if found.groupBy("id", "digest").count().where("count > 1").isEmpty():
+        return stay.drop(own)
+    known = stay.where(F.col(id_col).isNotNull()).groupBy(id_col, own).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias(row))
+    return known.select(*(F.col(f"{row}.`{c}`").alias(c) for c in docs.columns)).unionByName(stay.where(F.col(id_col).isNull()).drop(own))
