@@ -7,8 +7,8 @@ from its rarest term (by the shard's own posting counts) and intersects the offs
 in order of rarity.
 
 Defined results: null and empty texts have no words and no matches; a test item with fewer words than a window is one
-window; repeated documents are judged row by row, repeated item ids count once; an empty table gives an empty result;
-other columns of the inputs are not read.
+window; repeated documents are judged row by row, repeated item ids count once; items of null ids are searched like
+others, but not listed; an empty table gives an empty result; other columns of the inputs are not read.
 """
 
 from __future__ import annotations
@@ -64,8 +64,8 @@ class TestSet:
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[str, str]], size: int):
-        self.ids = sorted({k for k, _ in items})
+    def __init__(self, items: list[tuple[str | None, str]], size: int):
+        self.ids: list[str | None] = sorted({k for k, _ in items}, key=lambda k: (k is None, k or ""))
         place = {k: i for i, k in enumerate(self.ids)}
         w = W.words_of(pa.array([t for _, t in items], pa.string()), "letters")
         self.terms, word = np.unique(w.hashes, return_inverse=True)
@@ -178,7 +178,7 @@ def search(index: DataFrame, items: DataFrame, item_id: str = "item_id", item_te
     the driver in blocks of BLOCK_BYTES; each block is matched against all shards and the blocks' results are merged.
     """
     spark = index.sparkSession
-    source = items.select(F.col(item_id).cast("string").alias("k"), F.coalesce(F.col(item_text), F.lit("")).alias("t")).where(F.col("k").isNotNull())
+    source = items.select(F.col(item_id).cast("string").alias("k"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
     total = source.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
     out = T.StructType(
@@ -194,7 +194,7 @@ def search(index: DataFrame, items: DataFrame, item_id: str = "item_id", item_te
     )
 
     def block(b: int) -> DataFrame:
-        rows = [(r.k, r.t) for r in source.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).toLocalIterator()]
+        rows = [(r.k, r.t) for r in source.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == b).toLocalIterator()]
         sent = spark.sparkContext.broadcast(TestSet(rows, size))
 
         def match(parts):
@@ -231,8 +231,8 @@ def search(index: DataFrame, items: DataFrame, item_id: str = "item_id", item_te
                             ids,
                             pa.array(lengths, pa.int64()),
                             pa.array([m[0] for m in marks], pa.list_(pa.list_(pa.int64()))),
-                            pa.array([sorted(m[1]) for m in marks], pa.list_(pa.string())),
-                            pa.array([sorted(m[2] - m[1]) for m in marks], pa.list_(pa.string())),
+                            pa.array([sorted(m[1] - {None}) for m in marks], pa.list_(pa.string())),
+                            pa.array([sorted(m[2] - m[1] - {None}) for m in marks], pa.list_(pa.string())),
                         ],
                         names=out.names,
                     )
@@ -258,6 +258,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 10) -> DataFrame:
-    """The documents in which no window of an item occurs, with their columns."""
-    hit = decontaminate(docs, items, id_col, text_col, size).where("n_hit > 0").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(hit, docs[id_col].eqNullSafe(hit[id_col]), "left_anti")
+    """The documents in which no window of an item occurs, with their columns, judged row by row whatever their ids.
+
+    What the index knows a row by is the MD5 of its text, as rows of equal texts have equal verdicts.
+    """
+    own = "w_digest"
+    while own in docs.columns:
+        own += "_"
+    marked = docs.withColumn(own, F.md5(F.col(text_col)))
+    hit = decontaminate(marked, items, own, text_col, size).where("n_hit > 0").select(F.col("id").alias("w_hit")).distinct()
+    return marked.join(hit, marked[own] == hit["w_hit"], "left_anti").drop(own)
