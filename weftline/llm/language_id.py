@@ -80,6 +80,8 @@ def profiles(texts: list[str], groups: np.ndarray, n_groups: int) -> tuple[np.nd
     small = np.zeros(0x110000, np.int32)
     small[codes] = np.arange(len(codes))
     own, n = small[code].astype(np.int64), len(codes)
+    if len(own) < GRAM:  # one text without a letter
+        return np.zeros((n_groups, D), np.float32), has
     key = np.zeros(len(own) - GRAM + 1, np.int64)
     for k in range(GRAM):
         key = key * n + own[k : len(own) - GRAM + 1 + k]
