@@ -73,7 +73,7 @@ def run_summary(spark, sf_dir):
 @query()
 def bootstrap_ci(spark, sf_dir):
     """The share of good documents."""
-    return S.bootstrap_interval(table(spark, sf_dir, "labels"), "doc_id", F.col("quality") == 1, 200)
+    return S.bootstrap_interval(table(spark, sf_dir, "labels"), "doc_id", F.col("quality") == 1)
 
 
 @query(
