@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import words as W
-from weftline.llm.scratch import cut
+from weftline.llm.scratch import cut, files_for
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -69,10 +69,10 @@ def minhashes(value: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    """One 64-bit key for every band of every row."""
-    out = np.empty((len(sig), BANDS), np.uint64)
-    for b in range(BANDS):
+def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """One 64-bit key for every one of the first bands of every row."""
+    out = np.empty((len(sig), bands), np.uint64)
+    for b in range(bands):
         key = np.full(len(sig), b + 1, np.uint64)
         for r in range(ROWS):
             key = W._mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, b * ROWS + r])
@@ -95,21 +95,22 @@ def least_matches(threshold: float, tolerance: float) -> dict[int, int]:
 
 
 def _pairs(sig: np.ndarray, block: np.ndarray, first: int, second: int, band: int, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a group that survive the incremental comparison and meet in no earlier band."""
+    """Pairs of a group that meet in no earlier band and survive the incremental comparison."""
     a, b = np.flatnonzero(block == first), np.flatnonzero(block == second)
     if first == second:
         i, j = np.triu_indices(len(a), 1)
         i, j = a[i], a[j]
     else:
         i, j = np.repeat(a, len(b)), np.tile(b, len(a))
+    keys = band_keys(sig, band)
+    for e in range(band):
+        stay = keys[i, e] != keys[j, e]
+        i, j = i[stay], j[stay]
     matches = np.zeros(len(i), np.int32)
     for n, m in least.items():
         matches += (sig[i, n - STEP : n] == sig[j, n - STEP : n]).sum(1, dtype=np.int32)
         stay = matches >= m
         i, j, matches = i[stay], j[stay], matches[stay]
-    for e in range(band):
-        stay = (sig[i, e * ROWS : (e + 1) * ROWS] != sig[j, e * ROWS : (e + 1) * ROWS]).any(1)
-        i, j = i[stay], j[stay]
     return i, j
 
 
@@ -136,18 +137,18 @@ def _similar(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: fl
     return both >= threshold * (size[i] + size[j] - both) - 1e-9
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, files: int | None = None) -> DataFrame:
     """node and its component's least node, of edges (a, b): least labels spread, and labels follow their own labels.
 
     Sums and joins are by node; a round is written to the shared folder. Chains of labels halve every round.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
+    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), files)
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), files)
     while True:
         told = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("n")).agg(F.min("label").alias("near"))
         spread = labels.join(told, labels["node"] == told["n"]).select("node", "label", F.least("label", "near").alias("new"))
         jump = labels.select(F.col("node").alias("n"), F.col("label").alias("far"))
-        after = cut(spread.join(jump, spread["new"] == jump["n"], "left").select("node", F.least("new", F.coalesce("far", "new")).alias("label"), (F.least("new", F.coalesce("far", "new")) < F.col("label")).alias("moved")))
+        after = cut(spread.join(jump, spread["new"] == jump["n"], "left").select("node", F.least("new", F.coalesce("far", "new")).alias("label"), (F.least("new", F.coalesce("far", "new")) < F.col("label")).alias("moved")), files)
         if after.where("moved").isEmpty():
             return after.select("node", "label")
         labels = after.select("node", "label")
@@ -162,6 +163,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     """Per document: id, digest (of its text), key (of its shingles, null if it has none or no id), rep (least id of equal
     sets), size (their number), links (to other sets) and label (least id and key of those linked by any path, if any)."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), _digest(text_col).alias("digest"))
+    files = files_for(source)
 
     def sketch(parts):
         for batch in parts:
@@ -172,11 +174,12 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
                 keys = [hashlib.blake2b(value[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 keys = [None if i is None else k for i, k in zip(rows.column("id").to_pylist(), keys, strict=True)]
                 yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("digest"), pa.array(keys, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())], names=["id", "digest", "key", "sig"])
+            W.release()
 
-    sketches = cut(source.mapInArrow(sketch, "id long, digest string, key binary, sig binary"))
+    sketches = cut(source.mapInArrow(sketch, "id long, digest string, key binary, sig binary"), files)
     full = sketches.where("key is not null")
     classes = full.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("size"))
-    kept = cut(classes.join(full.select("key", F.col("id").alias("rep"), "sig"), ["key", "rep"]).dropDuplicates(["key"]))
+    kept = cut(classes.join(full.select("key", F.col("id").alias("rep"), "sig"), ["key", "rep"]).dropDuplicates(["key"]), files)
 
     def banded(parts):
         for batch in parts:
@@ -202,7 +205,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
         return table.select(["key", "band", "bucket", "block", "one", "two", "sig"]).take(pa.array(np.unique(np.concatenate([i, j]))))
 
     group = "key binary, band int, bucket long, block int, one int, two int, sig binary"
-    left = cut(grouped.join(kept.select("key", "sig"), "key").groupBy(*names).applyInArrow(lambda t: survivors(t), group))
+    left = cut(grouped.join(kept.select("key", "sig"), "key").groupBy(*names).applyInArrow(lambda t: survivors(t), group), files)
     wanted = left.select("key").distinct().join(kept.select("key", "rep", "size"), "key").select(F.col("key").alias("k"), "rep", "size")
 
     def sets(parts):
@@ -211,6 +214,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
                 value, first = shingles(batch.column("text").slice(at, to - at))
                 own = [value[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in own], pa.binary()), pa.array(own, pa.binary())], names=["key", "shingles"])
+            W.release()
 
     reps = wanted.select(F.col("rep").alias("id")).distinct()
     texts = source.join(reps, "id", "left_semi").select("text").mapInArrow(sets, "key binary, shingles binary")
@@ -240,10 +244,10 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
         near = order[near[hit]]
         return pa.table({"key": table.column("key").take(pa.array(hit)), "rep": pa.array(rep[hit]), "near_key": table.column("key").take(pa.array(near)), "near": pa.array(rep[near]), "n": pa.array(n[hit])})
 
-    found = cut(left.join(told, "key").groupBy(*names).applyInArrow(lambda t: verify(t), "key binary, rep long, near_key binary, near long, n long"))
+    found = cut(left.join(told, "key").groupBy(*names).applyInArrow(lambda t: verify(t), "key binary, rep long, near_key binary, near long, n long"), files)
     links = found.groupBy("key").agg(F.sum("n").alias("links"))
     pair = lambda i, k: F.struct(F.col(i).alias("id"), F.col(k).alias("key"))
-    labels = components(found.select(pair("rep", "key").alias("a"), pair("near", "near_key").alias("b"))).select(F.col("node.key").alias("key"), "label")
+    labels = components(found.select(pair("rep", "key").alias("a"), pair("near", "near_key").alias("b")), files).select(F.col("node.key").alias("key"), "label")
     named = classes.join(links, "key", "left").join(labels, "key", "left").select("key", "rep", "size", "links", "label")
     return sketches.select("id", "digest", "key").join(named, "key", "left").select("id", "digest", "key", "rep", "size", "links", "label")
 
@@ -274,7 +278,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows of null ids all stay, and so do texts without words, but for repeats of an id and text. All columns are kept.
     """
-    found = cut(linked(docs, id_col, text_col, threshold).where("id is not null").select("id", "digest", F.coalesce("label.key", "key").alias("class"), F.coalesce("label.id", "rep", "id").alias("least")))
+    found = cut(linked(docs, id_col, text_col, threshold).where("id is not null").select("id", "digest", F.coalesce("label.key", "key").alias("class"), F.coalesce("label.id", "rep", "id").alias("least")), files_for(docs))
     first = found.where("class is not null and id = least").select("class", "id", "digest").distinct()
     best = first.groupBy("class").agg(F.min("digest").alias("best"), F.count("*").alias("n")).where("n > 1").select("class", "best")
     other = first.join(best, "class").where("digest <> best").select("id", "digest")

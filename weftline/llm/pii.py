@@ -11,7 +11,8 @@ The driver only sees the counts of (kind, votes, features), at most MOST_PATTERN
 two passes over the text are projections: no join, and only counts are shuffled.
 
 Defined results: a null text is empty and has no spans; offsets count code points, ends are exclusive; of overlapping
-added spans the first stays, and base spans always stay; rows that repeat a document are judged each; an empty table
+added spans the first stays, and base spans always stay; very long texts and runs take time in proportion to their
+length; rows that repeat a document are judged each; an empty table
 gives an empty result; redact() keeps all columns.
 """
 
@@ -33,9 +34,9 @@ BASE = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-# Looser patterns of candidates.
+# Looser patterns of candidates, anchored like those above.
 LOOSE = {
-    "email": r"[A-Za-z0-9._%+-]++(?:@| ?[(\[]at[)\]] ?)[A-Za-z0-9-]++(?:(?:\.| ?[(\[]dot[)\]] ?)[A-Za-z0-9-]++)++",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:@| ?[(\[]at[)\]] ?)[A-Za-z0-9-]++(?:(?:\.| ?[(\[]dot[)\]] ?)[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9.])[0-9]{1,4}(?:\.[0-9]{1,4}){3}(?![0-9])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])",
     "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
@@ -44,7 +45,7 @@ LOOSE = {
 _OCTETS = r"0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(\.0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}"
 # Strict patterns, gazetteers and context words of the labelers.
 STRICT = {
-    "email": r"(?i)[a-z0-9._%+-]{1,64}(@| ?[(\[]at[)\]] ?)[a-z0-9-]+((\.| ?[(\[]dot[)\]] ?)[a-z0-9-]+)*(\.| ?[(\[]dot[)\]] ?)[a-z]{2,24}",
+    "email": r"(?i)(?=.*[^a-z0-9-][a-z]{2,24}$)[a-z0-9._%+-]{1,64}+(?:@| ?[(\[]at[)\]] ?)[a-z0-9-]++(?:(?:\.| ?[(\[]dot[)\]] ?)[a-z0-9-]++)++",
     "ip": _OCTETS,
     "phone": r"\+[1-9].*",
     "secret": r"AKIA[0-9A-Z]{16}|[0-9a-f]{16,128}|(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9]).{20,}",
@@ -70,19 +71,51 @@ MOST_PATTERNS = len(KINDS) * 3**4 * 6 * 4 * 4 * 4
 _BEFORE = 24
 
 
+#: Characters of a block of text, and 2**_SHIFT elements of a block of running totals: they keep long texts linear.
+_BLOCK, _SHIFT = 1024, 6
+
+
+def _let(x: Column, f) -> Column:
+    """f(x) with x evaluated once, however often f uses it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def _before(values: Column, op, zero: int) -> Column:
+    """For every element, op over all those before it. (An aggregate that gathers an array copies it at every step.)"""
+    some = lambda x, n: F.aggregate(F.slice(x, F.lit(1), n), F.lit(zero), lambda a, b: op(a, b))
+    blocks = F.transform(F.sequence(F.lit(0), F.shiftright(F.size(values), _SHIFT)), lambda b: F.slice(values, F.shiftleft(b, _SHIFT) + 1, F.lit(1 << _SHIFT)))
+
+    def within(own: Column) -> Column:
+        sums = F.transform(own, lambda x: some(x, F.size(x)))
+        starts = _let(sums, lambda x: F.transform(x, lambda _, b: some(x, b)))
+        return _let(starts, lambda at: F.transform(values, lambda _, i: op(F.get(at, F.shiftright(i, _SHIFT)), some(F.get(own, F.shiftright(i, _SHIFT)), i % (1 << _SHIFT)))))
+
+    return _let(blocks, within)
+
+
+def _blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % _BLOCK), F.lit(0))
+
+
+def _cut(blocks: Column, start: Column, end: Column) -> Column:
+    """Characters start to end of a text, given its blocks."""
+    first = F.floor(start / _BLOCK).cast("int")
+    own = F.concat_ws("", F.slice(blocks, first + 1, F.floor(end / _BLOCK).cast("int") - first + 1))
+    return F.substring(own, start - first * _BLOCK + 1, end - start)
+
+
 def _spans(text: Column, pattern: str, guard: Column) -> Column:
-    """[start, end, match] of all matches, leftmost and non-overlapping, from the pieces between them."""
-    pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
-    none = F.array().cast("array<struct<start:int,end:int,m:string>>")
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    """[start, end, match] of all matches, leftmost and non-overlapping, from the lengths of the pieces between them."""
 
-    def step(a: Column, p: Column) -> Column:
-        begin = a["at"] + p["gap"]
-        end = begin + F.length(p["m"])
-        one = F.array(F.struct(begin.alias("start"), end.alias("end"), p["m"].alias("m")))
-        return F.when(p["m"].isNull(), a).otherwise(F.struct(end.alias("at"), F.concat(a["out"], one).alias("out")))
+    def of(gaps: Column, found: Column) -> Column:
+        size = F.zip_with(gaps, found, lambda g, m: F.length(g) + F.coalesce(F.length(m), F.lit(0)))
+        begin = lambda at, i: F.get(at, i) + F.length(F.get(gaps, i))
+        span = lambda at: lambda m, i: F.struct(begin(at, i).alias("start"), (begin(at, i) + F.length(m)).alias("end"), m.alias("m"))
+        return _let(size, lambda n: _let(_before(n, lambda x, y: x + y, 0), lambda at: F.transform(found, span(at))))
 
-    return F.when(guard, F.aggregate(pieces, zero, step, lambda a: a["out"])).otherwise(none)
+    none = F.array().cast("array<struct<start:int,end:int,m:string>>")
+    some = lambda found: F.when(F.size(found) > 0, _let(F.split(text, pattern, -1), lambda gaps: of(gaps, found))).otherwise(none)
+    return F.when(guard, _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), some)).otherwise(none)
 
 
 def _digits(m: Column) -> Column:
@@ -121,10 +154,15 @@ def _candidates(text: Column, digit: Column) -> Column:
 
     def of(k: str) -> Column:
         guard = F.contains(text, F.lit("@")) | text.rlike(r"[(\[]at[)\]]") if k == "email" else _guard(k, text, digit)
-        around = lambda s: F.struct(F.lit(KINDS.index(k)).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m"), F.lower(F.substring(text, F.greatest(s["start"] - _BEFORE + 1, F.lit(1)), F.least(s["start"], F.lit(_BEFORE)))).alias("before"), F.substring(text, s["end"] + 1, F.lit(1)).alias("after"))
-        return F.transform(_spans(text, LOOSE[k], guard), around)
+        return F.transform(_spans(text, LOOSE[k], guard), lambda s: F.struct(F.lit(KINDS.index(k)).alias("kind"), *(s[n].alias(n) for n in ("start", "end", "m"))))
 
-    return F.concat(*(of(k) for k in LOOSE))
+    def around(blocks: Column, s: Column) -> Column:
+        before = F.lower(_cut(blocks, F.greatest(s["start"] - _BEFORE, F.lit(0)), s["start"]))
+        return F.struct(*(s[n].alias(n) for n in ("kind", "start", "end", "m")), before.alias("before"), _cut(blocks, s["end"], s["end"] + 1).alias("after"))
+
+    none = F.array().cast("array<struct<kind:int,start:int,end:int,m:string,before:string,after:string>>")
+    within = lambda found: F.when(F.size(found) > 0, _let(_blocks(text), lambda blocks: F.transform(found, lambda s: around(blocks, s)))).otherwise(none)
+    return _let(F.concat(*(of(k) for k in LOOSE)), within)
 
 
 def _by_kind(c: Column, per: dict[str, Column]) -> Column:
@@ -249,10 +287,33 @@ def find(docs: DataFrame, keep: list[str], text_col: str = "text", model=None) -
     plain = F.array_sort(F.transform(good, lambda j: F.struct(j["start"].alias("start"), j["kind"].alias("kind"), j["end"].alias("end"))))
     names = [*(f"n_{k}" for k in base), "base"]
     d = c.select(*own, *names, plain.alias("w_added"))
-    free = F.filter("w_added", lambda s: ~F.exists("base", lambda x: (s["start"] < x["end"]) & (x["start"] < s["end"])))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out"))
-    apart = F.aggregate(free, zero, lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(s)).alias("out"))).otherwise(acc), lambda acc: acc["out"])
-    return d.select(*own, *names, F.array_sort(F.concat("base", apart)).alias("spans"))
+    e = d.select(*own, *names, F.when((F.size("w_added") > 0) & (F.size("base") > 0), _free_of(F.col("base"), F.col("w_added"))).otherwise(F.col("w_added")).alias("w_free"))
+    return e.select(*own, *names, F.array_sort(F.concat("base", _let(F.col("w_free"), _apart))).alias("spans"))
+
+
+def _free_of(base: Column, added: Column) -> Column:
+    """Added spans that overlap no base span: by start, none before reaches into them and none after begins in them."""
+    marked = lambda c, k: F.transform(c, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("added"), s["kind"].alias("kind"), s["end"].alias("end")))
+    last = (1 << 31) - 1
+    of_base = lambda x, field, other: F.when(x["added"] == 0, x[field]).otherwise(F.lit(other))
+
+    def within(every: Column) -> Column:
+        reach = _let(F.transform(every, lambda x: of_base(x, "end", 0)), lambda v: _before(v, F.greatest, 0))
+        begin = F.reverse(_let(F.reverse(F.transform(every, lambda x: of_base(x, "start", last))), lambda v: _before(v, F.least, last)))
+        free = lambda r, b: F.filter(every, lambda x, i: (x["added"] == 1) & (F.get(r, i) <= x["start"]) & (F.get(b, i) >= x["end"]))
+        return _let(reach, lambda r: _let(begin, lambda b: free(r, b)))
+
+    found = _let(F.array_sort(F.concat(marked(base, 0), marked(added, 1))), within)
+    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+
+
+def _apart(spans: Column) -> Column:
+    """Of overlapping spans the first, again and again; without any, all."""
+    ddl = "array<struct<start:int,kind:int,end:int>>"
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(ddl).alias("out"))
+    greedy = F.aggregate(spans, zero, lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(s)).alias("out"))).otherwise(a), lambda a: a["out"])
+    near = F.filter(spans, lambda s, i: (i > 0) & (s["start"] < F.get(spans, i - 1)["end"]))
+    return F.when(F.size(near) > 0, greedy).otherwise(spans)
 
 
 def spelled(spans: Column) -> Column:
@@ -270,13 +331,13 @@ def redact(docs: DataFrame, text_col: str = "text", model=None) -> DataFrame:
     found = find(whole, [row], "w_own", model).select(row, "spans")
     text = F.col(f"{row}.`{text_col}`")
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(a: Column, s: Column) -> Column:
-        piece = F.substring(text, a["at"] + 1, s["start"] - a["at"])
-        fresh = F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(piece, F.element_at(names, s["kind"] + 1))).alias("out"))
-        return F.when(s["start"] >= a["at"], fresh).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
+    def parts(at: Column, blocks: Column) -> Column:
+        piece = lambda s, i: F.when(s["start"] >= F.get(at, i), F.concat(_cut(blocks, F.get(at, i), s["start"]), F.element_at(names, s["kind"] + 1))).otherwise(F.lit(""))
+        last = F.array_max(F.transform("spans", lambda s: s["end"]))
+        return F.concat(F.concat_ws("", F.transform("spans", piece)), _cut(blocks, last, F.length(text)))
 
-    clean = F.aggregate("spans", zero, step, lambda a: F.concat(F.concat_ws("", a["out"]), F.substring(text, a["at"] + 1, F.length(text))))
+    at = _let(F.transform("spans", lambda s: s["end"]), lambda v: _before(v, F.greatest, 0))
+    clean = _let(at, lambda a: _let(_blocks(text), lambda blocks: parts(a, blocks)))
     new = F.when(F.size("spans") > 0, clean).otherwise(text)
     return found.select(*(new.alias(c) if c == text_col else F.col(f"{row}.`{c}`").alias(c) for c in docs.columns))

@@ -2,21 +2,48 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Scan bytes for every file of a cut: what takes less is written by fewer tasks, as thousands of tiny files cost more than their rows.
+FILE_BYTES = 32_000_000
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses spark.checkpoint.dir; only where no folder is named at all (as in tests) a temporary one is set."""
+    """Uses spark.checkpoint.dir; where no folder is named, a temporary one is set if the master is local (as in tests)."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftline-checkpoint-"))
+    if not named:
+        if not (sc.master or "").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="weftline-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    sc.setCheckpointDir(named)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that is no longer read, in whatever store it lies."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def files_for(docs: DataFrame) -> int:
+    """How many files what is derived from docs should take at least: by the size of its scan, four a core if that is small."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(4 * docs.sparkSession.sparkContext.defaultParallelism, min(-(-size // FILE_BYTES), 1_000_000))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read back from the shared folder."""
+def cut(df: DataFrame, files: int | None = None) -> DataFrame:
+    """The same rows, read back from the shared folder; in no more than so many files, if given."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df.coalesce(files) if files else df).checkpoint(eager=True)

@@ -1,8 +1,9 @@
 """Vectorised words and word hashes of Arrow string columns.
 
 Both word definitions used here are byte-wise: every byte of a multi-byte UTF-8 character is a word byte, so a
-256-entry table decides. Words never cross rows. A word's hash is a polynomial over its bytes modulo 2**64, finished
-with a 64-bit mixer; windows of words are hashed the same way over the words' hashes.
+256-entry table decides. Words never cross rows. A word's hash is the mixed sum of one pseudo-random 64-bit value for
+every (place in the word, byte); a window's hash is mixed from those of its two parts, down to single words. Neither is
+a polynomial, so words of regular patterns (such as Thue-Morse words) collide no more than others.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 U = np.uint64
 
 
@@ -26,34 +27,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_BYTES = _mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
-_FOLDED = _BYTES.copy()
-_FOLDED[65:91] = _BYTES[97:123]
-
 _SPACE_WORD = np.ones(256, bool)
 _SPACE_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 _LETTER_WORD = np.ones(256, bool)
 _LETTER_WORD[0x00:0x30] = _LETTER_WORD[0x3A:0x41] = _LETTER_WORD[0x5B:0x61] = _LETTER_WORD[0x7B:0x80] = False
 
-#: kind -> (word bytes, hash value of each byte). "letters": lower-cased [^\x00-\x2F\x3A-\x60\x7B-\x7F]+; "spaced": [^\x20\x09-\x0D]+ unchanged.
-KINDS = {"letters": (_LETTER_WORD, _FOLDED), "spaced": (_SPACE_WORD, _BYTES)}
+_GOLDEN = U(0x9E3779B97F4A7C15)
+#: Places in a word whose values are looked up; those beyond are computed by the same rule.
+_PLACES = 64
+_SAME = np.arange(256, dtype=np.int64)
+_FOLDED = _SAME.copy()
+_FOLDED[65:91] = _SAME[97:123]
+
 
-_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD1B54A32D192ED03 | 1
-_powers: dict[int, np.ndarray] = {}
+def _values(code: np.ndarray) -> np.ndarray:
+    """Value of every 256 * place + byte."""
+    return _mix((code.astype(U) + U(1)) * _GOLDEN)
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64; kept and grown between calls."""
-    have = _powers.get(base)
-    if have is None or len(have) <= n:
-        size = 1 << max(12, int(n + 1).bit_length())
-        have = np.ones(size, U)
-        done = 1
-        while done < size:
-            have[done : 2 * done] = have[:done] * U(pow(base, done, 1 << 64))
-            done *= 2
-        _powers[base] = have
-    return have
+_TABLE = _values(np.arange(256 * _PLACES))
+#: kind -> (word bytes, the byte each one counts as). "letters": lower-cased [^\x00-\x2F\x3A-\x60\x7B-\x7F]+; "spaced": [^\x20\x09-\x0D]+ unchanged.
+KINDS = {"letters": (_LETTER_WORD, _FOLDED), "spaced": (_SPACE_WORD, _SAME)}
 
 
 class Words(NamedTuple):
@@ -83,7 +77,7 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _piece(data: np.ndarray, offsets: np.ndarray, kind: str, base: int):
-    is_word, value = KINDS[kind]
+    is_word, same = KINDS[kind]
     n = len(data)
     w = is_word[data]
     before, after = np.empty(n, bool), np.empty(n, bool)
@@ -96,10 +90,16 @@ def _piece(data: np.ndarray, offsets: np.ndarray, kind: str, base: int):
     before[inner] = False
     after[inner - 1] = False
     starts, ends = np.flatnonzero(w & ~before), np.flatnonzero(w & ~after) + 1
-    total = np.zeros(n + 1, U)
-    np.cumsum(value[data] * powers(_BYTE_BASE, n)[:n], out=total[1:])
-    inverse = powers(pow(_BYTE_BASE, -1, 1 << 64), n)
-    hashes = _mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U))
+    lengths = ends - starts
+    first = np.cumsum(lengths) - lengths
+    code = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    far = np.flatnonzero(code >= _PLACES)
+    code *= 256
+    code += same[data[w]]
+    value = np.take(_TABLE, code, mode="clip")
+    value[far] = _values(code[far])
+    sums = np.add.reduceat(value, first) if len(first) else np.zeros(0, U)
+    hashes = _mix(sums + lengths.astype(U) * _GOLDEN)
     rows = np.searchsorted(offsets, starts, "right") - 1
     return hashes, rows.astype(np.int64), starts + base, ends + base
 
@@ -126,10 +126,19 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     n = len(hashes)
     if n < size:
         return np.zeros(0, U)
-    total = np.zeros(n + 1, U)
-    np.cumsum(hashes * powers(_WORD_BASE, n)[:n], out=total[1:])
-    inverse = powers(pow(_WORD_BASE, -1, 1 << 64), n)
-    return _mix((total[size:] - total[: n - size + 1]) * inverse[: n - size + 1] + U(size))
+    have, width, out, done = hashes, 1, None, 0
+    while True:
+        if size & width:  # the run is made of parts whose lengths are powers of two, the shortest first
+            out = have if out is None else _joined(out, have[done:])
+            done += width
+        if done == size:
+            return _mix(out[: n - size + 1] + U(size))
+        have, width = _joined(have, have[width:]), 2 * width
+
+
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    n = min(len(left), len(right))
+    return _mix(left[:n] * _GOLDEN + right[:n])
 
 
 def whole(rows: np.ndarray, size: int) -> np.ndarray:
