@@ -7,7 +7,7 @@ control string, of this template and of common others, after its first character
 
 Defined results: a null text or role is empty, a null score counts 0; a message whose parent is null or missing is a
 root; messages on a cycle belong to no path; of rows that repeat a message id the least (parent, role, text, score)
-counts; score ties go to the least path; an empty table gives no conversation; other columns are not read.
+counts; score ties go to the least path; a very long conversation's chosen paths are each one row; an empty table gives no conversation; other columns are not read.
 """
 
 from __future__ import annotations

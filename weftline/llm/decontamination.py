@@ -8,7 +8,8 @@ in order of rarity.
 
 Defined results: null and empty texts have no words and no matches; a test item with fewer words than a window is one
 window; repeated documents are judged row by row, repeated item ids count once; items of null ids are searched like
-others, but not listed; an empty table gives an empty result; other columns of the inputs are not read.
+others, but not listed; very long texts are shards of their own; an empty table gives an empty result; other columns of
+the inputs are not read. Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm import words as W
-from weftline.llm.scratch import cut
+from weftline.llm.scratch import cut, files_for
 
 SHARD_BYTES = 6_000_000
 #: Text of a block of test items: what is sent to every shard at once never exceeds this (or one item).
@@ -43,8 +44,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
     def index(parts):
-        import uuid
+        from pyspark import TaskContext
 
+        shard = 0
         for batch in parts:
             for at, to in W.batches(batch.column("text"), SHARD_BYTES):
                 rows = batch.slice(at, to - at)
@@ -54,7 +56,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
                 ids = pa.ListArray.from_arrays(pa.array([0, to - at], pa.int32()), rows.column("id"))
                 binary = [x.tobytes() for x in (np.diff(w.first).astype(np.uint32), ordered[heads], heads.astype(np.uint32), order.astype(np.uint32))]
-                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), ids, *(pa.array([x], pa.binary()) for x in binary)], names=schema.names)
+                shard += 1
+                yield pa.RecordBatch.from_arrays([pa.array([f"{TaskContext.get().partitionId()}-{shard}"]), ids, *(pa.array([x], pa.binary()) for x in binary)], names=schema.names)
 
     return source.mapInArrow(index, schema)
 
@@ -224,6 +227,7 @@ def search(index: DataFrame, items: DataFrame, item_id: str = "item_id", item_te
                             marks[d][1].add(tests.ids[w])
                     for w, d in near.tolist():
                         marks[d][2].add(tests.ids[int(tests.item[w])])
+                    W.release()
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([batch.column("shard")[r].as_py()] * len(lengths), pa.string()),
@@ -254,7 +258,7 @@ def search(index: DataFrame, items: DataFrame, item_id: str = "item_id", item_te
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 10, slop: int = 5) -> DataFrame:
     """build_index() stored in the shared folder, then search()."""
-    return search(cut(build_index(docs, id_col, text_col)), items, size=size, slop=slop)
+    return search(cut(build_index(docs, id_col, text_col), files_for(docs)), items, size=size, slop=slop)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 10) -> DataFrame:

@@ -6,13 +6,13 @@ start of the document), V being the size of the vocabulary. A document's score i
 less background loss: the lower, the more it is like the target. A document's own counts are left out of its own model,
 so that documents which a model was trained on are scored as if they were new.
 
-Documents are dealt into chunks by a hash of their id. Each chunk sends each distinct word and bigram once, with its
+Documents are dealt into chunks by a hash of their id (those without one, by their text). Each chunk sends each distinct word and bigram once, with its
 counts in both corpora, in sorted byte planes to a range of hashes; the range adds up and answers with the totals in the
 chunk's own order. So a word that every document has costs one entry a chunk, no document's n-grams are shuffled, and
 the text moves once (the second pass reuses the exchange).
 
 Words are lower-cased [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+, compared by 64-bit hashes. Defined results: ids are integers;
-a null or empty text has no words, n_tokens 0 and null losses; rows that repeat an id are documents of their own (each
+rows of null ids are scored like others and are never targets; a null or empty text has no words, n_tokens 0 and null losses; rows that repeat an id are documents of their own (each
 leaves out its own counts only); an empty table gives an empty result; other columns are not read.
 """
 
@@ -88,11 +88,11 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
     targets has the target documents' ids in its first column.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(False).alias("target"))
-    named = targets.select(F.col(targets.columns[0]).cast("long").alias("id")).distinct().select("id", F.lit(None).cast("string").alias("text"), F.lit(True).alias("target"))
+    named = targets.select(F.col(targets.columns[0]).cast("long").alias("id")).where("id is not null").distinct().select("id", F.lit(None).cast("string").alias("text"), F.lit(True).alias("target"))
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks, parts = max(1, -(-total // CHUNK_BYTES)), max(1, -(-total // PART_BYTES))
     size = max(1, vocabulary_size(source, parts))
-    dealt = source.unionByName(named).select(F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"), "id", "text", "target").repartition(chunks, "chunk")
+    dealt = source.unionByName(named).select(F.pmod(F.coalesce(F.when(F.col("id").isNull(), F.xxhash64("text")), F.xxhash64("id")), F.lit(chunks)).cast("int").alias("chunk"), "id", "text", "target").repartition(chunks, "chunk")
 
     def tell(table: pa.Table) -> pa.Table:
         c = _Chunk(table)

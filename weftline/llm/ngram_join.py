@@ -13,7 +13,7 @@ Groups report their classes' link counts and a tree of links, and connected comp
 Defined results: rows of null ids, and of texts without words, are no one's copies and have no links; rows that repeat
 an id and text are copies of each other; of ties the smallest id stands for its class; rows that share an id but not a
 text are judged by their texts, so classes that are not linked stay apart even if their least ids are equal; an empty
-table gives an empty result; other columns are not read. Sets are compared by 64-bit shingle hashes. With 32 bands of four values a pair of
+table gives an empty result; a very long text is one row's set, held by one task; other columns are not read. Sets are compared by 64-bit shingle hashes. With 32 bands of four values a pair of
 similarity 0.8 is missed as a candidate with probability 5e-8.
 """
 

@@ -4,7 +4,7 @@ Everything is a Column expression: there is no user function, join or exchange,
 text wherever it lies. Words are [^\\x20\\x09-\\x0D]+, unchanged.
 
 Defined results: a null text is empty, an empty text has no words and fails the base rule; every row is judged by
-itself, so ties and repeated rows do not matter; an empty table gives an empty result; passing() keeps all columns of its
+itself, so ties and repeated rows do not matter; three-word windows are compared by 64-bit hashes; an empty table gives an empty result; passing() keeps all columns of its
 input, and its helper column is named so that it cannot clash with them.
 """
 

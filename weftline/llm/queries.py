@@ -13,7 +13,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document, what of it stands in benchmark windows of ten words; n_near: items with near matches only."""
+    """Per document, what of it stands in benchmark windows of ten words; n_near and near_items: items of which it has all
+    words of a window within fifteen, but no window itself."""
     found = decontamination.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), size=10, slop=5)
     return found.select(
         F.col("id").alias("doc_id"),
@@ -22,6 +23,8 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near"),
+        F.concat_ws(",", "near_items").alias("near_items"),
     )
 
 
@@ -134,10 +137,21 @@ sizes as (select distinct n from iw),
 dw as (select doc_id, n, k, w[k:k + n - 1] as g from d, sizes, unnest(range(1, len(w) - n + 2)) as u(k)),
 hits as (select doc_id, item_id, k, n from dw join iw using (n, g)),
 words as (select doc_id, count(distinct p) as n_hit from hits, unnest(range(k, k + n)) as u(p) group by doc_id),
-found as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id, ',' order by item_id) as items from hits group by doc_id)
+found as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id, ',' order by item_id) as items from hits group by doc_id),
+wanted as (select item_id, g, n + 5 as span, unnest(list_distinct(g)) as x, len(list_distinct(g)) as kinds from (select distinct item_id, n, g from iw)),
+spots as (select doc_id, p, w[p] as x from d, unnest(range(1, len(w) + 1)) as u(p) where w[p] in (select x from wanted)),
+close as (
+  select a.doc_id, t.item_id, t.g, t.kinds, t.span, a.p from spots a join wanted t using (x)),
+anchors as (
+  select c.doc_id, c.item_id, c.g, c.p, count(distinct o.x) as seen, any_value(c.kinds) as kinds
+  from close c join wanted t on t.item_id = c.item_id and t.g = c.g join spots o on o.doc_id = c.doc_id and o.x = t.x and o.p >= c.p and o.p < c.p + c.span
+  group by c.doc_id, c.item_id, c.g, c.p),
+nearly as (
+  select doc_id, count(*) as n_near, string_agg(item_id, ',' order by item_id) as near_items
+  from (select distinct doc_id, item_id from anchors where seen = kinds and (doc_id, item_id) not in (select (doc_id, item_id) from hits)) group by doc_id)
 select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
-  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from d left join words using (doc_id) left join found using (doc_id)""",
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(n_near, 0) as n_near, coalesce(near_items, '') as near_items
+from d left join words using (doc_id) left join found using (doc_id) left join nearly using (doc_id)""",
     "op8_substring_dedup": rf"""
 with d as (select doc_id, {_SPACED} as w from documents),
 win as (select doc_id, k, w[k:k + 19] as g from d, unnest(range(1, len(w) - 18)) as u(k)),

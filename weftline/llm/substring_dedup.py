@@ -5,12 +5,13 @@ words; with block = size / 2 every window of `size` words holds a whole block of
 of a repeated window are hit. Hits are then extended: the windows around them are compared by their full hashes over all
 documents, and consecutive repeated windows join to maximal exact repeats, of which the first occurrence stays.
 
-Documents are dealt into chunks of about CHUNK_BYTES by a hash of their id. A chunk sends each distinct hash once, in
+Documents are dealt into chunks of about CHUNK_BYTES by a hash of their id (those without one, by their text). A chunk sends each distinct hash once, in
 sorted byte planes (three to four bytes each after Spark's compression), so a passage that a third of the documents
 share costs one entry a chunk, and gets back one bit for each. No pair is ever made and no text is moved twice: the
 three passes over the text reuse one exchange.
 
-Defined results: ids are integers (null sorts last); null and empty texts have no words; rows that repeat an id are
+Defined results: ids are integers; rows of null ids come after all others, and each is a document of its own that is
+not compared with the others of them; null and empty texts have no words; rows that repeat an id are
 occurrences at the same place, and a window is removed only for an earlier place, so exact repeats of a row keep the
 same words; an empty table gives an empty result; other columns are not read. Windows are compared by 64-bit hashes.
 """
@@ -65,7 +66,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks, parts = max(1, -(-total // CHUNK_BYTES)), max(1, -(-total // PART_BYTES))
-    dealt = source.select(F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"), "id", "text").repartition(chunks, "chunk")
+    dealt = source.select(F.pmod(F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id")), F.lit(chunks)).cast("int").alias("chunk"), "id", "text").repartition(chunks, "chunk")
 
     def lean(f):
         """f, whose memory is given back after each group."""
@@ -83,11 +84,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         indexed = np.zeros(len(c.blocks), bool)
         indexed[c.inverse[c.place[c.starts] % block == 0]] = True
         chunk, at, rows = table.column("chunk")[0].as_py(), slices(c.blocks, parts), []
-        for p in range(parts):
+        for p in np.flatnonzero(np.diff(at)).tolist():
             own = slice(at[p], at[p + 1])
-            n = int(at[p + 1] - at[p])
-            if n:
-                rows.append((p, chunk, n, planes(c.blocks[own] >> np.uint64(16), 6), packed(indexed[own]) + packed(c.counts[own] > 1), None))
+            rows.append((p, chunk, int(at[p + 1] - at[p]), planes(c.blocks[own] >> np.uint64(16), 6), packed(indexed[own]) + packed(c.counts[own] > 1), None))
         return table_of(rows, _ENTRY)
 
     def meet(table: pa.Table) -> pa.Table:
@@ -122,10 +121,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         first = np.full(len(distinct), _LAST, np.int64)
         np.minimum.at(first, inverse, c.ids[c.words.rows[starts]])
         at, rows = slices(distinct, parts), [(chunk % parts, chunk, 0, b"", b"", known)]
-        for p in range(parts):
+        for p in np.flatnonzero(np.diff(at)).tolist():
             own = slice(at[p], at[p + 1])
-            if at[p + 1] > at[p]:
-                rows.append((p, chunk, int(at[p + 1] - at[p]), planes(distinct[own], 8), planes(first[own].view(np.uint64), 8), None))
+            rows.append((p, chunk, int(at[p + 1] - at[p]), planes(distinct[own], 8), planes(first[own].view(np.uint64), 8), None))
         return table_of(rows, _ENTRY)
 
     def own(table: pa.Table) -> pa.Table:
@@ -151,11 +149,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         distinct, inverse = np.unique(hashes, return_inverse=True)
         elsewhere = answers(found, "bits", len(distinct), slices(distinct, parts))
         w, n = c.words, len(c.words.hashes)
-        order = np.lexsort((c.place[starts], c.ids[w.rows[starts]], inverse))
-        ids, places, group = c.ids[w.rows[starts]][order], c.place[starts][order], inverse[order]
-        heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
-        run = np.repeat(heads, np.diff(np.append(heads, len(group))))
-        later = (ids != ids[run]) | (places != places[run]) | elsewhere[group]
+        nameless = np.where(c.ids == _LAST, np.arange(len(c.ids)), -1)[w.rows[starts]]  # rows of null ids are documents of their own
+        order = np.lexsort((c.place[starts], nameless, c.ids[w.rows[starts]], inverse))
+        ids, places, group, nameless = c.ids[w.rows[starts]][order], c.place[starts][order], inverse[order], nameless[order]
+        begins = lambda new: np.repeat(h := np.flatnonzero(new), np.diff(np.append(h, len(new))))
+        new = np.ones(len(group), bool)
+        new[1:] = group[1:] != group[:-1]
+        run = begins(new)
+        new[1:] |= nameless[1:] != nameless[:-1]
+        own_run = np.where(ids[run] == _LAST, begins(new), run)
+        later = (ids != ids[run]) | (places != places[own_run]) | elsewhere[group]
         gone = W.covered(starts[order[later]], starts[order[later]] + size, n)
         return _cut(texts, c, gone)
 

@@ -7,7 +7,7 @@ its slices by a k-way loser tree on (URL key, timestamp, page id): range after r
 
 Defined results: a null html is an empty payload; a null url is about:blank; of equal payloads of at least smallest
 bytes the smallest page id is the response (rows repeating that id are responses, too; null ids come last and are never
-referred to unless all are null); an empty table gives an empty index; other columns are not read.
+referred to unless all are null); a file's RECORDS_A_FILE records are held whole while it is read; an empty table gives an empty index; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.scratch import ensure_checkpoint_dir
+from weftline.llm.scratch import shared_folder
 
 RANGE_ROWS = 200_000
-#: Rows looked at for the borders of the ranges; any borders give right results.
-BORDER_SAMPLE = 20_000
+#: Rows looked at for the borders of the ranges, and for each range at least; any borders give right results.
+BORDER_SAMPLE, RANGE_SAMPLE = 20_000, 8
 RECORDS_A_FILE = 2_000
 _LAST = (1 << 63) - 1
 _CAPTURE = pa.schema(
@@ -158,11 +158,11 @@ def _order(row: tuple) -> tuple:
 
 
 def borders(pages: DataFrame, ranges: int, timestamp: Column | None = None) -> list[tuple]:
-    """ranges - 1 (URL key, timestamp, page id) from a bounded sample."""
+    """ranges - 1 (URL key, timestamp, page id) from a sample that grows with the ranges."""
     if ranges < 2:
         return []
     keys = captures(pages, timestamp).select(url_key(F.col("url")).alias("k"), "timestamp", "page_id")
-    found = sorted((r.k, r.timestamp, r.page_id is None, r.page_id or 0) for r in keys.orderBy(F.xxhash64("page_id", "k")).limit(BORDER_SAMPLE).collect())
+    found = sorted((r.k, r.timestamp, r.page_id is None, r.page_id or 0) for r in keys.orderBy(F.xxhash64("page_id", "k")).limit(max(BORDER_SAMPLE, RANGE_SAMPLE * ranges)).collect())
     return [found[len(found) * i // ranges] for i in range(1, ranges)] if found else []
 
 
@@ -214,8 +214,7 @@ def archive(pages: DataFrame, timestamp: Column | None = None, smallest: int = 0
     """Writes the archives (into the shared folder unless a path is given) and returns their merged index."""
     spark = pages.sparkSession
     if path is None:
-        ensure_checkpoint_dir(spark)
-        path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/warc-{uuid.uuid4().hex}"
+        path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, timestamp, smallest)
     ranges = max(1, -(-pages.count() // RANGE_ROWS))
     return read_archives(spark, path, borders(pages, ranges, timestamp))
