@@ -78,9 +78,9 @@ def normalize_path(path: Column) -> Column:
 
 # Suffixes of languages.
 LANGUAGES = {"typescript": (".ts", ".tsx", ".mts", ".cts"), "javascript": (".js", ".jsx", ".mjs", ".cjs"), "python": (".py",), "java": (".java",)}
-#: Suffixes of files that hold code.
-CODE_SUFFIXES = tuple(x for own in LANGUAGES.values() for x in own) + (".c", ".h", ".cc", ".cpp", ".hpp", ".cs", ".go", ".rs", ".rb", ".php", ".kt", ".swift", ".scala", ".vue", ".css", ".scss", ".html")
-DOC_STEMS = ("readme", "changelog", "license", "contributing", "authors", "history")
+# Suffixes of files that can be indexed, and stems of documents that are not.
+CODE_SUFFIXES = (".c", ".cc", ".cfg", ".cjs", ".cpp", ".cs", ".css", ".go", ".h", ".hpp", ".html", ".ini", ".java", ".js", ".json", ".jsx", ".kt", ".kts", ".less", ".mjs", ".mts", ".php", ".py", ".rb", ".rs", ".scala", ".scss", ".svelte", ".swift", ".toml", ".ts", ".tsx", ".vue", ".yaml", ".yml")
+DOC_STEMS = ("changelog", "code_of_conduct", "contributing", "license", "readme", "security")
 
 
 def _ends(path: Column, suffixes: tuple[str, ...]) -> Column:
@@ -107,6 +107,7 @@ def is_test_path(path: Column) -> Column:
     return F.exists(F.split(F.lower(path), "[ _/]"), lambda x: F.startswith(x, F.lit("test")))
 
 
+# Folders of tests.
 TEST_FOLDERS = ("test", "tests", "__tests__", "spec", "specs", "__mocks__", "fixtures")
 
 
@@ -177,7 +178,7 @@ def symbols(text: Column, most: int = 200) -> Column:
     paths = _all(text, r"[A-Za-z0-9_.\-]+(?:/[A-Za-z0-9_.\-]+)+\.[A-Za-z0-9]+")
     quoted = _all(text, r"[`'\"]([^`'\"\n]{3,120})[`'\"]", 1)
     names = F.filter(_all(text, r"[A-Za-z_$][A-Za-z0-9_$]*"), lambda t: t.rlike("[A-Z_$]"))
-    found = F.transform(F.concat(paths, quoted, names), F.trim)
+    found = F.transform(F.concat(paths, quoted, names), lambda x: F.trim(x))
     return F.slice(F.array_distinct(F.filter(found, lambda t: t != "")), 1, most)
 
 
@@ -189,7 +190,7 @@ def css_classes(text: Column) -> Column:
 def dom_classes(text: Column) -> Column:
     """T17. Distinct class names of class and className attributes and of querySelector('.x')."""
     attributes = F.flatten(F.transform(_all(text, r"class(?:Name)?\s*=\s*['\"]([^'\"]+)['\"]", 1), lambda v: F.split(F.trim(v), r"\s+")))
-    selected = F.transform(_all(text, r"querySelector\(\s*['\"]\.([^'\"]+)['\"]\s*\)", 1), F.trim)
+    selected = F.transform(_all(text, r"querySelector\(\s*['\"]\.([^'\"]+)['\"]\s*\)", 1), lambda x: F.trim(x))
     return F.array_distinct(F.filter(F.concat(attributes, selected), lambda t: t != ""))
 
 
@@ -200,7 +201,7 @@ def config_keys(text: Column) -> Column:
 
 def import_lines(text: Column) -> Column:
     """T19. Lines that begin with import, or with from and hold import."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim)
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x))
     return F.filter(lines, lambda x: x.rlike(r"^import\s|^from\s+\S+\s+import\b"))
 
 
@@ -278,6 +279,16 @@ def first_truthy(*columns: Column) -> Column:
     return F.coalesce(*(F.when(F.trim(c.cast("string")) != "", c.cast("string")) for c in columns))
 
 
+def evidence(*parts: Column) -> Column:
+    """R17. The text of a query: its parts that are not null, line by line."""
+    return F.concat_ws("\n", *parts)
+
+
+def ordered_unique(items: Column) -> Column:
+    """W03. Normalised distinct items in the order of their first places."""
+    return F.array_distinct(F.filter(F.transform(items, normalize_path), lambda x: x != ""))
+
+
 def redact_secrets(text: Column, secrets: list[str], mark: str = "<secret_hidden>") -> Column:
     """F23. Every secret replaced, longest first."""
     for secret in sorted(filter(None, secrets), key=lambda s: (-len(s), s)):

@@ -38,16 +38,17 @@ def normalized_patch(patch: Column) -> Column:
     return F.concat_ws("\n", F.transform(kept, lambda x: F.regexp_replace(x, r"\s+", "")))
 
 
-# Line grammars of test logs: (pattern, group of the test, group of the status).
+#: Line grammars of test logs: (pattern, group of the test, group of the status).
 GRAMMARS = {
     "pytest": (r"^(PASSED|FAILED|ERROR|XFAIL|SKIPPED)\s+(\S+)", 2, 1),
     "suffix": (r"^(\S+)\s+(PASSED|FAILED|ERROR|XFAIL|SKIPPED)\b", 1, 2),
-    "jest": (r"^\s*(PASS|FAIL)\s+(\S+)", 2, 1),
-    "unittest": (r"^(\S+ \([^)]*\)) \.\.\. (ok|FAIL|ERROR|skipped)", 1, 2),
+    "jest": (r"^(PASS|FAIL) \s*(\S+)", 2, 1),
+    "dayjs": (r"^(PASS|FAIL) \s*(\S+)", 2, 1),
+    "unittest": (r"^(?=(?:FAIL|ERROR): |.*\.\.\. (?:FAIL$|ERROR$|ok$|skipped ))(?:(?=FAIL|ERROR)(FAIL|ERROR): )?(.*?)(?: *\.\.\. (FAIL|ERROR|ok|skipped).*)?$", 2, 1),
     "sympy": (r"^(test_\w+)\s+(ok|F|E|f)\b", 1, 2),
-    "maven": (r"^\[(?:INFO|ERROR)\]\s+(Tests run|FAIL)\S*.*\s(\S+)$", 2, 1),
+    "maven": (r"^(?=.*Tests run:)(?=.*Time elapsed:)(?=.*Errors: ([0-9]+))?(?=.*Failures: ([0-9]+))?.*?- in (.*?)(?:- in .*)?$", 3, 1),
 }
-# Statuses as graded.
+#: Statuses as graded.
 STATUS = {"PASSED": "PASSED", "PASS": "PASSED", "ok": "PASSED", "XFAIL": "PASSED", "FAILED": "FAILED", "FAIL": "FAILED", "F": "FAILED", "f": "FAILED", "ERROR": "ERROR", "E": "ERROR", "SKIPPED": "SKIPPED", "skipped": "SKIPPED", "Tests run": "PASSED"}
 
 
@@ -58,7 +59,24 @@ def test_statuses(logs: DataFrame, key: str = "instance_id", text: str = "log",
     if after:
         passed = F.max(F.contains(F.col("line"), F.lit(after))).over(Window.partitionBy(key).orderBy("pos"))
         l = l.withColumn("open", passed).where("open")
-    found = l.where(F.col("line").rlike(pattern)).select(key, "pos", F.regexp_extract("line", pattern, test).alias("test"), F.regexp_extract("line", pattern, status).alias("raw"))
+    part = lambda k: F.regexp_extract("line", pattern, k)
+    name, raw = part(test), part(status)
+    if grammar == "maven":  # failed if any error or failure is counted, passed if both are counted as none
+        errors, failures = part(1).try_cast("int"), part(2).try_cast("int")
+        name = F.concat(F.lit("org."), F.trim(part(3)))
+        raw = F.when((errors > 0) | (failures > 0), "FAILED").when((errors == 0) & (failures == 0), "PASSED")
+    elif grammar == "unittest":
+        l = l.withColumn("line", F.trim("line"))
+        name, raw = F.trim(name), F.when(raw != "", raw).otherwise(part(3))
+    found = l.where(F.col("line").rlike(pattern)).select(key, "pos", name.alias("test"), raw.alias("raw")).where("raw is not null")
+    if grammar == "dayjs":  # runs of the time zone tests are told apart by their number
+        again = F.col("test") == "test/timezone.test.js"
+        own = F.row_number().over(Window.partitionBy(key, "test").orderBy("pos"))
+        found = found.withColumn("test", F.when(again, F.concat("test", F.lit("("), own, F.lit(")"))).otherwise(F.col("test")))
+    if grammar == "unittest":  # an "ok" on a line of its own closes the test named last before " ... "
+        named = F.last(F.when(F.contains("line", F.lit(" ... ")), F.trim(F.substring_index("line", " ... ", 1))), ignorenulls=True).over(Window.partitionBy(key).orderBy("pos"))
+        late = l.select(key, "pos", named.alias("test"), F.lit("ok").alias("raw"), "line").where(F.col("line").startswith("ok") & F.col("test").isNotNull())
+        found = found.unionByName(late.drop("line"))
     graded = F.coalesce(*(F.when(F.col("raw") == k, v) for k, v in STATUS.items()))
     return found.groupBy(key, "test").agg(F.max_by(graded, "pos").alias("status"))
 

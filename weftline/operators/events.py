@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions import text as X
+
 
 def matching(events: DataFrame, id_col: str = "id", types: list[str] | None = None, without: list[str] | None = None, source: str | None = None, start=None, end=None, text: str | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
     """F12, F13, E03, E04. Events by type, source, inclusive times and ids, and a text anywhere in them in any case."""
@@ -56,6 +58,20 @@ def token_offset(token: Column) -> Column:
     return F.coalesce(F.unbase64(token).cast("string").cast("long"), F.lit(0))
 
 
+def append(log: DataFrame, new: DataFrame, key: str, order: list[Column], id_col: str = "id", text: str = "content", secrets: list[str] | None = None) -> DataFrame:
+    """E01. New events with the ids that follow on their own log's (key) last one, in a stated order, and without secrets.
+
+    An event that has an id already is an error. Logs are numbered apart, so nothing is ordered over all of them.
+    """
+    if id_col in new.columns:
+        taken = F.raise_error(F.concat(F.lit("an event has an id already: "), F.col(id_col).cast("string"))).cast("boolean")
+        new = new.where(F.when(F.col(id_col).isNull(), True).otherwise(taken)).drop(id_col)
+    last = log.groupBy(key).agg(F.max(id_col).alias("w_last"))
+    n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    numbered = new.withColumn("w_n", n).join(last, key, "left")
+    return numbered.withColumn(id_col, F.coalesce("w_last", F.lit(-1)) + F.col("w_n")).withColumn(text, X.redact_secrets(F.col(text), secrets or [])).drop("w_n", "w_last")
+
+
 def next_id(events: DataFrame, id_col: str = "id") -> DataFrame:
     """E02."""
     return events.agg((F.coalesce(F.max(id_col), F.lit(-1)) + 1).alias("next_id"))

@@ -75,6 +75,21 @@ def shortest_hops(edges: DataFrame, pairs: DataFrame, hops: int = -1) -> DataFra
     return joined.select("a", "b", F.coalesce("depth", F.lit(UNREACHED)).cast("long").alias("hops"))
 
 
+def get_nodes(nodes: DataFrame, holds) -> DataFrame:
+    """F10, X03. Nodes for which a predicate, given a function from a column's name to its Column, holds."""
+    return nodes.where(holds(_Fields()))
+
+
+def get_edges(edges: DataFrame, holds) -> DataFrame:
+    """F10, X03. Edges for which a predicate holds."""
+    return edges.where(holds(_Fields()))
+
+
+class _Fields:
+    def __getitem__(self, name: str) -> Column:
+        return F.col(name)
+
+
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """G07, G17. Edges with both ends among the nodes (id)."""
     ids = nodes.select("id").distinct()

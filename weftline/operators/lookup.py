@@ -42,7 +42,7 @@ class DenseRetriever:
 CONDENSERS: dict[str, Callable[..., DataFrame]] = {"none": lambda df, **_: df, "recent": E.head_tail, "amortized": E.amortized, "attention": E.attention_fill, "mask_old": E.mask_old, "mask_type": E.mask_type_tail}
 
 # Which grammar a repository's test log follows, by a part of its name.
-PARSERS = {"jest": "jest", "prettier": "jest", "babel": "jest", "tailwind": "jest", "dayjs": "jest", "assertj": "maven", "netty": "maven", "sympy": "sympy", "dateutil": "unittest"}
+PARSERS = {"jest": "jest", "prettier": "jest", "babel": "jest", "tailwind": "jest", "dayjs": "dayjs", "assertj": "maven", "netty": "maven", "sympy": "sympy", "dateutil": "unittest"}
 
 
 def parser_of(repository: Column) -> Column:
@@ -161,12 +161,16 @@ def cross_file(edges: DataFrame, nodes: DataFrame, before_line: bool = False) ->
     return found.where(F.col("line") < F.col("s_start_line")) if before_line else found
 
 
-def related_files(files: DataFrame) -> DataFrame:
+def related_files(files: DataFrame, least_share: float | None = None) -> DataFrame:
     """J17. a, b: files that share a token of over two signs in their stems, by an equi-join on the tokens.
 
-    A token that all files have makes all pairs; callers leave such tokens out or take the counts of name_index first.
+    With least_share, tokens that at least such a share of the files has tell nothing and are left out: they alone would
+    make all pairs.
     """
     tokens = files.select("file", F.explode(X.stem_tokens(F.col("file"))).alias("token"))
+    if least_share is not None:
+        common = tokens.groupBy("token").count().where(F.col("count") >= least_share * files.count()).select("token")
+        tokens = tokens.join(common, "token", "left_anti")
     other = tokens.select(F.col("file").alias("b"), "token")
     return tokens.join(other, "token").where(F.col("file") != F.col("b")).select(F.col("file").alias("a"), "b").distinct()
 

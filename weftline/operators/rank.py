@@ -12,6 +12,12 @@ def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("w_n", n).where("w_n = 1").drop("w_n")
 
 
+def min_per_key(df: DataFrame, keys: list[str], score: str, tie: str) -> DataFrame:
+    """A22. The row of the least score of each key, by tie among equals; one aggregation, combined before the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(score, tie)).alias("w_row")).select(*keys, *(F.col(f"w_row.{c}").alias(c) for c in rest))
+
+
 def vote(lists: DataFrame, key: str, sample: str, items: str, method: str = "majority") -> DataFrame:
     """A18, A19. key, item, weight, rank: counts of items over sample lists, or sums of 1 / place; ties by first seen."""
     each = lists.select(key, sample, F.posexplode(items).alias("pos", "item"))
@@ -22,11 +28,12 @@ def vote(lists: DataFrame, key: str, sample: str, items: str, method: str = "maj
 
 
 def gated_vote(patches: DataFrame) -> DataFrame:
-    """A20. instance, pick of (instance, idx, key, regression_failures, reproduced): the most frequent key among blank-free
-    patches with least regression failures, reproduced ones if there are any; ties by first index, then key."""
+    """A20. instance, pick of (instance, idx, key, regression_failures, reproduced): the most frequent key among the patches
+    with least regression failures of all, reproduced ones if there are any; blank ones go after the least is taken. Ties
+    by first index, then key."""
     own = Window.partitionBy("instance")
-    filled = patches.where(F.trim("key") != "")
-    best = filled.withColumn("least", F.min("regression_failures").over(own)).where("regression_failures = least")
+    least = patches.withColumn("least", F.min("regression_failures").over(own)).where("regression_failures = least")
+    best = least.where(F.trim("key") != "")
     some = best.withColumn("any", F.max(F.col("reproduced").cast("int")).over(own)).where((F.col("any") == 0) | F.col("reproduced"))
     counted = some.groupBy("instance", "key").agg(F.count("*").alias("votes"), F.min("idx").alias("first"))
     return counted.groupBy("instance").agg(F.min_by("key", F.struct(-F.col("votes"), F.col("first"), F.col("key"))).alias("pick"), F.max("votes").alias("votes"))

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def merge_metrics(parts: DataFrame, keys: list[str], summed: list[str], most: list[str]) -> DataFrame:
+    """A16. Metrics of several runs as one: sums and maxima, so that merging merged ones gives the same."""
+    return parts.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in summed), *(F.max(c).alias(c) for c in most))
+
+
 def most_common(df: DataFrame, key: str, n: int | None = None) -> DataFrame:
     """A04, A08. key and count, largest first, ties by key; all or the first n."""
     counted = df.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key)

@@ -21,6 +21,26 @@ def event_filter(spark, sf_dir):
     return E.matching(found.select("event_id", "user_id", "props"), text=None).where(F.contains("props", F.lit("7"))).select("event_id", "user_id")
 
 
+@query("select event_id, user_id, props from events where ts >= timestamp '2024-01-05' and ts <= timestamp '2024-01-20' and event_id between 200 and 9000 and contains(lower(props), '\"k\": 7')")
+def event_search(spark, sf_dir):
+    """By inclusive times and ids, and a text of the payload in any case."""
+    e = _events(spark, sf_dir).select("event_id", "user_id", "ts", F.col("props").alias("content"))
+    found = E.matching(e.withColumn("content", F.replace("content", F.lit('"'), F.lit("'"))), "event_id", start="2024-01-05", end="2024-01-20", first=200, last=9000, text="'K': 7")
+    return found.select("event_id", "user_id", F.replace("content", F.lit("'"), F.lit('"')).alias("props"))
+
+
+@query(
+    """with l as (select user_id, max(event_id) as last from events where event_type = 'click' group by user_id)
+select user_id, coalesce(last, -1) + row_number() over (partition by user_id order by ts, event_id) as id, replace(event_type || ' token ' || event_id % 7, 'token', '<secret_hidden>') as content from events left join l using (user_id) where event_type <> 'click'"""
+)
+def event_append(spark, sf_dir):
+    """All but clicks appended to each user's log of clicks, with following ids and without secrets."""
+    e = _events(spark, sf_dir)
+    log = e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("id"))
+    new = e.where("event_type <> 'click'").select("user_id", "ts", "event_id", F.concat(F.col("event_type"), F.lit(" token "), F.col("event_id") % 7).alias("content"))
+    return E.append(log, new, "user_id", [F.col("ts"), F.col("event_id")], secrets=["token"]).select("user_id", "id", "content")
+
+
 @query("select event_id, event_type, to_base64(encode((row_number() over (order by event_id) - 1)::varchar)) as token from events where event_type <> 'view' and event_id >= 100 order by event_id limit 50")
 def event_page(spark, sf_dir):
     """A page of fifty with each row's token (a limit is the feature)."""

@@ -86,7 +86,7 @@ def graph_khop_both(spark, sf_dir):
 def graph_shortest_hops(spark, sf_dir):
     """Hops between every region and every order."""
     pairs = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("a")).crossJoin(table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("b")))
-    return G.shortest_hops(edges(spark, sf_dir, 3), pairs, 3)
+    return G.shortest_hops(edges(spark, sf_dir), pairs, 3)
 
 
 @query(f"with {_EDGES}, {_NODES}, s as (select id from nodes where label in ('BUILDING', '1-URGENT', 'Brand#11') or type in ('region', 'nation')) select * from edges where src in (select id from s) and dst in (select id from s)")

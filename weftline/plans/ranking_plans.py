@@ -138,8 +138,7 @@ def vote_rr_sum(spark, sf_dir):
 
 @query(
     """with p as (select l_orderkey as instance, l_linenumber as idx, case when l_quantity < 10 then '' else l_returnflag || l_linestatus end as key, l_suppkey % 3 as bad, l_partkey % 4 = 0 as ok from lineitem),
-f as (select * from p where trim(key) <> ''),
-b as (select * from (select *, min(bad) over (partition by instance) as least from f) where bad = least),
+b as (select * from (select *, min(bad) over (partition by instance) as least from p) where bad = least and trim(key) <> ''),
 s as (select * from (select *, max(ok) over (partition by instance) as any_ok from b) where not any_ok or ok),
 c as (select instance, key, count(*) as votes, min(idx) as first from s group by instance, key)
 select instance, arg_min(key, struct_pack(a := -votes, b := first, c := key)) as pick, max(votes) as votes from c group by instance"""

@@ -91,12 +91,12 @@ def _items(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-@query(f"with {bm25_sql('documents', '(select item_id as query_id, text, lang from benchmark, (select distinct lang from documents))'.replace('item_id as query_id', 'item_id * 10 + length(lang) * 0 + ascii(lang) % 10 as query_id'), 5, 'lang')} select * from bm25")
+@query(f"with {bm25_sql('documents', '(select item_id as query_id, text, lang from benchmark, (select distinct lang from documents))'.replace('item_id as query_id', "item_id || '/' || lang as query_id"), 5, 'lang')} select * from bm25")
 def bm25_by_lang_partition(spark, sf_dir):
-    """Statistics of each language's own corpus; query ids carry the language in their last digit."""
+    """Five best documents of each language for every item, by statistics of the language's own corpus."""
     docs = table(spark, sf_dir, "documents")
     items = table(spark, sf_dir, "benchmark").crossJoin(docs.select("lang").distinct())
-    q = items.select((F.col("item_id") * 10 + F.ascii("lang") % 10).alias("query_id"), "text", "lang")
+    q = items.select(F.concat_ws("/", F.col("item_id").cast("string"), "lang").alias("query_id"), "text", "lang")
     return R.bm25(docs, q, 5, within="lang").select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -116,15 +116,15 @@ def bm25_filtered_fallback(spark, sf_dir):
 
 @query(
     f"""with whole as (select cast(regexp_replace(source, 'src', '') as bigint) as doc_id, string_agg(text, chr(10) order by doc_id) as text from documents group by source),
-first as (with {bm25_sql("whole", _BENCH, 5)} select query_id, doc_id as src from bm25),
+first as (with {bm25_sql("whole", _BENCH, 40)} select query_id, doc_id as src from bm25),
 restricted as (select query_id as part_id, doc_id, text from documents join first on 'src' || src = source),
-second as (with {bm25_sql("restricted", "(select query_id, text, query_id as part_id from " + _BENCH + ")", 10, "part_id")} select * from bm25)
+second as (with {bm25_sql("restricted", "(select query_id, text, query_id as part_id from " + _BENCH + ")", 15, "part_id")} select * from bm25)
 select * from second"""
 )
 def cascade_retrieval(spark, sf_dir):
-    """Five best sources, then ten best documents in them with the restricted corpus's statistics."""
+    """Forty best sources, then fifteen best documents in them with the restricted corpus's statistics."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_replace("source", "src", "").cast("long").alias("src"))
-    found = R.cascade(docs, _items(spark, sf_dir), "src", pool=5, k=10)
+    found = R.cascade(docs, _items(spark, sf_dir), "src", pool=40, k=15)
     return found.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -157,18 +157,19 @@ def dense_pair_threshold(spark, sf_dir):
 
 @query(
     f"""with {bm25_sql("documents", _BENCH, 20)},
-short as (select doc_id, substr(text, 1, 400) as text from documents),
-other as (with {bm25_sql("short", _BENCH, 20)} select * from bm25),
+other as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from (
+  select query_id, doc_id, round(cast(list_sum(list_transform(list_intersect(q, t), lambda x: 1)) as double) / len(q), 6) as score
+  from (select item_id as query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: length(x) >= 6)) as q from benchmark),
+    (select doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: length(x) >= 6)) as t from documents) where len(list_intersect(q, t)) > 0) qualify rank <= 20),
 both_ as (select * from bm25 union all select * from other),
 f as (select query_id, doc_id, round(sum(1.0e0 / (60 + rank)), 6) as score, min(rank) as best_rank from both_ group by query_id, doc_id),
 r as (select *, row_number() over (partition by query_id order by score desc, best_rank, doc_id) as rank from f)
 select query_id, doc_id, score, best_rank, rank from r where rank <= 15"""
 )
 def rrf_fusion(spark, sf_dir):
-    """Fusion of rankings over whole texts and over their openings."""
+    """Fusion of two rankings over whole texts, by BM25 and by the share of an item's long signal tokens."""
     docs, items = table(spark, sf_dir, "documents"), _items(spark, sf_dir)
-    opening = docs.select("doc_id", F.substring("text", 1, 400).alias("text"))
-    fused = R.reciprocal_rank_fusion(R.bm25(docs, items, 20).unionByName(R.bm25(opening, items, 20)))
+    fused = R.reciprocal_rank_fusion(R.bm25(docs, items, 20).select("query_id", "doc_id", "rank").unionByName(R.token_share(docs, items, 20, least=6).select("query_id", "doc_id", "rank")))
     return fused.select("query_id", "doc_id", "score", F.col("best_rank").cast("long").alias("best_rank"), F.col("rank").cast("long").alias("rank"))
 
 

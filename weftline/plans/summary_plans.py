@@ -222,6 +222,36 @@ def log_status_last(spark, sf_dir):
     return test_statuses(spark.createDataFrame(_LOGS, "instance_id string, log string"))
 
 
+_TESTS = "(select l_orderkey as instance_id, l_partkey as t, cast(max(l_quantity) as integer) % 4 as s from lineitem group by all)"
+_RUN = {
+    "unittest": """case s when 0 then 'test_' || t || ' (a.B) ... ok' when 1 then 'test_' || t || ' (a.B) ... FAIL' when 2 then 'test_' || t || ' (a.B) ... some output' || chr(10) || 'ok' else 'ERROR: test_' || t || ' (a.B)' end""",
+    "maven": """'[INFO] Tests run: 5, Failures: ' || cast(s = 1 as integer) || ', Errors: ' || cast(s = 3 as integer) || ', Skipped: 0, Time elapsed: 0.1 s - in pkg.T' || t""",
+    "jest": """case when s % 2 = 0 then 'PASS ' else 'FAIL ' end || 'src/t' || t || '.test.js (5 s)' || chr(10) || ' PASS not/at/start.js'""",
+}
+
+
+@query(
+    "select instance_id, 'unittest' as grammar, 'test_' || t || ' (a.B)' as test, case s when 1 then 'FAILED' when 3 then 'ERROR' else 'PASSED' end as status from "
+    + _TESTS
+    + " union all select instance_id, 'maven', 'org.pkg.T' || t, case when s in (1, 3) then 'FAILED' else 'PASSED' end from "
+    + _TESTS
+    + " union all select instance_id, 'jest', 'src/t' || t || '.test.js', case when s % 2 = 0 then 'PASSED' else 'FAILED' end from "
+    + _TESTS
+)
+def log_grammars(spark, sf_dir):
+    """Logs of three frameworks made of every order's items."""
+    from weftline.operators.diffs import test_statuses
+
+    tests = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("instance_id"), F.col("l_partkey").alias("t")).agg((F.max("l_quantity").cast("int") % 4).alias("s"))
+    out = None
+    for grammar, line in _RUN.items():
+        lines = tests.select("instance_id", "t", F.expr(line.replace("chr(10)", "char(10)").replace("cast(s = 1 as integer)", "int(s = 1)").replace("cast(s = 3 as integer)", "int(s = 3)")).alias("line"))
+        logs = lines.groupBy("instance_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "line"))), lambda x: x["line"]), "\n").alias("log"))
+        own = test_statuses(logs, grammar=grammar).select("instance_id", F.lit(grammar).alias("grammar"), "test", "status")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 @query("select * from (values ('i1', 0.5e0, 1.0e0, 'PARTIAL'), ('i2', 1.0e0, 1.0e0, 'FULL'), ('i3', 0.0e0, 1.0e0, 'NO')) t(instance_id, f2p, p2p, resolution)")
 def resolution_status(spark, sf_dir):
     """On logs and gold written out here."""
