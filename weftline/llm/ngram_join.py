@@ -36,6 +36,8 @@ BANDS, ROWS = 32, 4
 VALUES = BANDS * ROWS
 STEP = 16
 BLOCK = 256
+#: Pairs of a group from which on it is cheaper to look for earlier meetings first; results are the same.
+MANY = 4096
 PIECE = 1_000_000
 _MULTIPLIERS = W._mix(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -69,10 +71,10 @@ def minhashes(value: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
-    """One 64-bit key for every one of the first bands of every row."""
-    out = np.empty((len(sig), bands), np.uint64)
-    for b in range(bands):
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """One 64-bit key for every band of every row."""
+    out = np.empty((len(sig), BANDS), np.uint64)
+    for b in range(BANDS):
         key = np.full(len(sig), b + 1, np.uint64)
         for r in range(ROWS):
             key = W._mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, b * ROWS + r])
@@ -102,15 +104,20 @@ def _pairs(sig: np.ndarray, block: np.ndarray, first: int, second: int, band: in
         i, j = a[i], a[j]
     else:
         i, j = np.repeat(a, len(b)), np.tile(b, len(a))
-    keys = band_keys(sig, band)
-    for e in range(band):
-        stay = keys[i, e] != keys[j, e]
+    many = len(i) > MANY
+    for e in range(band if many else 0):  # in a large group of near copies nearly all pairs met before
+        stay = (sig[i, e * ROWS : (e + 1) * ROWS] != sig[j, e * ROWS : (e + 1) * ROWS]).any(1)
         i, j = i[stay], j[stay]
     matches = np.zeros(len(i), np.int32)
     for n, m in least.items():
         matches += (sig[i, n - STEP : n] == sig[j, n - STEP : n]).sum(1, dtype=np.int32)
         stay = matches >= m
         i, j, matches = i[stay], j[stay], matches[stay]
+        if not len(i):
+            return i, j
+    if band and not many:
+        met = (sig[i, : band * ROWS] == sig[j, : band * ROWS]).reshape(-1, band, ROWS).all(2).any(1)
+        i, j = i[~met], j[~met]
     return i, j
 
 
