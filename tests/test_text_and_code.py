@@ -79,6 +79,45 @@ def test_pattern_entities(files):
     assert got == {("src/card.js", "class", "Card", 3, 9), ("src/card.js", "method", "Card.render", 4, 8), ("src/card.js", "function", "go", 10, 12), ("src/lib/help.js", "function", "help", 1, 3)}
 
 
+def test_entities_of_other_languages(spark):
+    go = "package a\n// struct No\ntype S struct {\n}\nfunc Run(x int) {\n  if x {\n  }\n}\n"
+    rust = "struct P { x: i32 }\nfn go() {\n}\n"
+    rows = [("a.go", go), ("a.rs", rust), ("a.c", "int main(void) {\n  while (1) { }\n}"), ("a.md", "class No {"), ("README.c", "class No {")]
+    got = {(r.file, r.kind, r.name, r.start_line, r.end_line) for r in C.pattern_entities(spark.createDataFrame(rows, "file string, text string")).collect()}
+    assert got == {("a.go", "function", "Run", 5, 8), ("a.rs", "class", "P", 1, 1), ("a.rs", "function", "go", 2, 3), ("a.c", "function", "main", 1, 3)}
+
+
+def test_python_files_that_do_not_parse(spark):
+    bad = "class K:\n    def a(self):\n        x = (\n# note\n        y\n\n    async def b(self):\n        z\nq\n@deco\ndef c():\n  pass\n"
+    rows = [("bad.py", bad), ("good.py", "def f():\n    pass\n"), ("none.py", None), ("x.js", "class K:")]
+    got = {(r.file, r.kind, r.qualified_name, r.start_line, r.end_line) for r in C.python_entities(spark.createDataFrame(rows, "file string, text string")).collect()}
+    assert got == {("bad.py", "class", "K", 1, 8), ("bad.py", "function", "a", 2, 6), ("bad.py", "function", "b", 7, 8), ("bad.py", "function", "c", 11, 13), ("good.py", "function", "f", 1, 2)}
+
+
+def test_block_ends_against_brute_force(spark):
+    """Blocks of random braces end where a scan from each head says."""
+    import random
+
+    rng = random.Random(5)
+    files = []
+    for f in range(20):
+        lines = [rng.choice(["function f%d() {" % i, "{", "}", "} }", "x", "{ }", "const g%d = (a) => a" % i, "}}{", "function h%d()" % i]) for i in range(40)]
+        files.append((f"f{f}.js", "\n".join(lines)))
+    expected = set()
+    for file, text in files:
+        lines, depth = text.split("\n"), []
+        for line in lines:
+            depth.append((depth[-1] if depth else 0) + line.count("{") - line.count("}"))
+        for i, line in enumerate(lines):
+            if line[0] not in "fc":
+                continue
+            base, opens = depth[i] - line.count("{") + line.count("}"), "{" in line
+            ends = [j for j in range(i if opens else i + 1, len(lines)) if depth[j] <= base]
+            expected.add((file, i + 1, (ends[0] if ends else i) + 1))
+    got = {(r.file, r.start_line, r.end_line) for r in C.pattern_entities(spark.createDataFrame(files, "file string, text string")).collect()}
+    assert got == expected
+
+
 def test_relations_resolve(files):
     entities = C.pattern_entities(files)
     edges = {tuple(r) for r in C.symbol_edges(C.mentions(files), entities).select("src", "dst", "type").collect()}
@@ -122,6 +161,12 @@ def test_diffs(spark):
     assert {(r.test, r.status) for r in got} == {("test_a (m.T)", "PASSED"), ("test_b (m.T)", "FAILED")}
     after = D.test_statuses(spark.createDataFrame([("i", "PASSED early\n== short test summary info\nPASSED late")], "instance_id string, log string"), after="short test summary info").collect()
     assert [r.test for r in after] == ["late"]
+    log = "FAILED t[MouseButton.LEFT] - no\nPASSED u[MouseButton.RIGHT]\nFAILED - v\nPASSED"
+    got = D.test_statuses(spark.createDataFrame([("i", log)], "instance_id string, log string"), grammar="matplotlib").collect()
+    assert {(r.test, r.status) for r in got} == {("t[1]", "FAILED"), ("u[3]", "PASSED"), ("v", "FAILED")}
+    log = "--version is equivalent to version x\ntest_a (m) ... Internal Server Error: /x/\nok\ntest_b (m) ... System check identified no issues (0 silenced)\nok\nFAIL: test_b (m)\ntest_b (m) ... FAIL"
+    got = D.test_statuses(spark.createDataFrame([("i", log)], "instance_id string, log string"), grammar="unittest").collect()
+    assert {("--version is equivalent to version", "PASSED"), ("test_a (m)", "PASSED"), ("test_b (m)", "PASSED")} <= {(r.test, r.status) for r in got}
     lines = spark.createDataFrame([("f", 1, i + 1, x) for i, x in enumerate(["a {", " b {", " }", "}", "c"])], "key string, start_line int, line_no int, line string")
     assert [tuple(r) for r in D.block_ends(lines, "key").collect()] == [("f", 1, 4)]
 

@@ -18,28 +18,52 @@ DEFINITIONS = {
     "java": (("class", r"^\s*(?:public\s+|private\s+|protected\s+|abstract\s+|final\s+|static\s+)*(?:class|interface|enum)\s+([A-Za-z_$][\w$]*)"), ("method", r"^\s+(?:public|private|protected|static|final|synchronized|\s)+[\w$<>\[\], ?]+\s+([A-Za-z_$][\w$]*)\s*\([^;]*\)\s*(?:throws\s+[\w$., ]+)?\{\s*$")),
 }
 DEFINITIONS["typescript"] = DEFINITIONS["javascript"]
+# Patterns of definitions in all other code files (go, rust, c and the like), and in Python files.
+DEFINITIONS["other"] = (("class", r"\b(?:class|struct|interface)\s+([A-Za-z_]\w*)\b"), ("function", r"^\s*(?:func|fn)\s+([A-Za-z_]\w*)\s*\("), ("function", r"^\s*[A-Za-z_][\w:<>\s*&]*\s+([A-Za-z_]\w*)\s*\([^;{}]*\)\s*\{"))
+PYTHON_DEFINITIONS = (("class", r"^\s*class\s+([A-Za-z_]\w*)\b"), ("function", r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)\s*\("))
 # Words that look like method names but are not.
 KEYWORDS = ("if", "for", "while", "switch", "catch", "return", "function", "else", "do", "try", "new")
 
 
+def _next_at_most(lines: DataFrame) -> DataFrame:
+    """Lines that have a base, with close: the first later line (file, n) whose level is at most base.
+
+    That is the next line, or one that falls from above base to it. Lines are noted at the levels that they fall through,
+    so that heads meet their ends in one window, in time that grows with the falls and not with heads times lines.
+    """
+    w = Window.partitionBy("file").orderBy("n")
+    seen = lines.select("*", F.lead(F.struct("level", "n")).over(w).alias("next"), F.lag("level").over(w).alias("above"))
+    falls = seen.where("level < above").select("file", "n", F.explode(F.sequence("level", F.col("above") - 1)).alias("base"), F.lit(False).alias("head"))
+    both = seen.where("base is not null").withColumn("head", F.lit(True)).unionByName(falls, allowMissingColumns=True)
+    back = Window.partitionBy("file", "base").orderBy(F.desc("n"), F.desc("head")).rowsBetween(Window.unboundedPreceding, -1)
+    late = both.withColumn("fall", F.last(F.when(~F.col("head"), F.col("n")), ignorenulls=True).over(back)).where("head")
+    return late.withColumn("close", F.when(F.col("next.level") <= F.col("base"), F.col("next.n")).otherwise(F.col("fall"))).drop("next", "above", "head", "fall")
+
+
+def _numbered(files: DataFrame) -> DataFrame:
+    return files.select("file", X.language_of(F.col("file")).alias("lang"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "line")).withColumn("n", F.col("n") + 1)
+
+
 def pattern_entities(files: DataFrame) -> DataFrame:
     """T11, T12, J09. Definitions by the first line pattern that fits; a block ends where its braces balance.
 
-    A method's class is the narrowest one around it.
+    A method's class is the narrowest one around it. Code files of no named language go by the patterns of "other";
+    Python files are read by python_entities.
     """
-    lang = X.language_of(F.col("file"))
-    lines = files.select("file", lang.alias("lang"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "line")).withColumn("n", F.col("n") + 1)
+    lines = _numbered(files)
     kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
+    other = (F.col("lang") == "") & X.is_code_path(F.col("file")) & ~F.col("line").rlike(r"^\s*(//|\*|#)")
     for family, patterns in DEFINITIONS.items():
         for k, p in reversed(patterns):
-            fits = (F.col("lang") == family) & F.col("line").rlike(p)
+            fits = (other if family == "other" else F.col("lang") == family) & F.col("line").rlike(p)
             kind, name = F.when(fits, k).otherwise(kind), F.when(fits, F.regexp_extract("line", p, 1)).otherwise(name)
     count = lambda c: F.length("line") - F.length(F.replace(F.col("line"), F.lit(c), F.lit("")))
     w = Window.partitionBy("file").orderBy("n")
-    depth = lines.select("*", kind.alias("kind"), name.alias("name"), F.sum(count("{") - count("}")).over(w).alias("after"), (count("{") > 0).alias("opens"))
-    heads = depth.where(F.col("kind").isNotNull() & ~F.col("name").isin(*KEYWORDS)).select("file", "kind", "name", F.col("n").alias("start_line"), (F.col("after") - count("{") + count("}")).alias("before"), "opens")
-    ends = heads.join(depth.select("file", "n", "after"), "file").where((F.col("n") >= F.col("start_line")) & (F.col("after") <= F.col("before")) & (F.col("opens") | (F.col("n") > F.col("start_line"))))
-    closed = heads.join(ends.groupBy("file", "start_line").agg(F.min("n").alias("end_line")), ["file", "start_line"], "left").withColumn("end_line", F.coalesce("end_line", "start_line")).drop("before", "opens")
+    depth = lines.select("file", "n", kind.alias("kind"), name.alias("name"), F.sum(count("{") - count("}")).over(w).alias("level"), count("{").alias("opened"), count("}").alias("closed"))
+    head = F.col("kind").isNotNull() & ~F.col("name").isin(*KEYWORDS)
+    found = _next_at_most(depth.withColumn("base", F.when(head, F.col("level") - F.col("opened") + F.col("closed"))))
+    end = F.when((F.col("opened") > 0) & (F.col("level") <= F.col("base")), F.col("n")).otherwise(F.coalesce("close", "n"))
+    closed = found.select("file", "kind", "name", F.col("n").alias("start_line"), end.alias("end_line"))
     outer = closed.where("kind = 'class'").select("file", F.col("name").alias("class"), F.col("start_line").alias("c_start"), F.col("end_line").alias("c_end"))
     inner = closed.join(outer, "file", "left")
     fits = (F.col("kind") == "method") & (F.col("c_start") < F.col("start_line")) & (F.col("start_line") <= F.col("c_end"))
@@ -47,13 +71,29 @@ def pattern_entities(files: DataFrame) -> DataFrame:
     return owner.select("file", "kind", "name", F.when((F.col("kind") == "method") & F.col("class").isNotNull(), F.concat_ws(".", "class", "name")).otherwise(F.col("name")).alias("qualified_name"), "start_line", "end_line")
 
 
-def python_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """G15. Entities of Python files and their name-level references (file, owner, kind, target).
+def python_pattern_entities(files: DataFrame) -> DataFrame:
+    """T11, T12. Classes and functions of Python files by line patterns, with their blocks by indentation.
 
-    Kinds: inherits (bases), imports, and invokes: a class's calls are those of its decorators and __init__, a function's
-    those of its decorators and body without nested definitions. Names are cut to their last part; files that do not
-    parse have nothing.
+    A block ends before the next line of text that is indented no deeper, comments and decorators aside.
     """
+    lines = _numbered(files).where("lang = 'python'")
+    fits = [(k, F.regexp_extract("line", p, 1)) for k, p in PYTHON_DEFINITIONS]
+    kind, name = F.coalesce(*(F.when(x != "", k) for k, x in fits)), F.coalesce(*(F.when(x != "", x) for _, x in fits))
+    indent = F.length(F.regexp_extract("line", r"^\s*", 0))
+    last = F.max("n").over(Window.partitionBy("file"))
+    text = lines.select("file", "n", kind.alias("kind"), name.alias("name"), indent.alias("level"), last.alias("last"), F.regexp_extract("line", r"\S", 0).alias("sign")).where("sign not in ('', '#', '@')")
+    found = _next_at_most(text.withColumn("base", F.when(F.col("kind").isNotNull(), F.col("level"))))
+    return found.select("file", "kind", "name", F.col("name").alias("qualified_name"), F.col("n").alias("start_line"), F.coalesce(F.col("close") - 1, F.col("last")).alias("end_line"))
+
+
+def python_entities(files: DataFrame) -> DataFrame:
+    """T11. Entities of Python files by their syntax trees, of files that do not parse by line patterns."""
+    broken = files.join(_parsed(files).where("what = 'broken'").select("file").distinct(), "file", "left_semi")
+    return python_graph(files)[0].unionByName(python_pattern_entities(broken))
+
+
+def _parsed(files: DataFrame) -> DataFrame:
+    """Entities and references of Python files; a row of what = broken for a file that does not parse."""
     import ast
 
     import pandas as pd
@@ -96,11 +136,22 @@ def python_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
                 try:
                     tree = ast.parse(text or "")
                 except (SyntaxError, ValueError):
+                    rows.append((file, "", "broken", "", "", 0, 0))
                     continue
                 visit(file, tree.body, "", rows)
             yield pd.DataFrame(rows, columns=["file", "owner", "what", "kind", "name", "start_line", "end_line"])
 
-    found = files.where(F.endswith("file", F.lit(".py"))).select("file", "text").mapInPandas(parse, "file string, owner string, what string, kind string, name string, start_line int, end_line int")
+    return files.where(F.endswith("file", F.lit(".py"))).select("file", "text").mapInPandas(parse, "file string, owner string, what string, kind string, name string, start_line int, end_line int")
+
+
+def python_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """G15. Entities of Python files and their name-level references (file, owner, kind, target).
+
+    Kinds: inherits (bases), imports, and invokes: a class's calls are those of its decorators and __init__, a function's
+    those of its decorators and body without nested definitions. Names are cut to their last part; files that do not
+    parse have nothing.
+    """
+    found = _parsed(files)
     entities = found.where("what = 'entity'").select("file", "kind", "name", F.col("owner").alias("qualified_name"), "start_line", "end_line")
     return entities, found.where("what = 'reference'").select("file", "owner", "kind", F.col("name").alias("target"))
 

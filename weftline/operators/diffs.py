@@ -40,6 +40,7 @@ def normalized_patch(patch: Column) -> Column:
 
 #: Line grammars of test logs: (pattern, group of the test, group of the status).
 GRAMMARS = {
+    "matplotlib": (r"^(PASSED|FAILED|ERROR|XFAIL|SKIPPED)\S*\s+(\S+)", 2, 1),
     "pytest": (r"^(PASSED|FAILED|ERROR|XFAIL|SKIPPED)\s+(\S+)", 2, 1),
     "suffix": (r"^(\S+)\s+(PASSED|FAILED|ERROR|XFAIL|SKIPPED)\b", 1, 2),
     "jest": (r"^(PASS|FAIL) \s*(\S+)", 2, 1),
@@ -59,6 +60,9 @@ def test_statuses(logs: DataFrame, key: str = "instance_id", text: str = "log",
     if after:
         passed = F.max(F.contains(F.col("line"), F.lit(after))).over(Window.partitionBy(key).orderBy("pos"))
         l = l.withColumn("open", passed).where("open")
+    if grammar == "matplotlib":  # names that hold a mouse button are known by its number
+        plain = F.replace(F.replace("line", F.lit("MouseButton.LEFT"), F.lit("1")), F.lit("MouseButton.RIGHT"), F.lit("3"))
+        l = l.withColumn("line", F.when(F.startswith("line", F.lit("FAILED")), F.replace(plain, F.lit(" - "), F.lit(" "))).otherwise(plain))
     part = lambda k: F.regexp_extract("line", pattern, k)
     name, raw = part(test), part(status)
     if grammar == "maven":  # failed if any error or failure is counted, passed if both are counted as none
@@ -77,6 +81,13 @@ def test_statuses(logs: DataFrame, key: str = "instance_id", text: str = "log",
         named = F.last(F.when(F.contains("line", F.lit(" ... ")), F.trim(F.substring_index("line", " ... ", 1))), ignorenulls=True).over(Window.partitionBy(key).orderBy("pos"))
         late = l.select(key, "pos", named.alias("test"), F.lit("ok").alias("raw"), "line").where(F.col("line").startswith("ok") & F.col("test").isNotNull())
         found = found.unionByName(late.drop("line"))
+        # A test that this line names has passed, and so has one that is cut by one of these messages before its "ok".
+        version = "--version is equivalent to version"
+        found = found.unionByName(l.where(F.contains("line", F.lit(version))).select(key, "pos", F.lit(version).alias("test"), F.lit("ok").alias("raw")))
+        cut = r"^(.*?)\s\.\.\.\s(?:Testing against Django installed in .* silenced\)\.|Internal Server Error: /.*/|System check identified no issues \(0 silenced\))$"
+        after = F.lead("line").over(Window.partitionBy(key).orderBy("pos"))
+        ended = l.select(key, "line", after.alias("after")).where(F.col("line").rlike(cut) & (F.col("after") == "ok"))
+        found = found.unionByName(ended.select(key, F.lit(2**31 - 1).alias("pos"), F.regexp_extract("line", cut, 1).alias("test"), F.lit("ok").alias("raw")))
     graded = F.coalesce(*(F.when(F.col("raw") == k, v) for k, v in STATUS.items()))
     return found.groupBy(key, "test").agg(F.max_by(graded, "pos").alias("status"))
 

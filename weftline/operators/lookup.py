@@ -42,7 +42,7 @@ class DenseRetriever:
 CONDENSERS: dict[str, Callable[..., DataFrame]] = {"none": lambda df, **_: df, "recent": E.head_tail, "amortized": E.amortized, "attention": E.attention_fill, "mask_old": E.mask_old, "mask_type": E.mask_type_tail}
 
 # Which grammar a repository's test log follows, by a part of its name.
-PARSERS = {"jest": "jest", "prettier": "jest", "babel": "jest", "tailwind": "jest", "dayjs": "dayjs", "assertj": "maven", "netty": "maven", "sympy": "sympy", "dateutil": "unittest"}
+PARSERS = {"jest": "jest", "prettier": "jest", "babel": "jest", "tailwind": "jest", "dayjs": "dayjs", "assertj": "maven", "netty": "maven", "sympy": "sympy", "dateutil": "unittest", "django": "unittest", "matplotlib": "matplotlib"}
 
 
 def parser_of(repository: Column) -> Column:
