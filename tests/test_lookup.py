@@ -72,3 +72,24 @@ def test_logs_answers_and_search(spark):
     tasks, done = spark.createDataFrame([("a",), ("b",)], "k string"), spark.createDataFrame([("a",)], "k string")
     assert [r.k for r in K.resume(tasks, done, "k").collect()] == ["b"]
     assert K.CONDENSERS["none"](tasks).count() == 2
+
+
+def test_tools_by_name(spark):
+    tools = K.Tools()
+    tools.add("rows", lambda n, start=0: spark.range(start, n), {"n": int, "start": int}, ("n",))
+    assert tools.call("rows", '{"n": 5, "start": 2}').count() == 3
+    for name, arguments in [("none", "{}"), ("rows", "{}"), ("rows", '{"n": "5"}'), ("rows", '{"n": true}'), ("rows", '{"n": 1, "m": 2}'), ("rows", "[1]")]:
+        with pytest.raises(ValueError):
+            tools.call(name, arguments)
+
+
+def test_pooling_and_prefixes(spark):
+    rows = [(1, [[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [1, 1, 0]), (2, [[1.0, 2.0]], [0]), (3, [], []), (4, None, None)]
+    df = spark.createDataFrame(rows, "id int, s array<array<double>>, m array<int>")
+    got = {r.id: (r.mean, r.cls) for r in df.select("id", K.pooled(F.col("s"), F.col("m")).alias("mean"), K.pooled(F.col("s"), F.col("m"), "cls").alias("cls")).collect()}
+    assert got == {1: ([2.0, 3.0], [1.0, 2.0]), 2: ([0.0, 0.0], [1.0, 2.0]), 3: (None, None), 4: (None, None)}
+    docs = spark.createDataFrame([(1, "ab"), (2, None)], "doc_id long, text string")
+    embed = lambda df: df.withColumn("vector", F.array(F.length("text").cast("double"), F.lit(1.0)))
+    found = K.DenseRetriever(docs, embed, query_prefix="query: ", document_prefix="d: ")
+    assert {r.doc_id: r.vector for r in found.docs.collect()} == {1: [5.0, 1.0], 2: [3.0, 1.0]}
+    assert found.search(spark.createDataFrame([(7, "")], "query_id long, text string"), 1).first().doc_id == 1

@@ -92,6 +92,14 @@ def python_entities(files: DataFrame) -> DataFrame:
     return python_graph(files)[0].unionByName(python_pattern_entities(broken))
 
 
+def defines(entities: DataFrame) -> DataFrame:
+    """G16 (defines). Edges from files to their classes and functions, and from classes to their methods."""
+    whole = F.concat("file", F.lit("::"), "qualified_name")
+    owner = F.regexp_extract("qualified_name", r"^(.*)\.[^.]*$", 1)
+    above = F.when((F.col("kind") == "method") & (owner != ""), F.concat("file", F.lit("::"), owner)).otherwise(F.col("file"))
+    return entities.select(above.alias("src"), whole.alias("dst"), F.lit("defines").alias("type"))
+
+
 def _parsed(files: DataFrame) -> DataFrame:
     """Entities and references of Python files; a row of what = broken for a file that does not parse."""
     import ast

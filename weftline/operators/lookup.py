@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from typing import Protocol
 
@@ -29,13 +30,62 @@ class LexicalRetriever:
 
 
 class DenseRetriever:
-    """X02, R05. embed maps a DataFrame with text to one with a vector, by whatever model it holds."""
+    """X02, R05. embed maps a DataFrame with text to one with a vector, by whatever model it holds.
 
-    def __init__(self, docs: DataFrame, embed: Callable[[DataFrame], DataFrame]):
-        self.embed, self.docs = embed, embed(docs)
+    Models that tell queries from documents by a prefix get it in front of every text.
+    """
+
+    def __init__(self, docs: DataFrame, embed: Callable[[DataFrame], DataFrame], query_prefix: str = "", document_prefix: str = ""):
+        self.embed, self.query_prefix = embed, query_prefix
+        self.docs = embed(prefixed(docs, document_prefix))
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
-        return R.dense(self.docs, self.embed(queries), k)
+        return R.dense(self.docs, self.embed(prefixed(queries, self.query_prefix)), k)
+
+
+def prefixed(texts: DataFrame, prefix: str) -> DataFrame:
+    """Texts (null: empty) behind a prefix; without one they stay as they are."""
+    return texts.withColumn("text", F.concat(F.lit(prefix), F.coalesce("text", F.lit("")))) if prefix else texts
+
+
+def pooled(states: Column, mask: Column, how: str = "mean") -> Column:
+    """R05. One vector of a text's token vectors: the first one (cls) or the mean of those whose mask is not 0.
+
+    No token vectors give null; a mask of zeros only gives zeros for the mean.
+    """
+    if how == "cls":
+        return F.get(states, F.lit(0))
+    if how != "mean":
+        raise ValueError(f"no pooling named {how}")
+    chosen = F.filter(F.arrays_zip(states.alias("v"), mask.alias("m")), lambda x: x["m"] != 0)
+    zero = F.transform(F.get(states, F.lit(0)), lambda x: F.lit(0.0))
+    total = F.aggregate(chosen, zero, lambda s, x: F.zip_with(s, x["v"], lambda a, b: a + b.cast("double")))
+    return F.transform(total, lambda x: x / F.greatest(F.size(chosen), F.lit(1)))
+
+
+class Tools:
+    """X09. Table functions called by name with arguments as JSON; a tool states its arguments and which it needs."""
+
+    def __init__(self):
+        self.known: dict[str, tuple[Callable[..., DataFrame], dict[str, type], tuple[str, ...]]] = {}
+
+    def add(self, name: str, run: Callable[..., DataFrame], arguments: dict[str, type], needed: tuple[str, ...] = ()) -> None:
+        self.known[name] = (run, arguments, needed)
+
+    def call(self, name: str, arguments: str = "{}") -> DataFrame:
+        """The tool's rows. ValueError names an unknown tool or argument, a missing one or one of another type."""
+        if name not in self.known:
+            raise ValueError(f"unknown tool {name}")
+        run, kinds, needed = self.known[name]
+        given = json.loads(arguments or "{}")
+        if not isinstance(given, dict):
+            raise ValueError("arguments must be an object")
+        for key, value in given.items():
+            if key not in kinds or not isinstance(value, kinds[key]) or (isinstance(value, bool) and kinds[key] is not bool):
+                raise ValueError(f"argument {key} of {name} is not known or of another type")
+        if missing := [x for x in needed if x not in given]:
+            raise ValueError(f"{name} needs {', '.join(missing)}")
+        return run(**given)
 
 
 #: X05. Retention by name: log, order and parameters to the rows that stay.

@@ -43,6 +43,28 @@ def code_entities(spark, sf_dir):
     return C.pattern_entities(files(spark, sf_dir)).select("file", "kind", "name", "qualified_name", F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"))
 
 
+@query(f"select case kind when 'method' then file || '::C' || substr(file, 6, length(file) - 8) else file end as src, file || '::' || qualified_name as dst, 'defines' as type from {_ENT}")
+def code_defines(spark, sf_dir):
+    """What files and classes define."""
+    return C.defines(C.pattern_entities(files(spark, sf_dir)))
+
+
+@query(
+    """select 'g' || s_suppkey || '.go' as file, 'class' as kind, 'S' || s_suppkey as name, 1 as start_line, 2 as end_line from supplier
+union all select 'g' || s_suppkey || '.go', 'function', 'Run' || s_suppkey, 3, 6 from supplier
+union all select 'b' || s_suppkey || '.py', 'class', 'K' || s_suppkey, 1, 4 from supplier
+union all select 'b' || s_suppkey || '.py', 'function', 'run', 2, 4 from supplier"""
+)
+def code_entities_by_lines(spark, sf_dir):
+    """Structs and Go functions by braces, Python files that do not parse by indentation."""
+    s = table(spark, sf_dir, "supplier").select(F.col(_K).cast("string").alias("k"))
+    go = F.concat(F.lit("struct S"), "k", F.lit(" {\n}\nfunc Run"), "k", F.lit("(x int) {\n  if x {\n  }\n}\n// class No"))
+    bad = F.concat(F.lit("class K"), "k", F.lit(":\n  def run(self):\n    x = (\n# note\nx ="))
+    both = s.select(F.concat(F.lit("g"), "k", F.lit(".go")).alias("file"), go.alias("text")).unionByName(s.select(F.concat(F.lit("b"), "k", F.lit(".py")).alias("file"), bad.alias("text")))
+    found = C.pattern_entities(both).unionByName(C.python_entities(both))
+    return found.select("file", "kind", "name", F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"))
+
+
 _SAID = {"imports": "'./s' || (" + _NEXT + ")", "extends": "'Base'", "instantiates": "'C' || s_suppkey"}
 _MORE = [("exports", "'C' || s_suppkey"), ("exports", "'make' || s_suppkey"), ("calls", "'run'"), ("calls", "'helper'"), ("calls", "'make' || s_suppkey"), ("calls", "'C' || s_suppkey")]
 
