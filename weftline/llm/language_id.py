@@ -6,7 +6,8 @@ prototype. A text gets the language whose prototype is nearest by cosine. Letter
 run of anything else is one word border, which counts as a letter.
 
 Training sends one vector a language and partition, whatever the number of documents, and adds them in two steps. The
-prototypes (MAX_LANGUAGES at most, 8 KB each) go to all tasks.
+prototypes, 8 KB for each language, are held by the driver and go to the tasks in blocks of BLOCK languages, which a text
+meets one after another; any number of languages gives the same results as one block would.
 
 Defined results: a null text, or one without a letter, is "und" with score 0, as is every text if nothing was learned;
 texts of a null language are not learned from; ties go to the first language by name; rows that repeat a document are
@@ -27,8 +28,8 @@ from weftline.llm import words as W
 D = 1024
 GRAM = 3
 CHUNK_BYTES = 1_000_000
-#: A bound on the prototypes; more raise an error.
-MAX_LANGUAGES = 4096
+#: Languages that a text is compared with at once.
+BLOCK = 1024
 _BORDER = 0x20
 
 
@@ -135,28 +136,29 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> di
 
     once = source.mapInArrow(bundle, "lang string, vector binary").withColumn("salt", F.spark_partition_id() % 64)
     some = once.groupBy("lang", "salt").applyInArrow(lambda key, table: add(key, table), "lang string, vector binary")
-    rows = some.groupBy("lang").applyInArrow(lambda key, table: add(key, table), "lang string, vector binary").limit(MAX_LANGUAGES + 1).collect()
-    if len(rows) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    rows = some.groupBy("lang").applyInArrow(lambda key, table: add(key, table), "lang string, vector binary").collect()
     return {r.lang: np.frombuffer(r.vector, np.float64) for r in rows}
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_cols: list[str], text_col: str = "text") -> DataFrame:
     """The id columns, lang_pred and score (cosine with the nearest prototype, 0 at least) of every text."""
     names = sorted(prototypes)
-    table = np.array([prototypes[n] / max(np.linalg.norm(prototypes[n]), 1e-12) for n in names], np.float32).reshape(-1, D)
+    blocks = [(names[a : a + BLOCK], np.array([prototypes[n] / max(np.linalg.norm(prototypes[n]), 1e-12) for n in names[a : a + BLOCK]], np.float32)) for a in range(0, len(names), BLOCK)]
     source = docs.select(*id_cols, F.col(text_col).alias("text"))
 
     def nearest(parts):
         for batch in parts:
             for rows, texts in _texts(batch):
                 found, has = profiles([t or "" for t in texts], np.arange(len(texts)), len(texts))
-                cosine = (found @ table.T) / np.maximum(np.linalg.norm(found, axis=1), 1e-12)[:, None]
-                best = cosine.argmax(1) if names else np.zeros(len(texts), int)
-                known = has & bool(names)
-                score = np.where(known, np.clip(cosine[np.arange(len(texts)), best], 0, 1) if names else 0, 0.0)
-                lang = [names[b] if k else "und" for b, k in zip(best, known, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in id_cols), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*id_cols, "lang_pred", "score"])
+                length = np.maximum(np.linalg.norm(found, axis=1), 1e-12)
+                score, lang = np.full(len(texts), -np.inf), np.full(len(texts), "und", object)
+                for some, table in blocks:
+                    cosine = (found @ table.T) / length[:, None]
+                    best = cosine.argmax(1)
+                    most = cosine[np.arange(len(texts)), best]
+                    better = has & (most > score)
+                    score[better], lang[better] = most[better], np.array(some, object)[best[better]]
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in id_cols), pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())], names=[*id_cols, "lang_pred", "score"])
 
     fields = source.select(*id_cols).schema.add("lang_pred", "string").add("score", "double")
     return source.mapInArrow(nearest, fields)
