@@ -1,12 +1,12 @@
 """Chat formatting of reply trees.
 
-Iterative self-joins (each doubles the length of the known path to the root) enumerate the root-to-leaf paths of every
+Iterative self-joins (each doubles the reach of the known steps to ancestors) enumerate the root-to-leaf paths of every
 conversation; branches are ranked by the mean score of their messages, and each chosen path becomes one conversation in
 a template whose control strings cannot occur inside texts: a backslash is doubled, and a backslash breaks up every
 control string, of this template and of common others, after its first character. unescape() undoes both.
 
 Defined results: a null text or role is empty, a null score counts 0; a message whose parent is null or missing is a
-root; messages on a cycle belong to no path; of rows that repeat a message id the least (parent, role, text, score)
+root; messages on or below a cycle, and those without an id, belong to no path; of rows that repeat a message id the least (parent, role, text, score)
 counts; score ties go to the least path; a very long conversation's chosen paths are each one row; an empty table gives no conversation; other columns are not read.
 """
 
@@ -36,22 +36,32 @@ def unescape(text: Column) -> Column:
 
 
 def leaf_paths(messages: DataFrame) -> DataFrame:
-    """conv, leaf, path (message ids from the root) and score of every root-to-leaf path of (conv, id, parent, score)."""
-    nodes = messages.select("conv", "id", "parent", "score")
-    parents = nodes.select(F.col("conv").alias("c"), F.col("id").alias("anc"))
-    known = (F.col("conv").eqNullSafe(F.col("c"))) & (F.col("parent") == F.col("anc"))
-    first = cut(nodes.join(parents, known, "left").select("conv", "id", "anc", F.array("id").alias("path"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total")))
-    done, climbing = first.where("anc is null"), first.where("anc is not null")
-    most = first.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
-    for _ in range(most.bit_length()):  # a path that is still climbing then is on a cycle
-        if climbing.isEmpty():
-            break
-        up = done.unionByName(climbing).select(F.col("conv").alias("c"), F.col("id").alias("i"), F.col("anc").alias("a"), F.col("path").alias("p"), F.col("total").alias("t"))
-        longer = cut(climbing.join(up, (F.col("conv").eqNullSafe(F.col("c"))) & (F.col("anc") == F.col("i"))).select("conv", "id", F.col("a").alias("anc"), F.concat("p", "path").alias("path"), (F.col("total") + F.col("t")).alias("total")))
-        done, climbing = done.unionByName(longer.where("anc is null")), longer.where("anc is not null")
-    replied = nodes.select(F.col("conv").alias("c"), F.col("parent").alias("p")).where("p is not null").distinct()
-    leaves = done.join(replied, (F.col("conv").eqNullSafe(F.col("c"))) & (F.col("id") == F.col("p")), "left_anti")
-    return leaves.select("conv", F.col("id").alias("leaf"), "path", (F.col("total") / F.size("path")).alias("score"))
+    """conv, leaf, path (message ids from the root) and score of every root-to-leaf path of (conv, id, parent, score).
+
+    Self-joins double a step from message to ancestor until no message has one that far; then the leaves' paths grow by
+    these steps, the longest first. Only leaves ever have paths, so a chain of n messages takes n log n rows, not n * n.
+    """
+    nodes = messages.select("conv", "id", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
+    ids = nodes.select(F.col("conv").alias("c"), F.col("id").alias("i"))
+    same = F.col("conv").eqNullSafe(F.col("c"))
+    steps = [cut(nodes.join(ids, same & (F.col("parent") == F.col("i"))).select("conv", "id", F.col("parent").alias("anc")))]
+    most = nodes.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
+    while (1 << len(steps)) <= 2 * most and not steps[-1].isEmpty():
+        on = steps[-1].select(F.col("conv").alias("c"), F.col("id").alias("i"), F.col("anc").alias("a"))
+        steps.append(cut(steps[-1].join(on, same & (F.col("anc") == F.col("i"))).select("conv", "id", F.col("a").alias("anc"))))
+    replied = nodes.select(F.col("conv").alias("c"), F.col("parent").alias("i")).where("i is not null").distinct()
+    endless = steps[-1].select(F.col("conv").alias("c"), F.col("id").alias("i"))  # after as many steps as there are messages: below a cycle
+    leaves = nodes.join(replied, same & (F.col("id") == F.col("i")), "left_anti").join(endless, same & (F.col("id") == F.col("i")), "left_anti")
+    known = leaves.select("conv", F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("up"))
+    for k in reversed(range(len(steps) - 1)):
+        on = steps[k].select(F.col("conv").alias("c"), F.col("id").alias("i"), F.col("anc").alias("a"))
+        above = F.when(F.col("a").isNotNull(), F.struct(F.col("a").alias("id"), (F.col("up") + (1 << k)).alias("up")))
+        both = F.array_compact(F.array(F.struct("id", "up"), above))
+        known = known.join(on, same & (F.col("id") == F.col("i")), "left").select("conv", "leaf", F.inline(both))
+    at = known.join(nodes.select(F.col("conv").alias("c"), F.col("id").alias("i"), "score"), same & (F.col("id") == F.col("i")))
+    paths = at.groupBy("conv", "leaf").agg(F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("down"), "id", "score"))).alias("p"))
+    total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x["score"])
+    return paths.select("conv", "leaf", F.col("p.id").alias("path"), (total / F.size("p")).alias("score"))
 
 
 def format_trees(messages: DataFrame, top: int = 1) -> DataFrame:
