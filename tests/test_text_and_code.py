@@ -150,6 +150,10 @@ def test_ui_edges(spark):
     got = {tuple(r) for r in C.ui_edges(spark.createDataFrame(bodies, "id string, name string, qualified_name string, body string")).collect()}
     assert got == {("1", "2", "renders"), ("1", "2", "passes_props"), ("2", "3", "calls"), ("2", "3", "writes_state")}
 
+    styled = [("1", "App", "App", "<Card style={y}/>; if (Card) {}"), ("2", "Card", "Card", "<App kind='x'/>"), ("3", "if", "if", "")]
+    got = {tuple(r) for r in C.ui_edges(spark.createDataFrame(styled, "id string, name string, qualified_name string, body string")).collect()}
+    assert got == {("1", "2", "renders"), ("1", "2", "passes_props"), ("1", "2", "applies_style"), ("2", "1", "renders")}
+
 
 def test_diffs(spark):
     patch = "@@ -2,4 +2,4 @@\n line\n-gone\n+new\n line\n\\ No newline at end of file"
@@ -175,3 +179,31 @@ def test_call_tree(spark):
     rows = [(1, 1, 1, 0.0, 100.0, "a"), (2, 1, 1, 10.0, 50.0, "b"), (3, 1, 1, 20.0, 5.0, "c"), (4, 1, 2, 15.0, 5.0, "other"), (5, 1, 1, 70.0, 10.0, "d")]
     got = {r.id: (r.parent, r.depth) for r in C.call_tree(spark.createDataFrame(rows, "id long, pid int, tid int, ts double, dur double, name string")).collect()}
     assert got == {1: (None, 0), 2: (1, 1), 3: (2, 2), 4: (None, 0), 5: (1, 1)}
+
+
+def test_targets_of_relations(spark):
+    """What each relation captures: objects, components and modules, not events, addresses or fields."""
+    text = """import type { T } from './types';
+import a, { type U } from "./u";
+import css from './look.scss';
+export { go as run, stop } from './moves';
+export default class Card extends Base implements One, Two {
+const q = require('./q'); import('./late'); export_ = x.y.call (1);
+bus.on('ready', f); store.dispatch(act); emit('x'); useSyncExternalStore(s);
+useSelector(s => s.user); store.getState(); this.state.n; this.setState({}); setName(1);
+<Theme.Provider><Theme.Consumer/><Route path="/x" component={Home} element={<Page/>} render={() => <Late/>}/>
+const v: Kind = z as Other; f<Type>(new Made(1)); new NotMade; routes: [
+if (useContext(Ctx)) {}
+"""
+    got: dict[str, set] = {}
+    for r in C.mentions(spark.createDataFrame([("a.js", text), ("b.js", None)], "file string, text string")).collect():
+        got.setdefault(r.type, set()).add(r.target)
+    assert got["imports"] == {"./types", "./u", "./look.scss", "./moves", "./q", "./late"}
+    assert (got["type_imports"], got["re_exports"], got["uses_style"]) == ({"./types", "./u"}, {"./moves"}, {"./look.scss"})
+    assert (got["exports"], got["extends"], got["implements"]) == ({"go", "stop", "Card"}, {"Base"}, {"One", "Two"})
+    assert {"y.call", "bus.on", "emit", "useContext"} <= got["calls"] and not {"if", "require", "import"} & got["calls"]
+    assert got["instantiates"] == {"Made"}
+    assert (got["subscribes_to"], got["dispatches"]) == ({"bus", "useSyncExternalStore"}, {"store", "dispatch", "emit"})
+    assert (got["reads_state"], got["writes_state"]) == ({"useSelector", "getState", "store", "this"}, {"this", "this.setState", "setName"})
+    assert (got["provides_context"], got["consumes_context"]) == ({"Theme"}, {"Theme", "Ctx"})
+    assert (got["routes_to"], got["type_uses"]) == ({"Home", "Page", "Late", "s"}, {"Kind", "Other", "Type", "One"})

@@ -165,29 +165,34 @@ def python_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 # JavaScript relations and their patterns, each with one group.
+_FROM = r"""\b.*?\bfrom[ \t]+['"]([^'"]+)['"]"""
 RELATIONS = {
-    "imports": r"import\s+(?:[^'\";]*?\s+from\s+)?['\"]([^'\"]+)['\"]",
-    "type_imports": r"import\s+type\s+\{?\s*([A-Za-z_$][\w$]*)",
-    "re_exports": r"export\s+(?:\*|\{[^}]*\})\s+from\s+['\"]([^'\"]+)['\"]",
-    "exports": r"export\s+(?:default\s+)?(?:async\s+)?(?:function|class|const|let|var|interface|type|enum)\s+([A-Za-z_$][\w$]*)",
-    "extends": r"class\s+[\w$]+\s+extends\s+([A-Za-z_$][\w$]*)",
-    "implements": r"class\s+[\w$]+(?:\s+extends\s+[\w$]+)?\s+implements\s+([A-Za-z_$][\w$]*)",
-    "calls": r"(?<![\w$.])((?:[A-Za-z_$][\w$]*\.)?[A-Za-z_$][\w$]*)\s*\(",
-    "instantiates": r"\bnew\s+([A-Za-z_$][\w$]*)",
-    "renders": r"<([A-Z][\w$]*)",
-    "uses_hook": r"\b(use[A-Z][\w$]*)\s*\(",
-    "type_uses": r":\s*([A-Z][\w$]*)",
-    "reads_state": r"\buseSelector\(\s*\w+\s*=>\s*\w+\.([\w$]+)",
-    "writes_state": r"\b(set[A-Z][\w$]*)\s*\(",
-    "subscribes_to": r"\b(?:addEventListener|subscribe|on)\(\s*['\"]([^'\"]+)['\"]",
-    "dispatches": r"\bdispatch\(\s*([A-Za-z_$][\w$]*)",
-    "provides_context": r"<([A-Z][\w$]*)\.Provider",
-    "consumes_context": r"\buseContext\(\s*([A-Za-z_$][\w$]*)",
-    "routes_to": r"(?:path=|to=|navigate\()\s*['\"](/[^'\"]*)['\"]",
-    "uses_style": r"className=\{?(?:styles\.)?['\"]?([A-Za-z][\w-]*)",
+    "imports": (r"(?:import|export)" + _FROM, r"""require\(\s*['"]([^'"]+)['"]\s*\)""", r"""\bimport\(\s*['"]([^'"]+)['"]\s*\)"""),
+    "type_imports": (r"(?m)^[ \t]*import(?=[ \t]+type\b|.*\{[ \t]*type[ \t]+[A-Za-z_$])" + _FROM,),
+    "re_exports": (r"(?m)^[ \t]*export" + _FROM,),
+    "exports": (r"(?m)^[ \t]*export[ \t]+(?:default[ \t]+)?class[ \t]+([A-Za-z_$][\w$]*)", r"(?m)^[ \t]*export[ \t]+(?:default[ \t]+)?function[ \t]+([A-Za-z_$][\w$]*)", r"(?m)^[ \t]*export[ \t]+(?:const|let|var)[ \t]+([A-Za-z_$][\w$]*)"),
+    "extends": (r"class\s+[\w$]+\s+extends\s+([A-Za-z_$][\w$]*)",),
+    "calls": (r"\b([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)?)\s*\(",),
+    "instantiates": (r"\bnew\s+([A-Za-z_$][\w$]*)\s*\(",),
+    "renders": (r"<([A-Z][A-Za-z0-9_$]*)\b",),
+    "uses_hook": (r"\b(use[A-Z][A-Za-z0-9_$]*)\s*\(",),
+    "type_uses": (r":\s*([A-Z][A-Za-z0-9_$]*)\b", r"\bas\s+([A-Z][A-Za-z0-9_$]*)\b", r"<([A-Z][A-Za-z0-9_$]*)>", r"\bimplements\s+([A-Z][A-Za-z0-9_$]*)\b"),
+    "reads_state": (r"\b(useSelector|getState|mapStateToProps|select[A-Z][A-Za-z0-9_$]*)\s*\(", r"\b([A-Za-z_$][\w$]*)\.getState\s*\(", r"\b([A-Za-z_$][\w$]*)\.state\b"),
+    "writes_state": (r"\b(this\.setState|setState|set[A-Z][A-Za-z0-9_$]*)\s*\(", r"\b([A-Za-z_$][\w$]*)\.setState\s*\("),
+    "subscribes_to": (r"\b([A-Za-z_$][\w$]*)\.(?:subscribe|addEventListener|on|listen)\s*\(", r"\b(useSyncExternalStore)\s*\("),
+    "dispatches": (r"\b(dispatch|emit|publish)\s*\(", r"\b([A-Za-z_$][\w$]*)\.(?:dispatch|emit|publish)\s*\("),
+    "provides_context": (r"<([A-Z][A-Za-z0-9_$]*)\.Provider\b",),
+    "consumes_context": (r"\buseContext\s*\(\s*([A-Z][A-Za-z0-9_$]*)\s*\)", r"<([A-Z][A-Za-z0-9_$]*)\.Consumer\b"),
+    "routes_to": (r"\bcomponent\s*=\s*\{([A-Z][A-Za-z0-9_$]*)\}", r"\belement\s*=\s*\{<([A-Z][A-Za-z0-9_$]*)\b", r"\brender\s*=\s*\{[^}]*\b([A-Z][A-Za-z0-9_$]*)\b", r"\broute(s)?\s*:\s*\["),
+    "uses_style": (r"import" + _FROM, r"""require\(\s*['"]([^'"]+)['"]\s*\)""", r"""\bimport\(\s*['"]([^'"]+)['"]\s*\)"""),
 }
-#: Calls of these heads are language constructs.
-NOT_CALLS = (*KEYWORDS, "require", "import", "super", "typeof")
+# Relations whose group is a list with commas; of a renamed export the first name counts.
+LISTS = {"exports": r"(?m)^[ \t]*export[ \t]*\{([^}\n]+)\}", "implements": r"class\s+[\w$]+(?:\s+extends\s+[\w$]+)?\s+implements\s+([A-Za-z_$][\w$]*(?:\s*,\s*[A-Za-z_$][\w$]*)*)"}
+# Components with a property in braces, and words of inline styles.
+PROPS = r"<([A-Z][A-Za-z0-9_$]*)\b(?=[^>]*\b[A-Za-z_$][\w$]*\s*=\s*\{)[^>]*>"
+STYLED = r"\b(className|style|styled|css|sx)\b|\b(position|margin|padding|width|height|top|left|right|bottom|flex|grid)\b"
+# Heads of calls that are language constructs.
+NOT_CALLS = ("if", "for", "while", "switch", "catch", "return", "typeof", "instanceof", "super", "require", "import")
 #: Without a target, these relations point at their own file.
 OWN_FILE = ("implements", "uses_hook", "type_uses", "reads_state", "writes_state", "subscribes_to", "dispatches", "provides_context", "consumes_context", "routes_to")
 
@@ -195,24 +200,31 @@ OWN_FILE = ("implements", "uses_hook", "type_uses", "reads_state", "writes_state
 def mentions(files: DataFrame) -> DataFrame:
     """T18. file, type, target: distinct targets of every relation in every file."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = F.concat(*(_typed(text, k, p) for k, p in RELATIONS.items()))
-    rows = files.select("file", F.inline(found))
-    return rows.where(~((F.col("type") == "calls") & F.substring_index("target", ".", 1).isin(*NOT_CALLS)))
+    found = F.concat(*(_typed(k, F.regexp_extract_all(text, F.lit(p), F.lit(1))) for k, some in RELATIONS.items() for p in some), *(_typed(k, _names(text, p)) for k, p in LISTS.items()))
+    rows = files.select("file", F.inline(F.array_distinct(found)))
+    call = (F.col("type") == "calls") & F.substring_index("target", ".", 1).isin(*NOT_CALLS)
+    return rows.where((F.col("target") != "") & ~call & ((F.col("type") != "uses_style") | F.col("target").rlike(r"\.s?css$")))
 
 
-def _typed(text: Column, kind: str, pattern: str) -> Column:
-    return F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))), lambda t: F.struct(F.lit(kind).alias("type"), t.alias("target")))
+def _typed(kind: str, targets: Column) -> Column:
+    return F.transform(targets, lambda t: F.struct(F.lit(kind).alias("type"), t.alias("target")))
+
+
+def _names(text: Column, pattern: str) -> Column:
+    """Names of the lists that a pattern finds."""
+    items = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: F.split(x, ",")))
+    return F.filter(F.transform(items, lambda x: F.trim(F.substring_index(F.trim(x), " as ", 1))), lambda x: x.rlike(r"^[A-Za-z_$][\w$]*$"))
 
 
 def symbol_edges(references: DataFrame, entities: DataFrame) -> DataFrame:
     """J16, G16. src, dst, type: references (file, type, target) resolved to entities (file::qualified_name).
 
     In order: the own file by full name, by short name; the only one anywhere by short name; then the first anywhere by
-    id. Relations in OWN_FILE that find nothing point at the file itself, others are dropped.
+    id; an export is of the own file. Relations in OWN_FILE that find nothing point at the file itself, others are dropped.
     """
     e = entities.select(F.col("file").alias("e_file"), "qualified_name", "name", X.entity_id(F.col("file"), F.col("qualified_name")).alias("dst"))
     r = references.select("file", "type", "target", F.substring_index("target", ".", -1).alias("short")).distinct()
-    near = r.join(e, F.col("short") == F.col("name"), "left")
+    near = r.join(e, (F.col("short") == F.col("name")) & ((F.col("type") != "exports") | (F.col("e_file") == F.col("file"))), "left")
     tier = F.when((F.col("e_file") == F.col("file")) & (F.col("qualified_name") == F.col("target")), 0).when(F.col("e_file") == F.col("file"), 1).when(F.col("dst").isNotNull(), 2)
     best = near.groupBy("file", "type", "target").agg(F.min_by("dst", F.struct(tier.alias("t"), "dst")).alias("dst"))
     kept = best.withColumn("dst", F.coalesce("dst", F.when(F.col("type").isin(*OWN_FILE), F.col("file")))).where("dst is not null")
@@ -220,8 +232,8 @@ def symbol_edges(references: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def import_edges(files: DataFrame) -> DataFrame:
-    """J15. src, dst, type of relative imports, resolved to the first candidate file that there is."""
-    m = mentions(files).where("type in ('imports', 're_exports') and target like '.%'")
+    """J15. src, dst, type of relative imports, exports and styles, resolved to the first candidate file that there is."""
+    m = mentions(files).where("type in ('imports', 're_exports', 'type_imports', 'uses_style') and target like '.%'")
     folder = F.regexp_replace("file", "[^/]*$", "")
     joined = F.concat(folder, "target")
     for _ in range(8):  # a/../ and ./ go
@@ -238,8 +250,11 @@ def ui_edges(bodies: DataFrame) -> DataFrame:
     A name means all functions with that full name, else all with that short one; self-loops are dropped.
     """
     text = F.coalesce(F.col("body"), F.lit(""))
-    kinds = {"renders": RELATIONS["renders"], "calls": RELATIONS["calls"], "reads_state": r"\b(use[A-Z][\w$]*State)\b", "writes_state": RELATIONS["writes_state"], "passes_props": r"<([A-Z][\w$]*)\s+[\w$]+=", "applies_style": r"style=\{\{[^}]*\}\}[^<]*<([A-Z][\w$]*)"}
-    used = bodies.select(F.col("id").alias("src"), F.inline(F.concat(*(_typed(text, k, p) for k, p in kinds.items()))))
+    kinds = {k: RELATIONS[k] for k in ("renders", "calls", "reads_state", "writes_state")} | {"passes_props": (PROPS,), "applies_style": (*RELATIONS["renders"], PROPS)}
+    found = F.concat(*(_typed(k, F.regexp_extract_all(text, F.lit(p), F.lit(1))) for k, some in kinds.items() for p in some))
+    call = (F.col("type") == "calls") & F.substring_index("target", ".", 1).isin(*NOT_CALLS)
+    styled = F.col("styled") | (F.col("type") != "applies_style")
+    used = bodies.select(F.col("id").alias("src"), text.rlike(STYLED).alias("styled"), F.inline(F.array_distinct(found))).where((F.col("target") != "") & ~call & styled).drop("styled")
     named = bodies.select(F.col("id").alias("dst"), "name", "qualified_name")
     full = used.join(named, F.col("target") == F.col("qualified_name")).select("src", "type", "target", "dst", F.lit(0).alias("tier"))
     short = used.join(named, F.substring_index("target", ".", -1) == F.col("name")).select("src", "type", "target", "dst", F.lit(1).alias("tier"))

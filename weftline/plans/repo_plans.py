@@ -144,7 +144,7 @@ def ui_function_edges(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
     n = s.count()
     name = F.concat(F.lit("C"), _K)
-    body = F.concat(F.lit("return <C"), (F.col(_K) * 7) % n, F.lit(" x=1 />"))
+    body = F.concat(F.lit("return <C"), (F.col(_K) * 7) % n, F.lit(" x={1} />"))
     return C.ui_edges(s.select(F.concat(F.lit("f"), _K).alias("id"), name.alias("name"), name.alias("qualified_name"), body.alias("body")))
 
 
