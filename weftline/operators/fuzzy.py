@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import insort
+from collections import Counter
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,17 +42,19 @@ def token_set(a: str, b: str) -> float:
     return max(indel_ratio(one, two), *((indel_ratio(common, one), indel_ratio(common, two)) if common else (0.0, 0.0)))
 
 
-@F.pandas_udf(T.DoubleType())
-def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_set(x or "", y or "") for x, y in zip(a, b, strict=True)])
-
-
-@F.pandas_udf(T.DoubleType())
-def close_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def close(a: str, b: str) -> float:
     """R11. Ratcliff-Obershelp similarity."""
     from difflib import SequenceMatcher
 
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+    return SequenceMatcher(None, a, b).ratio()
+
+
+def close_at_most(a: str, b: str) -> float:
+    """What close() cannot exceed: twice the common letters, counted without order, over both lengths."""
+    total = len(a) + len(b)
+    if not total:
+        return 1.0
+    return 2.0 * sum((Counter(a) & Counter(b)).values()) / total
 
 
 @F.pandas_udf(T.DoubleType())
@@ -57,11 +63,40 @@ def chunk_ratio(chunk: pd.Series, query: pd.Series) -> pd.Series:
     return pd.Series([lcs(c, q) / len(c) if c else 0.0 for c, q in zip(chunk.fillna(""), query.fillna(""), strict=True)])
 
 
-def matches(names: DataFrame, queries: DataFrame, score: Column, k: int = 5, least: float = 0.0) -> DataFrame:
-    """query, name, score, rank: best names (name) for each of a stated set of queries (query)."""
-    scored = names.select("name").distinct().crossJoin(queries.select("query").distinct()).select("query", "name", F.round(score, 6).alias("score")).where(F.col("score") >= least)
+def matches(names: DataFrame, queries: DataFrame, score: Callable[[str, str], float], k: int = 5, least: float = 0.0, at_most: Callable[[str, str], float] | None = None, block: int = 1000) -> DataFrame:
+    """query, name, score, rank: best names (name) for each of a stated set of queries (query), by score(query, name).
+
+    Blocks of about block queries go against all names; a task keeps the k best names of each of its queries, so k rows a
+    query and task are shuffled. at_most, if given, is a cheap bound on the score: pairs that cannot reach least, or the
+    k-th best so far, are not scored. Scores count at six decimals; ties go by name.
+    """
+    spark, found = names.sparkSession, None
+    name = names.select(F.col("name").cast("string").alias("name")).where("name is not null").distinct()
+    asked = queries.select(F.col("query").cast("string").alias("query")).where("query is not null").distinct()
+    n_blocks = max(1, -(-asked.count() // block))
+    numbered = asked.withColumn("b", F.pmod(F.xxhash64("query"), F.lit(n_blocks)))
+    for b in range(n_blocks):
+        some = [r.query for r in numbered.where(F.col("b") == b).collect()]  # about block texts
+        sent = spark.sparkContext.broadcast(some)
+
+        def search(parts, sent=sent):
+            best: dict[str, list] = {q: [] for q in sent.value}  # (-score, name), the best k in order
+            for pdf in parts:
+                for n in pdf["name"]:
+                    for q, own in best.items():
+                        floor = max(least, -own[-1][0]) if len(own) == k else least
+                        if at_most is not None and at_most(q, n) + 1e-6 < floor:
+                            continue
+                        s = round(score(q, n), 6)
+                        if s >= floor:
+                            insort(own, (-s, n))
+                            del own[k:]
+            yield pd.DataFrame([(q, n, -s) for q, own in best.items() for s, n in own], columns=["query", "name", "score"])
+
+        part = name.mapInPandas(search, "query string, name string, score double")
+        found = part if found is None else found.unionByName(part)
     w = Window.partitionBy("query").orderBy(F.desc("score"), "name")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def best_chunks(chunks: DataFrame, query: str, k: int) -> DataFrame:
@@ -70,6 +105,14 @@ def best_chunks(chunks: DataFrame, query: str, k: int) -> DataFrame:
     return chunks.withColumn("score", chunk_ratio(F.col("chunk"), F.lit(query))).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _close_any_case(query: str, name: str) -> float:
+    return close(query.lower(), name.lower())
+
+
+def _close_any_case_at_most(query: str, name: str) -> float:
+    return close_at_most(query.lower(), name.lower())
+
+
 def first_tier(candidates: DataFrame, key: str) -> DataFrame:
     """Rows of the lowest tier that each key has."""
     least = Window.partitionBy(key)
@@ -89,7 +132,7 @@ def entity_search(entities: DataFrame, queries: DataFrame, cutoff: float = 0.8)
     for n, on in enumerate(exact[1:], 1):
         found = found.unionByName(tier(n, on))
     left = q.join(found.select("query").distinct(), "query", "left_anti")
-    near = matches(e.select("name"), left, close_ratio(F.lower("query"), F.lower("name")), 5, cutoff).join(e, "name").select("query", "id", F.lit(len(exact)).alias("tier"))
+    near = matches(e.select("name"), left, _close_any_case, 5, cutoff, _close_any_case_at_most).join(e, "name").select("query", "id", F.lit(len(exact)).alias("tier"))
     return first_tier(found.unionByName(near), "query").distinct()
 
 
@@ -107,5 +150,5 @@ def resolve_paths(mentions: DataFrame, files: DataFrame, cutoff: float = 0.82) -
     named = unique(same.select("mention", "path"), 2)
     found = exact.unionByName(suffix).unionByName(named)
     left = m.join(found.select("mention").distinct(), "mention", "left_anti").withColumnRenamed("mention", "query")
-    near = matches(f.withColumnRenamed("path", "name"), left, close_ratio(F.lower("query"), F.lower("name")), 1, cutoff)
+    near = matches(f.withColumnRenamed("path", "name"), left, _close_any_case, 1, cutoff, _close_any_case_at_most)
     return first_tier(found.unionByName(near.select(F.col("query").alias("mention"), F.col("name").alias("path"), F.lit(3).alias("tier"))), "mention")

@@ -15,14 +15,14 @@ from weftline.streaming import logs as L
 def fuzzy_token_set(spark, sf_dir):
     """Part names nearest to every brand and type, by token sets."""
     p = table(spark, sf_dir, "part")
-    return Z.matches(p.select(F.col("p_name").alias("name")), p.select(F.concat_ws(" ", "p_brand", "p_type").alias("query")), Z.token_set_ratio(F.col("name"), F.col("query")), 3)
+    return Z.matches(p.select(F.col("p_name").alias("name")), p.select(F.concat_ws(" ", "p_brand", "p_type").alias("query")), Z.token_set, 3)
 
 
 @query()
 def difflib_match(spark, sf_dir):
     """Part names close to part types."""
     p = table(spark, sf_dir, "part")
-    return Z.matches(p.select(F.lower("p_name").alias("name")), p.select(F.lower("p_type").alias("query")), Z.close_ratio(F.col("name"), F.col("query")), 3, 0.3)
+    return Z.matches(p.select(F.lower("p_name").alias("name")), p.select(F.lower("p_type").alias("query")), lambda query, name: Z.close(name, query), 3, 0.3, Z.close_at_most)
 
 
 @query()

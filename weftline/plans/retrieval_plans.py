@@ -263,10 +263,9 @@ select s_suppkey, name, distance, rank from r where rank <= 5"""
 )
 def lev_search(spark, sf_dir):
     """Five part names nearest to each supplier's name."""
-    q = table(spark, sf_dir, "supplier").select("s_suppkey", F.lower("s_name").alias("x"))
-    names = table(spark, sf_dir, "part").select(F.lower("p_name").alias("name")).distinct()
-    found = names.crossJoin(q).select("s_suppkey", "name", F.round(R.name_distance(F.col("x"), F.col("name")), 6).alias("distance"))
-    return R.top_k(found, 5, [F.col("distance"), F.col("name")], over="s_suppkey").select("s_suppkey", "name", "distance", F.col("rank").cast("long").alias("rank"))
+    q = table(spark, sf_dir, "supplier").select("s_suppkey", F.lower("s_name").alias("query"))
+    found = R.nearest_names(table(spark, sf_dir, "part").select(F.lower("p_name").alias("name")), q, "s_suppkey", 5)
+    return found.select("s_suppkey", "name", "distance", F.col("rank").cast("long").alias("rank"))
 
 
 @query(
