@@ -59,11 +59,25 @@ def run_summary(df: DataFrame, flags: dict[str, Column], means: dict[str, Column
 
 
 def bootstrap_interval(df: DataFrame, key: str, flag: Column, rounds: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """A14. Interval of the mean over rounds half samples without replacement, chosen by hash: a row is in a round's half
-    if its hash with the round is in the lower half; every row meets the rounds as an array, not by a join."""
-    each = df.select(key, flag.cast("double").alias("v")).select("v", F.explode(F.filter(F.sequence(F.lit(0), F.lit(rounds - 1)), lambda r: F.pmod(F.xxhash64(F.col(key), r, F.lit(seed)), F.lit(2)) == 0)).alias("round"))
-    means = each.groupBy("round").agg(F.avg("v").alias("m"))
-    return means.agg(F.round(F.percentile("m", F.lit((1 - level) / 2)), 6).alias("low"), F.round(F.avg("m"), 6).alias("mean"), F.round(F.percentile("m", F.lit((1 + level) / 2)), 6).alias("high"))
+    """A14. Interval of the mean over rounds of exact half samples without replacement (one row of one): the means at
+    the two places, in order, that leave level between them.
+
+    In each round the rows of the lower hashes (of key and round; then key, value) are the half. Hashes are counted and
+    summed by ranges, every row meeting the rounds as an array; only the range that the half ends in is ranked.
+    """
+    place = lambda r: F.xxhash64(F.col(key), r, F.lit(seed))
+    each = df.select(F.col(key).alias("k"), flag.cast("double").alias("v"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(rounds - 1)), lambda r: F.struct(r.alias("round"), place(r).alias("h")))).alias("x")).select("k", "v", "x.round", "x.h", F.shiftright("x.h", 52).alias("part"))
+    sums = each.groupBy("round", "part").agg(F.count("*").alias("c"), F.sum("v").alias("s"))
+    own = Window.partitionBy("round")
+    half = F.greatest(F.floor(F.sum("c").over(own) / 2), F.lit(1))
+    parts = sums.withColumn("half", half).withColumn("before", F.sum("c").over(own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["before"])
+    full = parts.where("before + c <= half").select("round", "half", "s")
+    last = parts.where("before < half and before + c > half").select("round", "part", "half", (F.col("half") - F.col("before")).alias("need"))
+    ranked = each.join(last, ["round", "part"]).withColumn("n", F.row_number().over(own.orderBy("h", "k", "v"))).where("n <= need")
+    means = full.unionByName(ranked.select("round", "half", F.col("v").alias("s"))).groupBy("round").agg((F.sum("s") / F.max("half")).alias("m"))
+    at = F.sort_array(F.collect_list("m"))  # one value a round
+    low, high = int(rounds * (1 - level) / 2 + 1e-9), min(int(rounds * (1 + level) / 2 + 1e-9), rounds - 1)
+    return means.agg(F.round(F.get(at, F.lit(low)), 6).alias("low"), F.round(F.avg("m"), 6).alias("mean"), F.round(F.get(at, F.lit(high)), 6).alias("high"))
 
 
 def paired_costs(df: DataFrame, key: str, order: list[str], cost: str) -> DataFrame:
