@@ -5,6 +5,7 @@ from __future__ import annotations
 from bisect import insort
 from collections import Counter
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -30,9 +31,14 @@ def indel_ratio(a: str, b: str) -> float:
     return 100.0 if not a and not b else 200.0 * lcs(a, b) / (len(a) + len(b))
 
 
+@lru_cache(100_000)
+def _tokens(text: str) -> frozenset[str]:
+    return frozenset(text.replace("_", " ").replace("-", " ").split())
+
+
 def token_set(a: str, b: str) -> float:
     """R09. Best ratio of the common tokens with either side's tokens, and of both sides' tokens; _ and - separate."""
-    x, y = (set(t.replace("_", " ").replace("-", " ").split()) for t in (a, b))
+    x, y = _tokens(a), _tokens(b)
     if not x or not y:
         return 0.0
     common, left, right = " ".join(sorted(x & y)), " ".join(sorted(x - y)), " ".join(sorted(y - x))
@@ -71,7 +77,8 @@ def matches(names: DataFrame, queries: DataFrame, score: Callable[[str, str], fl
     k-th best so far, are not scored. Scores count at six decimals; ties go by name.
     """
     spark, found = names.sparkSession, None
-    name = names.select(F.col("name").cast("string").alias("name")).where("name is not null").distinct()
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work: not to be merged into fewer
+    name = names.select(F.col("name").cast("string").alias("name")).where("name is not null").repartition(tasks, "name").distinct()
     asked = queries.select(F.col("query").cast("string").alias("query")).where("query is not null").distinct()
     n_blocks = max(1, -(-asked.count() // block))
     numbered = asked.withColumn("b", F.pmod(F.xxhash64("query"), F.lit(n_blocks)))
