@@ -25,6 +25,16 @@ def difflib_match(spark, sf_dir):
     return Z.matches(p.select(F.lower("p_name").alias("name")), p.select(F.lower("p_type").alias("query")), lambda query, name: Z.close(name, query), 3, 0.3, Z.close_at_most)
 
 
+@query()
+def bm25_stemmed_chunks(spark, sf_dir):
+    """Chunks of documents for every benchmark item, by stems."""
+    from weftline.operators import retrieval as R
+
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = R.chunk_bm25(table(spark, sf_dir, "documents"), items)
+    return found.select("query_id", "doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query()
 def lcs_chunks(spark, sf_dir):
     """Three chunks of five lines nearest to each benchmark item's whole text, in the document of its best hit."""
