@@ -111,3 +111,13 @@ def test_fan_out(spark, stream_folder, tmp_path):
     query = L.fan_out(stream(spark, stream_folder), {"b": lambda df, n: seen.append(("b", df.count())), "a": lambda df, n: seen.append(("a", df.count()))}, str(tmp_path / "state"))
     query.awaitTermination()
     assert seen == [("a", 30), ("b", 30)]
+
+
+def test_reports(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a\nb", None), (2, 'q"', 0.5)], "k long, t string, x double").coalesce(1)
+    report = IO.markdown(df.orderBy("k"), "T", 1)
+    assert report.endswith("| 1 | a\nb |  |\n\n1 more rows are not shown.\n") and "more rows" not in IO.markdown(df, "T", 2)
+    IO.write_pretty_json(df, str(tmp_path / "out"))
+    said = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
+    found = [json.loads(x) for x in said.split("\n\n") if x.strip()]
+    assert sorted(found, key=lambda r: r["k"]) == [{"k": 1, "t": "a\nb", "x": None}, {"k": 2, "t": 'q"', "x": 0.5}] and "\n  " in said

@@ -189,11 +189,18 @@ def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
 
 
 def markdown(summary: DataFrame, title: str, most: int = 1000) -> str:
-    """K04. A table of a summary's rows (a report: most rows at most) with figures at two decimals."""
-    rows = summary.limit(most).collect()
+    """K04. A table of a summary's rows with figures at two decimals; beyond most rows the report says how many it leaves out."""
+    rows = summary.limit(most + 1).collect()
     cell = lambda x: "" if x is None else f"{x:.2f}" if isinstance(x, float) else str(x)
     lines = [f"# {title}", "", "| " + " | ".join(summary.columns) + " |", "|" + " --- |" * len(summary.columns)]
-    return "\n".join([*lines, *("| " + " | ".join(cell(x) for x in r) + " |" for r in rows)]) + "\n"
+    lines += ["| " + " | ".join(cell(x) for x in r) + " |" for r in rows[:most]]
+    return "\n".join([*lines, *(["", f"{summary.count() - most} more rows are not shown."] if len(rows) > most else [])]) + "\n"
+
+
+def write_pretty_json(df: DataFrame, path: str) -> None:
+    """K01. One indented JSON document a row, a line between them; nulls are kept."""
+    whole = F.to_json(F.struct(*df.columns), {"pretty": "true", "ignoreNullFields": "false"})
+    df.select(F.concat(whole, F.lit("\n")).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
