@@ -291,8 +291,8 @@ def rank_entities(entities: DataFrame, context: Column, k: int = 15) -> DataFram
     both = F.size(F.array_intersect(X.terms(context), X.terms(F.concat_ws(" ", "name", "qualified_name"))))
     said = lambda c, n: F.when(F.contains(context, F.col(c)) & (F.col(c) != ""), n).otherwise(0)
     scored = entities.withColumn("score", both + said("name", 3) + said("qualified_name", 5))
-    order = Window.orderBy(F.desc("score"), F.col("end_line") - F.col("start_line"), F.desc("start_line"), "qualified_name")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    order = [F.desc("score"), F.col("end_line") - F.col("start_line"), F.desc("start_line"), F.col("qualified_name")]
+    return scored.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # k rows
 
 
 def rank_files(candidates: DataFrame, problem: Column) -> DataFrame:

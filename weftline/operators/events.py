@@ -35,10 +35,10 @@ def matching(events: DataFrame, id_col: str = "id", types: list[str] | None = No
 
 
 def replay(events: DataFrame, id_col: str = "id") -> DataFrame:
-    """F13. A forward replay stops at the first gap in the ids."""
-    w = Window.orderBy(id_col)
-    marked = events.withColumn("w_gap", F.col(id_col) - F.row_number().over(w))
-    return marked.crossJoin(marked.agg(F.min("w_gap").alias("w_base"))).where("w_gap = w_base").drop("w_gap", "w_base")
+    """F13. A forward replay stops at the first gap in the ids: after the least id that no next one follows."""
+    ids = events.select(F.col(id_col).alias("w_id")).where("w_id is not null").distinct()
+    ends = ids.join(ids.select((F.col("w_id") - 1).alias("w_id")), "w_id", "left_anti").agg(F.min("w_id").alias("w_end"))
+    return events.crossJoin(F.broadcast(ends)).where(F.col(id_col) <= F.col("w_end")).drop("w_end")  # one row
 
 
 def page(events: DataFrame, limit: int, id_col: str = "id") -> DataFrame:

@@ -108,8 +108,9 @@ def matches(names: DataFrame, queries: DataFrame, score: Callable[[str, str], fl
 
 def best_chunks(chunks: DataFrame, query: str, k: int) -> DataFrame:
     """R12. The best chunks (start, end, chunk), earlier ones first on ties."""
-    w = Window.orderBy(F.desc("score"), "start")
-    return chunks.withColumn("score", chunk_ratio(F.col("chunk"), F.lit(query))).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    order = [F.desc("score"), F.col("start")]
+    best = chunks.withColumn("score", chunk_ratio(F.col("chunk"), F.lit(query))).orderBy(*order).limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # k rows
 
 
 def _close_any_case(query: str, name: str) -> float:

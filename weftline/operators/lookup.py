@@ -13,6 +13,7 @@ from weftline.functions import text as X
 from weftline.operators import diffs as D
 from weftline.operators import events as E
 from weftline.operators import retrieval as R
+from weftline.operators.rank import ranked
 
 
 class Retriever(Protocol):
@@ -285,7 +286,7 @@ def ordered_neighbors(reached: DataFrame, nodes: DataFrame, most: int = 50) -> D
 def trace_scores(calls: DataFrame) -> DataFrame:
     """W09. Calls (id, relevance 0 to 100, other_file, layers) with a relevance over 50, nearest first."""
     score = (100 - F.col("relevance")) + 40 * F.col("other_file").cast("int") + 20 * F.col("layers")
-    return calls.where("relevance > 50").withColumn("score", score).withColumn("rank", F.row_number().over(Window.orderBy("score", "id")))
+    return ranked(calls.where("relevance > 50").withColumn("score", score), F.col("score"), F.col("id"))
 
 
 def symbols_in_file(entities: DataFrame, problem: Column, k: int = 10) -> DataFrame:

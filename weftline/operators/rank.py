@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.session import cut
+
 
 def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """W02, U05. The first row of each key in a stated order."""
@@ -52,10 +54,22 @@ def capped_roles(targets: DataFrame, key: str, order: list[Column], primaries: i
     return targets.select("*", role.alias("new_role"), F.row_number().over(w).alias("rank")).where(F.col("rank") <= most)
 
 
+def ranked(df: DataFrame, *order: Column) -> DataFrame:
+    """df with rank, from 1 in an order of all rows: by ranges of it, so no task sees more than a range.
+
+    The ranges are stored first, as their borders come from samples; what goes over one task is a count for each range.
+    """
+    placed = cut(df.repartitionByRange(*order).withColumn("w_range", F.spark_partition_id()))
+    counts = placed.groupBy("w_range").count()
+    before = counts.select("w_range", (F.sum("count").over(Window.orderBy("w_range")) - F.col("count")).alias("w_before"))
+    inside = F.row_number().over(Window.partitionBy("w_range").orderBy(*order))
+    return placed.withColumn("w_in", inside).join(F.broadcast(before), "w_range").withColumn("rank", (F.col("w_before") + F.col("w_in")).cast("int")).drop("w_range", "w_before", "w_in")
+
+
 def promoted_order(actions: DataFrame, action: str, priority: str, order: str) -> DataFrame:
     """W11. Distinct actions by the larger of priority and frequency, earlier first on ties."""
     n = actions.groupBy(action).agg(F.count("*").alias("n"), F.max(priority).alias("p"), F.min(order).alias("first"))
-    return n.select(action, F.greatest("n", "p").alias("value"), "first").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("value"), "first")))
+    return ranked(n.select(action, F.greatest("n", "p").alias("value"), "first"), F.desc("value"), F.col("first"))
 
 
 def best_format(results: DataFrame, key: str, ranks: dict[str, int]) -> DataFrame:
