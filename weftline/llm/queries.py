@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat_format, decontamination, language_id, lm_scoring, merkle, mixing, ngram_join, pii, quality_rules, substring_dedup, warc
+from weftline.llm import chat_format, conversation_repair, decontamination, language_id, lm_scoring, merkle, mixing, ngram_join, pii, quality_rules, substring_dedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +98,17 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation, the faults of its damaged rows, and the cheapest repair."""
+    rows = _read(spark, sf_dir, "conversations")
+    summary, repaired = conversation_repair.repair(conversation_repair.damage(rows))
+    convs = rows.select("conv_id").distinct().withColumn("own", conversation_repair.group_of(F.col("conv_id")))
+    hashed = conversation_repair.digests(repaired).withColumnRenamed("w_group", "g")
+    found = convs.join(summary, F.col("own") == F.col("w_group"), "left").join(hashed, F.col("own") == F.col("g"), "left")
+    numbers = (F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))
+    return found.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document, its leaf and proof in the manifest of all, and what its leaf leads to where one in seven is tampered with."""
     docs = _read(spark, sf_dir, "documents")
@@ -120,6 +131,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
+    "op11_repair": op11_repair,
     "op13_merkle": op13_merkle,
 }
 
