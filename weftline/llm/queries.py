@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat_format, conversation_repair, decontamination, language_id, lm_scoring, merkle, mixing, ngram_join, pii, quality_rules, substring_dedup, warc
+from weftline.llm import chat_format, conversation_repair, decontamination, embedding_dedup, language_id, lm_scoring, merkle, mixing, ngram_join, pii, quality_rules, substring_dedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,6 +109,12 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per vector, its links with others at a cosine of 0.9 or more, and its component of linked ones."""
+    found = embedding_dedup.links(_read(spark, sf_dir, "embeddings"), threshold=0.9)
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document, its leaf and proof in the manifest of all, and what its leaf leads to where one in seven is tampered with."""
     docs = _read(spark, sf_dir, "documents")
@@ -132,6 +138,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
     "op11_repair": op11_repair,
+    "op12_embedding_dedup": op12_embedding_dedup,
     "op13_merkle": op13_merkle,
 }
 
