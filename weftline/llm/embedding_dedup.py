@@ -118,8 +118,8 @@ def usable(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         x = flat[starts[rows][:, None] + np.arange(n)]
         peak = np.abs(x).max(1)
         good = np.isfinite(peak) & (peak > 0)
-        x, peak = x[good], peak[good]
-        out.append((rows[good], np.ldexp(x, -np.frexp(peak)[1][:, None])))
+        if good.any():
+            out.append((rows[good], np.ldexp(x[good], -np.frexp(peak[good])[1][:, None])))
     return out
 
 
@@ -383,4 +383,4 @@ def _models(source: DataFrame) -> dict[int, Model]:
     share = min(1.0, wanted / max(size["n"], 1))
     chosen = source.where(F.pmod(F.xxhash64("id", "vec"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct()
     sample = chosen.select("vec", F.xxhash64(F.lit(7), "id", "vec").alias("place")).toArrow().sort_by("place")
-    return {x.shape[1]: fit(unit(x), max(1, round(cells * len(x) / max(1, sample.num_rows)))) for _, x in usable(sample.column("vec")) if len(x)}
+    return {x.shape[1]: fit(unit(x), max(1, round(cells * len(x) / max(1, sample.num_rows)))) for _, x in usable(sample.column("vec"))}
