@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -126,25 +127,41 @@ def _illegal(pairs: Iterator[tuple[str, str]]) -> int:
     return sum(a + b not in ("su", "ua", "au") for a, b in pairs)
 
 
-def _part(table: pa.Table, segment: int, first: str, last: str, illegal: int, found: list[tuple]) -> pa.Table:
-    entries = [dict(zip(("before", "after", "cost", "audit", "via"), x, strict=True)) for x in found]
-    kind = pa.list_(pa.struct([("before", pa.string()), ("after", pa.string()), ("cost", pa.int64()), ("audit", pa.string()), ("via", pa.list_(pa.string()))]))
-    return pa.table({"w_group": table.column("w_group").slice(0, 1), "segment": pa.array([segment], pa.int64()), "first": [first], "last": [last], "illegal": pa.array([illegal], pa.int64()), "ways": pa.array([entries], kind)})
+_WAY = pa.struct([("before", pa.string()), ("after", pa.string()), ("cost", pa.int64()), ("audit", pa.string()), ("via", pa.list_(pa.string()))])
+_PART_KINDS = pa.schema([("w_group", pa.string()), ("segment", pa.int64()), ("first", pa.string()), ("last", pa.string()), ("illegal", pa.int64()), ("ways", pa.list_(_WAY))])
 
 
-def _search(table: pa.Table) -> pa.Table:
-    table = table.sort_by("place")
-    initials, faults, segment = table.column("initial").to_pylist(), table.column("fault").to_pylist(), table.column("segment")[0].as_py()
-    return _part(table, segment, initials[0], initials[-1], _illegal(zip(initials, initials[1:], strict=False)), ways(initials, faults, not segment))
+def _part(group: str, segment: int, first: str, last: str, illegal: int, found: list[tuple]) -> dict:
+    return {"w_group": group, "segment": segment, "first": first, "last": last, "illegal": illegal, "ways": [dict(zip(_WAY.names, x, strict=True)) for x in found]}
+
+
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order, the ways through each segment."""
+    at, initials, faults = None, [], []
+
+    def part() -> dict:
+        return _part(*at, initials[0], initials[-1], _illegal(zip(initials, initials[1:], strict=False)), ways(initials, faults, not at[1]))
+
+    for batch in batches:
+        out = []
+        for group, segment, initial, fault in zip(*(batch.column(c).to_pylist() for c in ("w_group", "segment", "initial", "fault")), strict=True):
+            if (group, segment) != at:
+                if at:
+                    out.append(part())
+                at, initials, faults = (group, segment), [], []
+            initials.append(initial)
+            faults.append(fault)
+        yield pa.RecordBatch.from_pylist(out, _PART_KINDS)
+    if at:
+        yield pa.RecordBatch.from_pylist([part()], _PART_KINDS)
 
 
 def _join(table: pa.Table) -> pa.Table:
-    table = table.sort_by("segment")
-    rows = table.to_pylist()
+    """The ways through some segments of a conversation that follow each other, FAN at most."""
+    rows = table.sort_by("segment").to_pylist()
     illegal = sum(r["illegal"] for r in rows) + _illegal((a["last"], b["first"]) for a, b in zip(rows, rows[1:], strict=False))
-    found = rows[0]["ways"] if len(rows) == 1 else joined([[tuple(w.values()) for w in r["ways"]] for r in rows])
-    found = [(w["before"], w["after"], w["cost"], w["audit"], [w["before"], w["after"]]) for w in found] if len(rows) == 1 else found
-    return _part(table, rows[0]["segment"] // FAN, rows[0]["first"], rows[-1]["last"], illegal, found)
+    found = joined([[tuple(w.values()) for w in r["ways"]] for r in rows])
+    return pa.Table.from_pylist([_part(rows[0]["w_group"], rows[0]["segment"] // FAN, rows[0]["first"], rows[-1]["last"], illegal, found)], _PART_KINDS)
 
 
 def _faults(placed: DataFrame) -> DataFrame:
@@ -218,22 +235,28 @@ def repair(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     turns = facts.groupBy("w_group", "turn").agg(*(F.sum((F.col("fault") == k).cast("int")).alias(name) for k, name in ((BLANK, "blank"), (DUPLICATE, "duplicate"), (TRUNCATED, "truncated"))))
     gaps = F.coalesce(F.max("turn") - F.min("turn") + 1 - F.count("turn"), F.lit(0))
     counts = turns.groupBy("w_group").agg(gaps.alias("gaps"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("blank", "duplicate", "truncated")))
-    levels = [cut(facts.groupBy("w_group", "segment").applyInArrow(lambda t: _search(t), _PART))]
-    while (levels[-1].agg(F.max("segment")).first()[0] or 0) > 0:
-        up = levels[-1].withColumn("above", F.floor(F.col("segment") / FAN))
+    ordered = facts.repartition("w_group", "segment").sortWithinPartitions("w_group", "segment", "place")
+    levels, tops = [cut(ordered.mapInArrow(_search, _PART))], []
+    while True:  # conversations of one segment are done, the others' segments are joined
+        most = levels[-1].groupBy("w_group").agg(F.max("segment").alias("most"))
+        several = most.where("most > 0").select("w_group")
+        tops.append(levels[-1].where("segment = 0").join(several, "w_group", "left_anti"))
+        if several.isEmpty():
+            break
+        up = levels[-1].join(several, "w_group", "left_semi").withColumn("above", F.floor(F.col("segment") / FAN))
         levels.append(cut(up.groupBy("w_group", "above").applyInArrow(lambda t: _join(t), _PART)))
     whole = F.filter("ways", lambda w: (w["before"] == "") & w["after"].isin(*WHOLE))
     best = F.array_min(F.transform(whole, lambda w: F.struct(w["cost"].alias("cost"), w["audit"].alias("audit"), w["before"].alias("before"), w["after"].alias("after"))))
-    top = levels[-1].select("w_group", "segment", "illegal", best.alias("best"))
-    summary = top.join(counts, "w_group").select("w_group", "gaps", "blank", "duplicate", "truncated", "illegal", "best.cost", "best.audit")
-    chosen = top.select("w_group", "segment", "best.before", "best.after")
+    tops = [top.select("w_group", "segment", "illegal", best.alias("best")) for top in tops]
+    summary = reduce(DataFrame.unionByName, tops).join(counts, "w_group").select("w_group", "gaps", "blank", "duplicate", "truncated", "illegal", "best.cost", "best.audit")
+    chosen = [top.select("w_group", "segment", "best.before", "best.after") for top in tops]
     same = lambda w: (w["before"] == F.col("before")) & (w["after"] == F.col("after"))
     pick = F.get(F.filter("ways", same), F.lit(0))
-    for level in reversed(levels[1:]):
-        via = level.join(chosen, ["w_group", "segment"]).select("w_group", "segment", pick["via"].alias("via"))
+    for i in range(len(levels) - 1, 0, -1):
+        via = levels[i].join(chosen[i], ["w_group", "segment"]).select("w_group", "segment", pick["via"].alias("via"))
         each = via.select("w_group", "segment", "via", F.posexplode(F.slice("via", F.lit(2), F.size("via") - 1)).alias("i", "after"))
-        chosen = each.select("w_group", (F.col("segment") * FAN + F.col("i")).alias("segment"), F.get("via", F.col("i")).alias("before"), "after")
-    audits = levels[0].join(chosen, ["w_group", "segment"]).select("w_group", F.shiftleft("segment", SEGMENT).alias("place"), F.lit(0).alias("kind"), F.col("before").alias("role"), pick["audit"].alias("text"))
+        chosen[i - 1] = chosen[i - 1].unionByName(each.select("w_group", (F.col("segment") * FAN + F.col("i")).alias("segment"), F.get("via", F.col("i")).alias("before"), "after"))
+    audits = levels[0].join(chosen[0], ["w_group", "segment"]).select("w_group", F.shiftleft("segment", SEGMENT).alias("place"), F.lit(0).alias("kind"), F.col("before").alias("role"), pick["audit"].alias("text"))
     both = audits.unionByName(placed.select("w_group", "place", F.lit(1).alias("kind"), "role", "text"))
     repaired = both.repartition("w_group").sortWithinPartitions("w_group", "place", "kind").mapInArrow(_apply, "w_group string, place long, edit string, role string, text string")
     return summary, repaired
