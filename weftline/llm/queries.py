@@ -154,6 +154,40 @@ def _escaped(column: str) -> str:
     return rf"regexp_replace({square}, '\|(>)', '|\\\1', 'g')"
 
 
+def _crc32(text: str) -> str:
+    """CRC-32 of a short ASCII text, bit by bit."""
+    shifted = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda z: cast(ascii(z) as bigint))), lambda c, b: {shifted}), 4294967295)"
+
+
+def _least(*states: str) -> str:
+    return f"list_min(list_filter([{', '.join(states)}], lambda z: z is not null))"
+
+
+def _edit(state: str, cost: str, letter: str, line: str | None = None) -> str:
+    """A state (cost and audit in k, the text so far in t) after an edit."""
+    text = f"case when {state}.t is null then {line} else {state}.t || chr(10) || {line} end" if line else f"{state}.t"
+    return f"case when {state} is not null then {{'k': printf('%09d', cast({state}.k[1:9] as integer) + {cost}) || {state}.k[10:] || '{letter}', 't': {text}}} end"
+
+
+def _inserted(source: str) -> str:
+    """States of source with u1 and a1: u and a after the turns that may be inserted."""
+    first = _least("u", *(_edit(x, "2", "I", "'user:'") for x in "esa"))
+    return f"select *, {_least('a', _edit('u1', '2', 'I', chr(39) + 'assistant:' + chr(39)))} as a1 from (select *, {first} as u1 from ({source}))"
+
+
+def _read_on(letter: str, name: str, before: str, other: str) -> str:
+    """The state named by a letter after one more row."""
+    fit = f"case when fault not in ('b', 'd') and initial = '{letter}' then {_edit(before, 'charge', 'K', 'line')} end"
+    role = f"case when fault not in ('b', 'd') then {_edit(before, '2 + charge', 'R', chr(39) + name + ':' + chr(39) + ' || text')} end" if name else "null"
+    return _least(_edit(other, "3", "D"), fit, role)
+
+
+def _leaf(n_chars: str = "n_chars") -> str:
+    said = lambda c: f"coalesce(octet_length(encode(cast({c} as varchar))) || ':' || cast({c} as varchar), '-')"
+    return "sha256(" + " || ".join(said(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
 #: Base32 of the hexadecimal digest d: eight letters of every five bytes.
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((cast('0x' || substr(d, {1 + 10 * g}, 10) as bigint) >> {35 - 5 * j}) & 31 as integer), 1)" for g in range(4) for j in range(8))
 
@@ -260,4 +294,69 @@ loss as (
 mean as (select doc_id, sum(n * lt) / sum(n) as lt, sum(n * lb) / sum(n) as lb from loss group by doc_id)
 select d.doc_id, is_target, cast(len(w) as bigint) as n_tokens, round(lt, 6) as target_loss, round(lb, 6) as background_loss, round(lt - lb, 6) as score
 from d left join mean using (doc_id)""",
+    "op11_repair": rf"""
+with recursive c as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {_crc32("coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ')")} % 20 as kind
+  from conversations),
+damaged as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role, case when kind = 1 then '' when kind = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from c, unnest(range(case when kind = 3 then 2 else 1 end)) as x(copy) where kind > 0),
+placed as (
+  select *, coalesce('=' || conv_id, '') as g, row_number() over (partition by conv_id order by turn nulls first, role, text) as i,
+    regexp_replace(text, '[\x20\x09-\x0D]+$', '') as said, row_number() over (partition by conv_id, role, text order by turn nulls first) as again from damaged),
+rows as materialized (
+  select *, left(role, 1) as initial, role || ':' || text as line,
+    case when said = '' then 'b' when again > 1 then 'd' when right(said, 1) in ('.', '!', '?') then '-' else 't' end as fault from placed),
+costs as materialized (select *, case when fault = 't' then 1 else 0 end as charge from rows),
+walk as (
+  select distinct g, 0 as i, {{'k': '000000000', 't': cast(null as varchar)}} as e, cast(null as struct(k varchar, t varchar)) as s, cast(null as struct(k varchar, t varchar)) as u, cast(null as struct(k varchar, t varchar)) as a from costs
+  union all
+  select g, i, {_edit("e", "3", "D")}, {_read_on("s", "", "e", "s")}, {_read_on("u", "user", "v", "u1")}, {_read_on("a", "assistant", "u1", "a1")}
+  from (select *, {_least("e", "s", "a1")} as v from ({_inserted("select walk.g, costs.i, e, s, u, a, initial, line, text, fault, charge from walk join costs on costs.g = walk.g and costs.i = walk.i + 1")}))),
+ends as (
+  select g, {_least("e", "a1")} as best from ({_inserted("select * from walk where (g, i) in (select (g, max(i)) from costs group by g)")})),
+pairs as (select g, initial, lag(initial) over (partition by g order by i) as before from costs),
+counts as (
+  select g, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'b') as blank, count(*) filter (fault = 'd') as duplicate, count(*) filter (fault = 't') as truncated from costs group by g),
+illegal as (select g, count(*) filter (before is not null and before || initial not in ('su', 'ua', 'au')) as illegal from pairs group by g)
+select conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  coalesce(cast(best.k[1:9] as bigint), 0) as cost, coalesce(best.k[10:], '') as audit, sha256(coalesce(best.t, '')) as repaired_sha256
+from (select distinct conv_id, coalesce('=' || conv_id, '') as g from conversations) left join counts using (g) left join illegal using (g) left join ends using (g)""",
+    "op12_embedding_dedup": """
+with recursive v as (
+  select vec_id, cast(embedding as double[]) as e from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs as materialized (select x.vec_id as a, y.vec_id as b from v x join v y on x.vec_id <> y.vec_id and len(x.e) = len(y.e) where list_cosine_similarity(x.e, y.e) >= 0.9),
+reach as (select a, b from pairs union select r.a, p.b from reach r join pairs p on r.b = p.a),
+least as (select a, min(b) as b from reach group by a),
+n as (select a, count(*) as n from pairs group by a)
+select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(b, vec_id)) as component_id, vec_id = least(vec_id, coalesce(b, vec_id)) as kept
+from embeddings left join n on n.a = vec_id left join least on least.a = vec_id""",
+    "op13_merkle": f"""
+with recursive leaves as materialized (
+  select doc_id, coalesce('=' || lang, '') as g, {_leaf()} as leaf,
+    case when {_crc32("cast(doc_id as varchar)")} % 7 = 0 then {_leaf("(n_chars + 1)")} else {_leaf()} end as told from documents),
+placed as materialized (
+  select *, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as place, count(*) over (partition by g) as total from leaves),
+tree as (
+  select g, 0 as level, place, leaf as node, total from placed
+  union all
+  select g, level + 1, place // 2, sha256(string_agg(node, '' order by place)), any_value((total + 1) // 2) from tree where total > 1 group by g, level, place // 2),
+subroots as materialized (select g, node, row_number() over (order by encode(g)) - 1 as place, count(*) over () as total from tree where total = 1),
+top as (
+  select 0 as level, place, node, total from subroots
+  union all
+  select level + 1, place // 2, sha256(string_agg(node, '' order by place)), any_value((total + 1) // 2) from top where total > 1 group by level, place // 2),
+nodes as materialized (select g, level, place, node, total from tree union all select 'top', level, place, node, total from top),
+climb as (
+  select doc_id, leaf, g as own, g, 0 as level, place, told as node, '' as proof from placed
+  union all
+  select c.doc_id, c.leaf, c.own, case when n.total = 1 then 'top' else c.g end, case when n.total = 1 then 0 else c.level + 1 end, case when n.total = 1 then r.place else c.place // 2 end,
+    case when n.total = 1 then c.node when c.place % 2 = 1 then sha256(b.node || c.node) else sha256(c.node || coalesce(b.node, '')) end, c.proof || coalesce(b.node, '')
+  from climb c join nodes n on n.g = c.g and n.level = c.level and n.place = c.place join subroots r on r.g = c.own
+  left join nodes b on b.g = c.g and b.level = c.level and b.place = xor(c.place, 1)
+  where n.total > 1 or c.g <> 'top')
+select doc_id, leaf, r.node as subroot, t.node as root, sha256(proof) as proof_sha256, c.node as folded_root, c.node = t.node as verified
+from climb c join nodes n on n.g = c.g and n.level = c.level and n.place = c.place join subroots r on r.g = own join top t on t.total = 1
+where c.g = 'top' and n.total = 1""",
 }
