@@ -87,6 +87,42 @@ def test_entities_of_other_languages(spark):
     assert got == {("a.go", "function", "Run", 5, 8), ("a.rs", "class", "P", 1, 1), ("a.rs", "function", "go", 2, 3), ("a.c", "function", "main", 1, 3)}
 
 
+@pytest.mark.parametrize(
+    "name, line, kind, found",
+    [
+        ("a.js", "const g = function () {}", "function", "g"),
+        ("a.ts", "A.prototype.run = async function () {}", "method", "run"),
+        ("a.jsx", "module.exports = class K {", "class", "K"),
+        ("a.js", "let f = async (a, b) => a", "function", "f"),
+        ("a.js", "  async load(x) { }", "method", "load"),
+        ("a.js", "if (x) { A.prototype.go = function () {} }", "method", "go"),
+        ("a.js", "while (x) {", None, None),
+        ("a.js", "# class No {", None, None),
+        ("a.ts", " * function no() {", None, None),
+        ("a.js", "function* gen() {", None, None),
+        ("A.java", "public static List<String> of(int x) throws E {", "function", "of"),
+        ("A.java", "abstract class B extends C {", "class", "B"),
+        ("A.java", "interface No {", None, None),
+        ("A.java", "int x = f(1);", None, None),
+        ("a.go", "type S struct {", None, None),
+        ("a.rs", "fn go() {", "function", "go"),
+        ("a.cpp", "std::vector<int> all(int x) {", "function", "all"),
+    ],
+)
+def test_shapes_of_definitions(spark, name, line, kind, found):
+    got = [(r.kind, r.name, r.start_line) for r in C.pattern_entities(spark.createDataFrame([(name, "x\n" + line)], "file string, text string")).collect()]
+    assert got == ([(kind, found, 2)] if kind else [])
+
+
+def test_common_names_take_rows_in_proportion(spark):
+    """Files that all define and call the same names: one edge a file, and no name is joined with all files that have it."""
+    files = spark.createDataFrame([(f"s{i}.js", "function run() {\n}\nrun()") for i in range(300)], "file string, text string")
+    edges = C.symbol_edges(C.mentions(files), C.pattern_entities(files))
+    assert {tuple(r) for r in edges.collect()} == {(f"s{i}.js", f"s{i}.js::run", "calls") for i in range(300)}
+    elsewhere = C.symbol_edges(spark.createDataFrame([("t.js", "calls", "x.run"), ("t.js", "exports", "run"), ("s7.js", "calls", "run")], "file string, type string, target string"), C.pattern_entities(files))
+    assert {tuple(r) for r in elsewhere.collect()} == {("t.js", "s0.js::run", "calls"), ("s7.js", "s7.js::run", "calls")}
+
+
 def test_python_files_that_do_not_parse(spark):
     bad = "class K:\n    def a(self):\n        x = (\n# note\n        y\n\n    async def b(self):\n        z\nq\n@deco\ndef c():\n  pass\n"
     rows = [("bad.py", bad), ("good.py", "def f():\n    pass\n"), ("none.py", None), ("x.js", "class K:")]
@@ -101,19 +137,21 @@ def test_block_ends_against_brute_force(spark):
     rng = random.Random(5)
     files = []
     for f in range(20):
-        lines = [rng.choice(["function f%d() {" % i, "{", "}", "} }", "x", "{ }", "const g%d = (a) => a" % i, "}}{", "function h%d()" % i]) for i in range(40)]
+        lines = [rng.choice(["function f%d() {" % i, "{", "}", "} }", "x", "{ }", "const g%d = (a) => a" % i, "}}{", "function h%d()" % i, "x // {", "function k%d() { // }" % i]) for i in range(40)]
         files.append((f"f{f}.js", "\n".join(lines)))
     expected = set()
     for file, text in files:
-        lines, depth = text.split("\n"), []
-        for line in lines:
-            depth.append((depth[-1] if depth else 0) + line.count("{") - line.count("}"))
+        lines = [line.split("//")[0] for line in text.split("\n")]
         for i, line in enumerate(lines):
-            if line[0] not in "fc":
+            if line[:1] not in ("f", "c"):
                 continue
-            base, opens = depth[i] - line.count("{") + line.count("}"), "{" in line
-            ends = [j for j in range(i if opens else i + 1, len(lines)) if depth[j] <= base]
-            expected.add((file, i + 1, (ends[0] if ends else i) + 1))
+            open_, balance, end = False, 0, i
+            for j in range(i, len(lines)):
+                balance, open_ = balance + lines[j].count("{") - lines[j].count("}"), open_ or "{" in lines[j]
+                if open_ and balance <= 0:
+                    end = j
+                    break
+            expected.add((file, i + 1, end + 1))
     got = {(r.file, r.start_line, r.end_line) for r in C.pattern_entities(spark.createDataFrame(files, "file string, text string")).collect()}
     assert got == expected
 
@@ -206,4 +244,4 @@ if (useContext(Ctx)) {}
     assert (got["subscribes_to"], got["dispatches"]) == ({"bus", "useSyncExternalStore"}, {"store", "dispatch", "emit"})
     assert (got["reads_state"], got["writes_state"]) == ({"useSelector", "getState", "store", "this"}, {"this", "this.setState", "setName"})
     assert (got["provides_context"], got["consumes_context"]) == ({"Theme"}, {"Theme", "Ctx"})
-    assert (got["routes_to"], got["type_uses"]) == ({"Home", "Page", "Late", "s"}, {"Kind", "Other", "Type", "One"})
+    assert (got["routes_to"], got["type_uses"]) == ({"Home", "Page", "Late"}, {"Kind", "Other", "Type", "One"})

@@ -10,19 +10,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as X
-from weftline.operators.intervals import containing
+from weftline.operators.intervals import containing, innermost
 
-# Patterns of definitions by kind, for each family of languages.
+# Patterns of definitions by kind, for each family of languages, in the order in which they are tried.
 DEFINITIONS = {
-    "javascript": (("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)"), ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)"), ("function", r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*=>"), ("method", r"^\s+(?:async\s+|static\s+|get\s+|set\s+)*([A-Za-z_$][\w$]*)\s*\([^;]*\)\s*\{\s*$")),
-    "java": (("class", r"^\s*(?:public\s+|private\s+|protected\s+|abstract\s+|final\s+|static\s+)*(?:class|interface|enum)\s+([A-Za-z_$][\w$]*)"), ("method", r"^\s+(?:public|private|protected|static|final|synchronized|\s)+[\w$<>\[\], ?]+\s+([A-Za-z_$][\w$]*)\s*\([^;]*\)\s*(?:throws\s+[\w$., ]+)?\{\s*$")),
+    "javascript": (
+        ("class", r"\bclass\s+([A-Za-z_$][\w$]*)"),
+        ("function", r"\bfunction\s+([A-Za-z_$][\w$]*)\s*\("),
+        ("function", r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*=>"),
+        ("function", r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?function\b"),
+        ("method", r"^\s*(?:async\s+)?([A-Za-z_$][\w$]*)\s*\([^)]*\)\s*\{"),
+        ("method", r"\.prototype\.([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?function\b"),
+    ),
+    "java": (
+        ("class", r"\bclass\s+([A-Za-z_]\w*)\b"),
+        ("function", r"^\s*(?:public|private|protected)?\s*(?:static\s+)?[A-Za-z_<>\[\], ?]+\s+([A-Za-z_]\w*)\s*\([^;{}]*\)\s*(?:throws\s+[^{]+)?\{"),
+    ),
 }
 DEFINITIONS["typescript"] = DEFINITIONS["javascript"]
 # Patterns of definitions in all other code files (go, rust, c and the like), and in Python files.
-DEFINITIONS["other"] = (("class", r"\b(?:class|struct|interface)\s+([A-Za-z_]\w*)\b"), ("function", r"^\s*(?:func|fn)\s+([A-Za-z_]\w*)\s*\("), ("function", r"^\s*[A-Za-z_][\w:<>\s*&]*\s+([A-Za-z_]\w*)\s*\([^;{}]*\)\s*\{"))
+DEFINITIONS["other"] = (
+    ("class", r"\b(?:class|struct|interface)\s+([A-Za-z_]\w*)\b"),
+    ("function", r"^\s*(?:func|fn)\s+([A-Za-z_]\w*)\s*\("),
+    ("function", r"^\s*[A-Za-z_][\w:<>\s*&]*\s+([A-Za-z_]\w*)\s*\([^;{}]*\)\s*\{"),
+)
 PYTHON_DEFINITIONS = (("class", r"^\s*class\s+([A-Za-z_]\w*)\b"), ("function", r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)\s*\("))
-# Words that look like method names but are not.
-KEYWORDS = ("if", "for", "while", "switch", "catch", "return", "function", "else", "do", "try", "new")
+# Words that no definition has for a name, and what comment lines begin with.
+KEYWORDS = ("if", "for", "while", "switch", "catch", "function")
+_COMMENT = r"^\s*(//|\*|#)"
 
 
 def _next_at_most(lines: DataFrame) -> DataFrame:
@@ -44,31 +59,41 @@ def _numbered(files: DataFrame) -> DataFrame:
     return files.select("file", X.language_of(F.col("file")).alias("lang"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "line")).withColumn("n", F.col("n") + 1)
 
 
+def _first_pattern(patterns: tuple[tuple[str, str], ...]) -> Column:
+    """Kind and name by the first pattern that fits with a name that is no keyword."""
+    found = [(k, F.regexp_extract("line", p, 1)) for k, p in patterns]
+    return F.coalesce(*(F.when((name != "") & ~name.isin(*KEYWORDS), F.struct(F.lit(k).alias("kind"), name.alias("name"))) for k, name in found))
+
+
 def pattern_entities(files: DataFrame) -> DataFrame:
-    """T11, T12, J09. Definitions by the first line pattern that fits; a block ends where its braces balance.
+    """T11, T12, J09. Definitions by the first line pattern that fits; a block ends on the first line on which, since the
+    definition's, a brace has been opened and all are closed, comments aside (without one, on its own line).
 
     A method's class is the narrowest one around it. Code files of no named language go by the patterns of "other";
     Python files are read by python_entities.
     """
     lines = _numbered(files)
-    kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
-    other = (F.col("lang") == "") & X.is_code_path(F.col("file")) & ~F.col("line").rlike(r"^\s*(//|\*|#)")
-    for family, patterns in DEFINITIONS.items():
-        for k, p in reversed(patterns):
-            fits = (other if family == "other" else F.col("lang") == family) & F.col("line").rlike(p)
-            kind, name = F.when(fits, k).otherwise(kind), F.when(fits, F.regexp_extract("line", p, 1)).otherwise(name)
-    count = lambda c: F.length("line") - F.length(F.replace(F.col("line"), F.lit(c), F.lit("")))
+    family = F.when(F.col("lang").isin("javascript", "typescript"), "javascript").when(F.col("lang") == "java", "java").when((F.col("lang") == "") & X.is_code_path(F.col("file")), "other")
+    hit = F.coalesce(*(F.when(family == name, _first_pattern(DEFINITIONS[name])) for name in ("javascript", "java", "other")))
+    code = F.regexp_replace("line", "//.*$", "")
+    count = lambda c: F.length(code) - F.length(F.replace(code, F.lit(c), F.lit("")))
     w = Window.partitionBy("file").orderBy("n")
-    depth = lines.select("file", "n", kind.alias("kind"), name.alias("name"), F.sum(count("{") - count("}")).over(w).alias("level"), count("{").alias("opened"), count("}").alias("closed"))
-    head = F.col("kind").isNotNull() & ~F.col("name").isin(*KEYWORDS)
-    found = _next_at_most(depth.withColumn("base", F.when(head, F.col("level") - F.col("opened") + F.col("closed"))))
-    end = F.when((F.col("opened") > 0) & (F.col("level") <= F.col("base")), F.col("n")).otherwise(F.coalesce("close", "n"))
-    closed = found.select("file", "kind", "name", F.col("n").alias("start_line"), end.alias("end_line"))
-    outer = closed.where("kind = 'class'").select("file", F.col("name").alias("class"), F.col("start_line").alias("c_start"), F.col("end_line").alias("c_end"))
-    inner = closed.join(outer, "file", "left")
-    fits = (F.col("kind") == "method") & (F.col("c_start") < F.col("start_line")) & (F.col("start_line") <= F.col("c_end"))
-    owner = inner.groupBy("file", "kind", "name", "start_line", "end_line").agg(F.min_by("class", F.when(fits, F.struct(F.col("c_end") - F.col("c_start"), -F.col("c_start")))).alias("class"))
-    return owner.select("file", "kind", "name", F.when((F.col("kind") == "method") & F.col("class").isNotNull(), F.concat_ws(".", "class", "name")).otherwise(F.col("name")).alias("qualified_name"), "start_line", "end_line")
+    depth = lines.select("file", "n", F.when(~F.col("line").rlike(_COMMENT), hit).alias("hit"), count("{").alias("opened"), (count("{") - count("}")).alias("step"))
+    level = F.sum("step").over(w)
+    first = F.first(F.when(F.col("opened") > 0, F.struct("n", "level")), ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    seen = depth.withColumn("level", level).withColumn("above", F.coalesce(F.lag("level").over(w), F.lit(0))).withColumn("open", first)
+    heads = seen.where("hit is not null").select("file", "hit.kind", "hit.name", F.col("n").alias("start_line"), "open", F.col("above").alias("base"))
+    # a block that its opening line does not close ends on the first line after it that falls to the level before it
+    falls = seen.where("level < above").select("file", F.explode(F.sequence("level", F.col("above") - 1)).alias("base"), "n", F.lit(False).alias("head"))
+    waiting = heads.where("open is not null and open.level > base").select("file", "base", F.col("open.n").alias("n"), F.lit(True).alias("head"), "kind", "name", "start_line")
+    back = Window.partitionBy("file", "base").orderBy(F.desc("n"), F.desc("head")).rowsBetween(Window.unboundedPreceding, -1)
+    late = waiting.unionByName(falls, allowMissingColumns=True).withColumn("end", F.last(F.when(~F.col("head"), F.col("n")), ignorenulls=True).over(back)).where("head")
+    at_once = heads.where("open is null or open.level <= base").select("file", "kind", "name", "start_line", F.coalesce("open.n", "start_line").alias("end_line"))
+    closed = at_once.unionByName(late.select("file", "kind", "name", "start_line", F.coalesce("end", "start_line").alias("end_line")))
+    classes = closed.where("kind = 'class' and end_line > start_line").select("file", F.col("name").alias("class"), (F.col("start_line") + 1).alias("start"), F.col("end_line").alias("end"), (-F.col("start_line")).alias("pos"))
+    owner = innermost(closed.where("kind = 'method'").select("file", F.col("start_line").alias("at")), classes, "file", ["file", "at"]).select("file", F.col("at").alias("start_line"), "class")
+    named = closed.join(owner, ["file", "start_line"], "left")
+    return named.select("file", "kind", "name", F.concat_ws(".", "class", "name").alias("qualified_name"), "start_line", "end_line")
 
 
 def python_pattern_entities(files: DataFrame) -> DataFrame:
@@ -183,7 +208,7 @@ RELATIONS = {
     "dispatches": (r"\b(dispatch|emit|publish)\s*\(", r"\b([A-Za-z_$][\w$]*)\.(?:dispatch|emit|publish)\s*\("),
     "provides_context": (r"<([A-Z][A-Za-z0-9_$]*)\.Provider\b",),
     "consumes_context": (r"\buseContext\s*\(\s*([A-Z][A-Za-z0-9_$]*)\s*\)", r"<([A-Z][A-Za-z0-9_$]*)\.Consumer\b"),
-    "routes_to": (r"\bcomponent\s*=\s*\{([A-Z][A-Za-z0-9_$]*)\}", r"\belement\s*=\s*\{<([A-Z][A-Za-z0-9_$]*)\b", r"\brender\s*=\s*\{[^}]*\b([A-Z][A-Za-z0-9_$]*)\b", r"\broute(s)?\s*:\s*\["),
+    "routes_to": (r"\bcomponent\s*=\s*\{([A-Z][A-Za-z0-9_$]*)\}", r"\belement\s*=\s*\{<([A-Z][A-Za-z0-9_$]*)\b", r"\brender\s*=\s*\{[^}]*\b([A-Z][A-Za-z0-9_$]*)\b"),
     "uses_style": (r"import" + _FROM, r"""require\(\s*['"]([^'"]+)['"]\s*\)""", r"""\bimport\(\s*['"]([^'"]+)['"]\s*\)"""),
 }
 # Relations whose group is a list with commas; of a renamed export the first name counts.
@@ -222,12 +247,16 @@ def symbol_edges(references: DataFrame, entities: DataFrame) -> DataFrame:
     In order: the own file by full name, by short name; the only one anywhere by short name; then the first anywhere by
     id; an export is of the own file. Relations in OWN_FILE that find nothing point at the file itself, others are dropped.
     """
-    e = entities.select(F.col("file").alias("e_file"), "qualified_name", "name", X.entity_id(F.col("file"), F.col("qualified_name")).alias("dst"))
+    e = entities.select("file", "qualified_name", F.col("name").alias("short"), X.entity_id(F.col("file"), F.col("qualified_name")).alias("id"))
     r = references.select("file", "type", "target", F.substring_index("target", ".", -1).alias("short")).distinct()
-    near = r.join(e, (F.col("short") == F.col("name")) & ((F.col("type") != "exports") | (F.col("e_file") == F.col("file"))), "left")
-    tier = F.when((F.col("e_file") == F.col("file")) & (F.col("qualified_name") == F.col("target")), 0).when(F.col("e_file") == F.col("file"), 1).when(F.col("dst").isNotNull(), 2)
-    best = near.groupBy("file", "type", "target").agg(F.min_by("dst", F.struct(tier.alias("t"), "dst")).alias("dst"))
-    kept = best.withColumn("dst", F.coalesce("dst", F.when(F.col("type").isin(*OWN_FILE), F.col("file")))).where("dst is not null")
+    # one row a name of a file, and one a name anywhere: no name meets all files that have it
+    own = e.groupBy("file", "short").agg(F.min("id").alias("near"))
+    full = e.groupBy("file", F.col("qualified_name").alias("target")).agg(F.min("id").alias("exact"))
+    anywhere = e.groupBy("short").agg(F.min("id").alias("far"))
+    told = r.join(full, ["file", "target"], "left").join(own, ["file", "short"], "left").join(anywhere, "short", "left")
+    exact = F.when(F.col("near").isNotNull(), F.col("exact"))
+    best = F.coalesce(exact, "near", F.when(F.col("type") != "exports", F.col("far")), F.when(F.col("type").isin(*OWN_FILE), F.col("file")))
+    kept = told.select("file", "type", best.alias("dst")).where("dst is not null")
     return kept.select(F.col("file").alias("src"), "dst", "type").distinct()
 
 
