@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from weftline.functions import text as X
 from weftline.operators import retrieval as R
-from weftline.plans.registry import query
-from weftline.session import table
+from weftline.operators.index import PostingIndex
+from weftline.plans.registry import ORACLE_SQL, query
+from weftline.session import shared_folder, table
 
 
 def tokens_sql(c: str = "text") -> str:
@@ -128,6 +131,46 @@ def cascade_retrieval(spark, sf_dir):
     return found.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def _stored(spark, docs, *parts):
+    """An index of documents in two batches, in the shared folder."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    return PostingIndex.build(docs.where(half), path, parts).append(docs.where(~half))
+
+
+@query(f"with {bm25_sql('documents', _BENCH, 10)} select * from bm25")
+def index_topk(spark, sf_dir):
+    """Ten best documents for every benchmark item from a stored index, by the ranges whose bounds reach them."""
+    found = _stored(spark, table(spark, sf_dir, "documents")).search(_items(spark, sf_dir), 10)
+    return found.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+_LONG = "(select item_id as query_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{9,}')))[1:3], ' ') as text from benchmark)"
+
+
+@query(f"with {bm25_sql('documents', _LONG, 10)} select * from bm25")
+def index_short_queries(spark, sf_dir):
+    """The same for queries of three long words of each item."""
+    words = F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{9,}"), F.lit(0)))), 1, 3)
+    found = _stored(spark, table(spark, sf_dir, "documents")).search(_items(spark, sf_dir).select("query_id", F.array_join(words, " ").alias("text")), 10)
+    return found.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(ORACLE_SQL["cascade_retrieval"])
+def index_cascade(spark, sf_dir):
+    """The cascade of sources and documents from a stored index."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_replace("source", "src", "").cast("long").alias("src"))
+    found = R.cascade(_stored(spark, docs, "src"), _items(spark, sf_dir), "src", pool=40, k=15)
+    return found.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(ORACLE_SQL["posting_histogram"])
+def index_posting_lengths(spark, sf_dir):
+    """How many terms have postings of each length, from the heads of a stored index's blocks."""
+    df = _stored(spark, table(spark, sf_dir, "documents")).blocks().where("term <> ''").groupBy("term").agg(F.sum("df").alias("df"))
+    return df.groupBy("df").agg(F.count("*").alias("n_terms"))
+
+
 _DENSE = """e as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings),
 u as (select vec_id, label, list_transform(v, lambda x: x / case when sqrt(list_inner_product(v, v)) = 0 then 1 else sqrt(list_inner_product(v, v)) end) as v from e),
 s as (select q.vec_id as query_id, d.vec_id as doc_id, round(list_inner_product(q.v, d.v), 6) as score from u q join u d on true where q.vec_id % 50 = 0),
