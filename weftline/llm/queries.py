@@ -303,10 +303,10 @@ damaged as (
   from c, unnest(range(case when kind = 3 then 2 else 1 end)) as x(copy) where kind > 0),
 placed as (
   select *, coalesce('=' || conv_id, '') as g, row_number() over (partition by conv_id order by turn nulls first, role, text) as i,
-    regexp_replace(text, '[\x20\x09-\x0D]+$', '') as said, row_number() over (partition by conv_id, role, text order by turn nulls first) as again from damaged),
+    regexp_replace(text, '[\x20\x09-\x0D]+$', '') as said from damaged),
 rows as materialized (
   select *, left(role, 1) as initial, role || ':' || text as line,
-    case when said = '' then 'b' when again > 1 then 'd' when right(said, 1) in ('.', '!', '?') then '-' else 't' end as fault from placed),
+    case when said = '' then 'b' when row_number() over (partition by g, role, text order by i) > 1 then 'd' when right(said, 1) in ('.', '!', '?') then '-' else 't' end as fault from placed),
 costs as materialized (select *, case when fault = 't' then 1 else 0 end as charge from rows),
 walk as (
   select distinct g, 0 as i, {{'k': '000000000', 't': cast(null as varchar)}} as e, cast(null as struct(k varchar, t varchar)) as s, cast(null as struct(k varchar, t varchar)) as u, cast(null as struct(k varchar, t varchar)) as a from costs
