@@ -36,3 +36,42 @@ def test_blocks_nulls_and_ties(spark, block):
         found = Z.matches(df(names, "name").repartition(3), df(queries, "query"), Z.close, 2, least, Z.close_at_most, block)
         assert {tuple(r) for r in found.select("query", "name", "score", "rank").collect()} == all_pairs(names, queries, Z.close, 2, least)
     assert Z.matches(df([], "name"), df([], "query"), Z.close).count() == 0
+
+
+@pytest.mark.parametrize("cutoff", [0.72, 0.8, 0.84, 0.95])
+def test_close_matches_against_all_pairs(spark, cutoff):
+    """Random texts from one to forty letters, copies with some letters changed, repeats, cases, nulls and empty texts."""
+    import random
+
+    rng = random.Random(int(cutoff * 100))
+    base = ["".join(rng.choice("abcdefgh") for _ in range(rng.choice((1, 2, 3, 4, 5, 8, 12, 20, 40)))) for _ in range(150)]
+
+    def bent(text):
+        out = list(text)
+        for _ in range(rng.randrange(0, 2 + len(out) // 4)):
+            i = rng.randrange(len(out) + 1)
+            out[i : i + rng.choice((0, 1, 1))] = rng.choice(("", "x", "a"))
+        return "".join(out)
+
+    names, queries = [*base, "", "ABC", "abc", "aaaa"], [bent(rng.choice(base)) for _ in range(200)] + ["", "AbC", "aaaaa"]
+    df = lambda rows, c: spark.createDataFrame([(x, 1) for x in [*rows, None]], f"{c} string, score int")
+    found = Z.close_matches(df(names, "name"), df(queries, "query"), 3, cutoff)
+    assert {tuple(r) for r in found.collect()} == all_pairs(names, queries, lambda q, n: Z.close(n.lower(), q.lower()), 3, cutoff)
+
+
+def test_few_pairs_are_compared(spark, sf_dir):
+    """Of all pairs of the documents' first words, those compared are few beside those that are truly similar."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("lower(substring_index(text, ' ', 5)) as name").where("name <> ''").distinct()
+    names = [r.name for r in d.collect()]
+    pairs = Z.close_candidates(d, d.withColumnRenamed("name", "query"), 0.8).count()
+    alike = sum(Z.close(a, b) >= 0.8 for a in names for b in names)
+    assert alike <= pairs < alike + 0.05 * len(names) ** 2
+
+
+def test_similarity_is_the_last_tier(spark):
+    e = spark.createDataFrame([("m.parse_tokens", "parse_tokens"), ("m.other", "other")], "id string, name string")
+    q = spark.createDataFrame([("parse_token",), ("other",), ("zzz",)], "query string")
+    assert {tuple(r) for r in Z.entity_search(e, q).collect()} == {("parse_token", "m.parse_tokens", 5), ("other", "m.other", 2)}
+    f = spark.createDataFrame([("src/lib/parser.py",), ("src/a/b.py",)], "path string")
+    m = spark.createDataFrame([("src/lib/parsers.py",), ("b.py",), ("nothing",)], "mention string")
+    assert {tuple(r) for r in Z.resolve_paths(m, f).collect()} == {("src/lib/parsers.py", "src/lib/parser.py", 3), ("b.py", "src/a/b.py", 1)}

@@ -87,3 +87,42 @@ def test_half_samples_of_labels(spark, sf_dir):
     share = labels.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
     got = QUERIES["bootstrap_ci"](spark, sf_dir).first()
     assert got.low < share < got.high and abs(got.mean - share) < (got.high - got.low) / 10
+
+
+def test_close_names(spark, sf_dir):
+    from weftline.operators.fuzzy import close
+
+    names = sorted({r[0] for r in duckdb.sql(f"select p_name from '{sf_dir}/part.parquet'").fetchall()})
+    want = set()
+    for q in {f"x {n}" for n in names}:
+        found = sorted((-round(close(n.lower(), q.lower()), 6), n) for n in names)
+        want |= {(q, n, -s, i + 1) for i, (s, n) in enumerate([x for x in found if -x[0] >= 0.8][:3])}
+    assert {tuple(r) for r in QUERIES["close_names"](spark, sf_dir).collect()} == want
+
+
+def test_paths_and_entities_by_all_tiers(spark, sf_dir):
+    """Every mention that stands whole, by a unique end or base name comes back so; misspelled ones by the most similar."""
+    from weftline.operators.fuzzy import close
+
+    urls = duckdb.sql(f"select page_id, regexp_replace(url, '^[a-z]+://', '') || '.' || page_id || '.html' from '{sf_dir}/pages.parquet'").fetchall()
+    paths = sorted({p for _, p in urls})
+    want = set()
+    for i, p in urls:
+        base = p.rsplit("/", 1)[-1]
+        mention = (p, "/".join(p.rsplit("/", 2)[-2:]) if p.count("/") >= 1 else "", base, p + "x")[i % 4]
+        if mention in paths:
+            want.add((mention, mention, 0))
+            continue
+        suffix = [x for x in paths if x.endswith("/" + mention) and x.rsplit("/", 1)[-1] == mention.rsplit("/", 1)[-1]]
+        named = [x for x in paths if x.rsplit("/", 1)[-1] == mention.rsplit("/", 1)[-1]]
+        if len(suffix) == 1:
+            want.add((mention, suffix[0], 1))
+        elif len(named) == 1:
+            want.add((mention, named[0], 2))
+        else:
+            score, path = max(((round(close(x.lower(), mention.lower()), 6), [-ord(c) for c in x], x) for x in paths), default=(0, 0, ""))[::2]
+            if score >= 0.82:
+                want.add((mention, path, 3))
+    assert {tuple(r) for r in QUERIES["resolved_paths"](spark, sf_dir).select("mention", "path", "tier").collect()} == want
+    tiers = {r.tier for r in QUERIES["similar_entities"](spark, sf_dir).collect()}
+    assert tiers == {0, 1, 2, 3, 4, 5}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from bisect import insort
 from collections import Counter
 from collections.abc import Callable
@@ -33,11 +34,11 @@ def indel_ratio(a: str, b: str) -> float:
 
 @lru_cache(100_000)
 def _tokens(text: str) -> frozenset[str]:
-    return frozenset(text.replace("_", " ").replace("-", " ").split())
+    return frozenset(re.findall(r"\w+", text.replace("_", " ").replace("-", " ")))
 
 
 def token_set(a: str, b: str) -> float:
-    """R09. Best ratio of the common tokens with either side's tokens, and of both sides' tokens; _ and - separate."""
+    """R09. Best ratio of the common tokens with either side's tokens, and of both sides' tokens, words of letters, digits and what is neither sign nor _."""
     x, y = _tokens(a), _tokens(b)
     if not x or not y:
         return 0.0
@@ -106,6 +107,66 @@ def matches(names: DataFrame, queries: DataFrame, score: Callable[[str, str], fl
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _least_common(one: Column, two: Column, cutoff: float) -> Column:
+    """Letters that two texts of these lengths share at least, in order, if their similarity reaches the cutoff."""
+    return F.ceil(cutoff * (one + two) / 2 - 1e-9)
+
+
+def close_candidates(names: DataFrame, queries: DataFrame, cutoff: float) -> DataFrame:
+    """query, name (of distinct lower-case texts): all pairs whose Ratcliff-Obershelp similarity can reach the cutoff.
+
+    At this similarity the texts have a common subsequence of M >= cutoff (a + b) / 2 letters, a and b being their lengths.
+    Of its M - 1 pairs of neighbours, each letter left out of either text parts one, so 3 M - a - b - 1 pairs stand side by
+    side in both. Pairs of letters, numbered where they repeat, are put in order, the rarest first; texts which share t of
+    them share one of their first n - t + 1, so they meet by equality of these. Where t falls to nothing, in short texts,
+    single letters take the place of pairs. Of those that meet, pairs that share t in all remain.
+    """
+    both = names.select(F.lower("name").alias("text"), F.lit(0).alias("side")).unionByName(queries.select(F.lower("query").alias("text"), F.lit(1).alias("side"))).where("text is not null").distinct()
+    size = F.length("text")
+    shortest = F.ceil(size * cutoff / (2 - cutoff) - 1e-9)  # of what can be so similar
+    # 3 M - a - b - 1 without rounding M grows with b, from the shortest on, if the cutoff is above 2/3
+    pairs_at_least = F.ceil((1.5 * cutoff - 1) * (size + shortest) - 1 - 1e-9) if cutoff > 2 / 3 else F.lit(0).cast("long")
+    places = lambda width: F.when(size >= width, F.transform(F.sequence(F.lit(1), size - width + 1), lambda i: F.substring("text", i, F.lit(width))))
+    sized = both.where(size > 0).select("text", "side", size.alias("size"), pairs_at_least.alias("t"), places(2).alias("two"), places(1).alias("one"), _least_common(size, shortest, cutoff).alias("m"))
+    pairs = sized.where("two is not null").select("text", "side", "size", F.lit(2).alias("width"), F.greatest(F.lit(1), "t").alias("t"), F.explode("two").alias("gram"))
+    singles = sized.where("t <= 0").select("text", "side", "size", F.lit(1).alias("width"), F.greatest(F.lit(1), "m").alias("t"), F.explode("one").alias("gram"))
+    counted = pairs.unionByName(singles).groupBy("text", "side", "size", "width", "t", "gram").agg(F.count("*").alias("n"))
+    each = counted.select("text", "side", "size", "width", "t", "gram", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("nth"))
+    frequency = each.groupBy("width", "gram", "nth").agg(F.count("*").alias("df"))
+    ordered = each.join(frequency, ["width", "gram", "nth"]).groupBy("text", "side", "size", "width", "t").agg(F.array_sort(F.collect_list(F.struct("df", "gram", "nth"))).alias("grams"))
+    named = ordered.select("text", "side", "size", "width", F.transform("grams", lambda g: F.concat_ws(" ", g["nth"], g["gram"])).alias("grams"), "t")
+    # the least of the shared ones counts, so that a pair meets once
+    first = named.select("text", "side", "size", "width", "grams", F.explode(F.slice("grams", F.lit(1), F.greatest(F.lit(1), F.size("grams") - F.col("t") + 1).cast("int"))).alias("gram"))
+    of = lambda side, name: first.where(F.col("side") == side).select("gram", "width", F.col("text").alias(name), F.col("size").alias(f"{name}_size"), F.col("grams").alias(f"{name}_grams"))
+    both_sizes = F.col("query_size") + F.col("name_size")
+    common = _least_common(F.col("query_size"), F.col("name_size"), cutoff)
+    shared = F.array_intersect("query_grams", "name_grams")
+    wanted = 3 * common - both_sizes - 1
+    enough = F.when(F.col("width") == 2, (wanted > 0) & (F.size(shared) >= wanted)).otherwise((wanted <= 0) & (F.size(shared) >= common))
+    near = F.least("query_size", "name_size") >= common
+    met = of(1, "query").join(of(0, "name"), ["gram", "width"]).where(near & (F.get(shared, F.lit(0)) == F.col("gram")) & enough).select("query", "name").distinct()
+    none = both.where("text = ''")
+    return met.unionByName(none.where("side = 1").select(F.col("text").alias("query")).join(none.where("side = 0").select(F.col("text").alias("name")), F.col("query") == F.col("name")))
+
+
+def close_matches(names: DataFrame, queries: DataFrame, k: int, cutoff: float) -> DataFrame:
+    """R11. query, name, score, rank: the k names most similar to each query in any case, of a similarity of cutoff at least.
+
+    Only close_candidates are compared. Scores count at six decimals; ties go by name.
+    """
+    def score(parts):
+        for pdf in parts:
+            rows = [(q, n, round(close(n, q), 6)) for q, n in zip(pdf["query"], pdf["name"], strict=True) if close_at_most(q, n) + 1e-6 >= cutoff]
+            yield pd.DataFrame([r for r in rows if r[2] >= cutoff], columns=["query", "name", "score"])
+
+    tasks = max(names.sparkSession.sparkContext.defaultParallelism, int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    scored = close_candidates(names, queries, cutoff).repartition(tasks, "query", "name").mapInPandas(score, "query string, name string, score double")
+    said = lambda df, c: df.select(F.col(c).cast("string").alias(c)).where(F.col(c).isNotNull()).distinct().withColumn(f"l_{c}", F.lower(c))
+    found = scored.select(F.col("query").alias("l_query"), F.col("name").alias("l_name"), "score").join(said(queries, "query"), "l_query").join(said(names, "name"), "l_name")
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "name")
+    return found.select("query", "name", "score", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
+
+
 def best_chunks(chunks: DataFrame, query: str, k: int) -> DataFrame:
     """R12. The best chunks (start, end, chunk), earlier ones first on ties."""
     order = [F.desc("score"), F.col("start")]
@@ -113,14 +174,6 @@ def best_chunks(chunks: DataFrame, query: str, k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # k rows
 
 
-def _close_any_case(query: str, name: str) -> float:
-    return close(query.lower(), name.lower())
-
-
-def _close_any_case_at_most(query: str, name: str) -> float:
-    return close_at_most(query.lower(), name.lower())
-
-
 def first_tier(candidates: DataFrame, key: str) -> DataFrame:
     """Rows of the lowest tier that each key has."""
     least = Window.partitionBy(key)
@@ -140,7 +193,7 @@ def entity_search(entities: DataFrame, queries: DataFrame, cutoff: float = 0.8)
     for n, on in enumerate(exact[1:], 1):
         found = found.unionByName(tier(n, on))
     left = q.join(found.select("query").distinct(), "query", "left_anti")
-    near = matches(e.select("name"), left, _close_any_case, 5, cutoff, _close_any_case_at_most).join(e, "name").select("query", "id", F.lit(len(exact)).alias("tier"))
+    near = close_matches(e.select("name"), left, 5, cutoff).join(e, "name").select("query", "id", F.lit(len(exact)).alias("tier"))
     return first_tier(found.unionByName(near), "query").distinct()
 
 
@@ -158,5 +211,5 @@ def resolve_paths(mentions: DataFrame, files: DataFrame, cutoff: float = 0.82) -
     named = unique(same.select("mention", "path"), 2)
     found = exact.unionByName(suffix).unionByName(named)
     left = m.join(found.select("mention").distinct(), "mention", "left_anti").withColumnRenamed("mention", "query")
-    near = matches(f.withColumnRenamed("path", "name"), left, _close_any_case, 1, cutoff, _close_any_case_at_most)
+    near = close_matches(f.withColumnRenamed("path", "name"), left, 1, cutoff)
     return first_tier(found.unionByName(near.select(F.col("query").alias("mention"), F.col("name").alias("path"), F.lit(3).alias("tier"))), "mention")

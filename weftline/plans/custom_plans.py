@@ -48,6 +48,34 @@ def lcs_chunks(spark, sf_dir):
     return R.top_k(scored, 3, [F.desc("score"), F.col("start")]).select("query_id", "doc_id", "start", "end", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query()
+def close_names(spark, sf_dir):
+    """Part names with a letter before them: the three most similar names of each, of 0.8 or more."""
+    p = table(spark, sf_dir, "part")
+    return Z.close_matches(p.select(F.col("p_name").alias("name")), p.select(F.concat_ws(" ", F.lit("x"), "p_name").alias("query")), 3, 0.8)
+
+
+@query()
+def resolved_paths(spark, sf_dir):
+    """Addresses of pages, as files of a tree, that are named whole, by their end, by their base name, or misspelled."""
+    p = table(spark, sf_dir, "pages")
+    path = F.concat(F.regexp_replace("url", "^[a-z]+://", ""), F.lit("."), F.col("page_id"), F.lit(".html"))
+    kind = F.pmod("page_id", F.lit(4))
+    mention = F.when(kind == 0, path).when(kind == 1, F.regexp_extract(path, r"([^/]*/[^/]*)$", 1)).when(kind == 2, F.regexp_extract(path, r"([^/]*)$", 1)).otherwise(F.concat(path, F.lit("x")))
+    return Z.resolve_paths(p.select(mention.alias("mention")), p.select(path.alias("path")))
+
+
+@query()
+def similar_entities(spark, sf_dir):
+    """Parts by all tiers: id, id of a module, name, name in any case, last part of a dotted name, similarity of 0.8."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"), F.lower("p_brand").alias("brand"))
+    id_ = F.concat_ws(".", F.concat("brand", F.col("p_partkey")), "name")
+    entities = p.select(F.when(F.col("p_partkey") % 5 == 0, F.concat(id_, F.lit(".__init__"))).otherwise(id_).alias("id"), "name")
+    kind = F.pmod("p_partkey", F.lit(6))
+    asked = F.when(kind == 0, id_).when(kind == 1, F.col("name")).when(kind == 2, F.upper("name")).when(kind == 3, F.concat(F.lit("any."), "name")).otherwise(F.concat("name", F.lit("s")))
+    return Z.entity_search(entities, p.select(asked.alias("query")))
+
+
 @query(
     """with e as (select distinct lower(p_brand) || '.' || p_partkey as id, p_partkey::varchar as name from part), q as (select distinct case when l_partkey % 3 = 0 then 'x.' || l_partkey else l_partkey::varchar end as query from lineitem)
 select query, id, case when starts_with(query, 'x.') then 4 else 2 end as tier from q join e on e.name = replace(query, 'x.', '')"""
