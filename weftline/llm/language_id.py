@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import words as W
+from weftline.llm.scratch import set_apart
 
 D = 1024
 GRAM = 3
@@ -141,7 +142,11 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> di
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_cols: list[str], text_col: str = "text") -> DataFrame:
-    """The id columns, lang_pred and score (cosine with the nearest prototype, 0 at least) of every text."""
+    """The id columns, lang_pred and score (cosine with the nearest prototype, 0 at least) of every text; the new ones get
+    further underscores where an id has the name. A very long text is one row's concern."""
+    apart = set_apart(docs, id_cols, text_col, ("lang_pred", "score", "text"), lambda d, ids, text: predict(d, prototypes, ids, text))
+    if apart is not None:
+        return apart
     names = sorted(prototypes)
     blocks = [(names[a : a + BLOCK], np.array([prototypes[n] / max(np.linalg.norm(prototypes[n]), 1e-12) for n in names[a : a + BLOCK]], np.float32)) for a in range(0, len(names), BLOCK)]
     source = docs.select(*id_cols, F.col(text_col).alias("text"))

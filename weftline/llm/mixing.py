@@ -13,7 +13,8 @@ rows and the buckets' running counts, so that a source which holds a third of al
 slots come by bucket, too.
 
 Defined results: null is a source of its own; a source that weights don't name has weight 0; ties between deadlines go
-by the source's name (null first); equal rows take places in any order; an empty table gives an empty result; all
+by the source's name (null first); equal rows take places in any order (as they share
+a bucket, a row that repeats without bound is one task's); an empty table gives an empty result; all
 columns are kept, and the new ones get a further underscore where the name is taken.
 """
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.scratch import cut
+from weftline.llm.scratch import cut, free, plain
 
 BUCKET = 2_000
 #: Up to so many, sources are sent to all tasks; more are joined. Results are the same.
@@ -82,12 +83,6 @@ def schedule(blocks: dict[str | None, int], weights: dict[str | None, float]) ->
     return list(slots(blocks, weights))
 
 
-def _free(name: str, taken: list[str]) -> str:
-    while name in taken:
-        name += "_"
-    return name
-
-
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, source_col: str = "source", block: int = 16, seed: int = 42) -> DataFrame:
     """The rows with mix_slot, mix_phase and mix_position (from 0, without gaps); sort by the last to read the mixture.
 
@@ -113,8 +108,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, source_
     if counts.count() <= SENT_SOURCES:
         buckets = F.broadcast(buckets)
 
-    row = _free("w_row", docs.columns)
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row), key(F.col(f"`{source_col}`").cast("string")).alias("w_source"), F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in docs.columns)).alias("w_hash"))
+    row = free("w_row", docs.columns)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row), key(F.col(f"`{source_col}`").cast("string")).alias("w_source"), F.xxhash64(F.lit(seed), *(plain(docs, c) for c in docs.columns)).alias("w_hash"))
     near = whole.join(buckets, F.col("w_source") == F.col("w_s")).select(row, "w_source", "w_hash", F.pmod("w_hash", "w_n").alias("w_bucket"))
     sums = Window.partitionBy("g_source").orderBy("g_bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = near.groupBy(F.col("w_source").alias("g_source"), F.col("w_bucket").alias("g_bucket")).count().withColumn("w_before", F.coalesce(F.sum("count").over(sums), F.lit(0)))
@@ -128,5 +123,5 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, source_
     placed = ranked.join(known, (ranked["w_source"] == known["g_source"]) & (ranked["w_bucket"] == known["g_bucket"])).select(row, "w_slots", "w_before", (F.col("w_before") + F.col("w_own") - 1).alias("w_rank"))
     mine = F.get("w_slots", (block_of(F.col("w_rank")) - block_of(F.col("w_before"))).cast("int"))
     found = placed.select(row, "w_rank", mine.alias("w_mine")).select(row, "w_rank", "w_mine.*")
-    new = {_free(k, docs.columns): v for k, v in (("mix_slot", F.col("w_slot")), ("mix_phase", F.col("w_phase")), ("mix_position", F.col("w_at") + F.col("w_rank") % block))}
+    new = {free(k, docs.columns): v for k, v in (("mix_slot", F.col("w_slot")), ("mix_phase", F.col("w_phase")), ("mix_position", F.col("w_at") + F.col("w_rank") % block))}
     return found.select(*(F.col(f"{row}.`{c}`").alias(c) for c in docs.columns), *(v.alias(k) for k, v in new.items()))

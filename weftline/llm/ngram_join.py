@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import words as W
-from weftline.llm.scratch import cut, files_for
+from weftline.llm.scratch import cut, files_for, free, plain
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -273,15 +273,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     )
 
 
-def _free(name: str, taken: list[str]) -> str:
-    while name in taken:
-        name += "_"
-    return name
-
-
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """One document of every class of linked ones: that of the least id; if several texts of the class have this id, the
-    text of the least MD5; if rows repeat an id and text, the least by their columns from left to right.
+    text of the least MD5; if rows repeat an id and text, the least by their columns from left to right (maps by their JSON).
 
     Rows of null ids all stay, and so do texts without words, but for repeats of an id and text. All columns are kept.
     """
@@ -290,10 +284,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = first.groupBy("class").agg(F.min("digest").alias("best"), F.count("*").alias("n")).where("n > 1").select("class", "best")
     other = first.join(best, "class").where("digest <> best").select("id", "digest")
     gone = found.where("id <> least").select("id", "digest").unionByName(other).distinct().select(F.col("id").alias("w_gone"), F.col("digest").alias("w_text"))
-    own, row = _free("w_digest", docs.columns), _free("w_row", docs.columns)
+    own, row = free("w_digest", docs.columns), free("w_row", docs.columns)
     marked = docs.withColumn(own, _digest(text_col))
     stay = marked.join(gone, (marked[id_col].cast("long") == gone["w_gone"]) & (marked[own] == gone["w_text"]), "left_anti")
     if found.groupBy("id", "digest").count().where("count > 1").isEmpty():
         return stay.drop(own)
-    known = stay.where(F.col(id_col).isNotNull()).groupBy(id_col, own).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias(row))
+    whole, order = F.struct(*(F.col(f"`{c}`") for c in docs.columns)), [plain(docs, c).alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    mixed = any("map<" in t or "variant" in t for _, t in docs.dtypes)
+    known = stay.where(F.col(id_col).isNotNull()).groupBy(id_col, own).agg(F.min_by(whole, F.struct(*order)).alias(row) if mixed else F.min(whole).alias(row))
     return known.select(*(F.col(f"{row}.`{c}`").alias(c) for c in docs.columns)).unionByName(stay.where(F.col(id_col).isNull()).drop(own))

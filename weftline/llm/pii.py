@@ -25,6 +25,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.scratch import set_apart
+
 # Kinds in the order of reports.
 KINDS = ("email", "ip", "card", "phone", "secret")
 # The base patterns; possessive and anchored to run starts (or the end of the match before) for linear time.
@@ -273,8 +275,12 @@ def _score(j: Column, model: tuple[float, dict[str, dict[int, float]]]) -> Colum
 def find(docs: DataFrame, keep: list[str], text_col: str = "text", model=None) -> DataFrame:
     """The kept columns, base (per kind counts n_<kind>, base spans) and spans: arrays of (start, kind, end), sorted.
 
-    Without a model one is trained on these documents.
+    Without a model one is trained on these documents. Where a kept column has the name of a new one, the new one gets a
+    further underscore.
     """
+    apart = set_apart(docs, keep, text_col, (*(f"n_{k}" for k in KINDS), "base", "spans"), lambda d, ids, text: find(d, ids, text, model))
+    if apart is not None:
+        return apart
     model = model or train(counts(docs, text_col))
     text, digit = F.col("w_text"), F.col("w_digit")
     base = base_spans(text, digit)

@@ -15,6 +15,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.scratch import set_apart
+
 SYMBOLS = "#*$%&|<>"
 
 # Frequent function words of the four languages of the corpus.
@@ -53,8 +55,16 @@ def _stop_pattern() -> str:
     return rf"(?<![^ \t\n\x0B\f\r])(?:{words})(?![^ \t\n\x0B\f\r])"
 
 
+#: The columns that measure() adds.
+MEASURED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "mean_word_chars", "symbol_share", "shout_share", "stop_word_share", "dup_line_share", "base_failed", "kept")
+
+
 def measure(docs: DataFrame, id_cols: list[str], text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The id columns, the counts and shares of every text, base_failed and kept."""
+    """The id columns, the counts and shares of every text, base_failed and kept (with further underscores where an id has the
+    name). A very long text takes time and memory in proportion to it, in its own task."""
+    apart = set_apart(docs, id_cols, text_col, MEASURED, lambda d, ids, text: measure(d, ids, text, rules))
+    if apart is not None:
+        return apart
     words = r"array_remove(split(w_text, '[ \\t\\n\\x0B\\f\\r]+'), '')"
     # Lines with a word, each from its start: blank ones never match, and no match is tried within a line.
     lines = F.regexp_extract_all("w_text", F.lit(r"(?dm)^[ \t\x0B\f\r]*+[^ \t\n\x0B\f\r][^\n]*+"), F.lit(0))
