@@ -291,14 +291,15 @@ def ui_edges(bodies: DataFrame) -> DataFrame:
     return full.unionByName(short).withColumn("least", least).where("tier = least and src <> dst").select("src", "dst", "type").distinct()
 
 
-def documents(files: DataFrame, entities: DataFrame) -> DataFrame:
-    """R18. Documents of three levels: files (12000 signs), modules (classes, 6000) and functions (4000)."""
+def documents(files: DataFrame, entities: DataFrame, most: tuple[int | None, int | None, int | None] = (12_000, 6_000, 4_000)) -> DataFrame:
+    """R18. Documents of three levels: files, modules (classes) and functions, each of so many signs at most (None: all)."""
+    cut_to = lambda c, n: F.col(c) if n is None else F.substring(c, 1, n)
     lines = files.select("file", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"), "text")
-    whole = lines.select(F.col("file").alias("doc_id"), F.lit("file").alias("level"), "file", F.concat_ws("\n", "file", F.substring("text", 1, 12000)).alias("text"))
+    whole = lines.select(F.col("file").alias("doc_id"), F.lit("file").alias("level"), "file", F.concat_ws("\n", "file", cut_to("text", most[0])).alias("text"))
     joined = entities.join(lines, "file").withColumn("body", F.concat_ws("\n", F.slice("lines", F.col("start_line"), F.greatest(F.lit(1), F.col("end_line") - F.col("start_line") + 1))))
-    of = lambda level, most: joined.select(X.entity_id(F.col("file"), F.col("qualified_name")).alias("doc_id"), F.lit(level).alias("level"), "file", F.concat_ws("\n", "file", "qualified_name", F.substring("body", 1, most)).alias("text"), "kind")
-    modules = of("module", 6000).where("kind = 'class'").drop("kind")
-    functions = of("function", 4000).where("kind <> 'class'").drop("kind")
+    of = lambda level, n: joined.select(X.entity_id(F.col("file"), F.col("qualified_name")).alias("doc_id"), F.lit(level).alias("level"), "file", F.concat_ws("\n", "file", "qualified_name", cut_to("body", n)).alias("text"), "kind")
+    modules = of("module", most[1]).where("kind = 'class'").drop("kind")
+    functions = of("function", most[2]).where("kind <> 'class'").drop("kind")
     return whole.unionByName(modules).unionByName(functions)
 
 
@@ -331,10 +332,10 @@ def rank_files(candidates: DataFrame, problem: Column) -> DataFrame:
     return n.select("path", "n", shared.alias("overlap"), F.size(F.split("path", "/")).alias("depth")).orderBy(F.desc("n"), F.desc("overlap"), F.desc("depth"), F.desc("path"))
 
 
-def node_score(keywords: Column, kind_prior: Column, name: Column, path: Column, content: Column, anchored: Column) -> Column:
-    """W08. Prior of the type, 3 for each keyword in the name, 2 in the path, 1 in the content, 25 for an anchor."""
+def node_score(keywords: Column, kind_prior: Column, name: Column, path: Column, content: Column, anchored: Column, most: int | None = 4000) -> Column:
+    """W08. Prior of the type, 3 for each keyword in the name, 2 in the path, 1 in the content (its first signs, if most is given), 25 for an anchor."""
     inside = lambda c: F.size(F.filter(keywords, lambda k: F.contains(F.lower(c), F.lower(k))))
-    return kind_prior + 3 * inside(name) + 2 * inside(path) + inside(F.substring(content, 1, 4000)) + F.when(anchored, 25).otherwise(0)
+    return kind_prior + 3 * inside(name) + 2 * inside(path) + inside(content if most is None else F.substring(content, 1, most)) + F.when(anchored, 25).otherwise(0)
 
 
 def call_tree(events: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ removed by an anti-join. Deep traversals cut their lineage every CUT levels.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +40,9 @@ def _oriented(edges: DataFrame, direction: str) -> DataFrame:
     return edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct()
 
 
-def reach(edges: DataFrame, roots: DataFrame, hops: int = -1, direction: str = "down", types: list[str] | None = None) -> DataFrame:
-    """G01. root, node, depth: least depth of every node within so many hops (-1: UNBOUNDED) of roots (root).
+def reach(edges: DataFrame, roots: DataFrame, hops: int | None = -1, direction: str = "down", types: list[str] | None = None) -> DataFrame:
+    """G01. root, node, depth: least depth of every node within so many hops (-1: UNBOUNDED; None: as
+    many as there are) of roots (root).
 
     "both" is what is below together with what is above, not an undirected walk.
     """
@@ -51,8 +54,7 @@ def reach(edges: DataFrame, roots: DataFrame, hops: int = -1, direction: str = "
     step = _oriented(edges, direction)
     frontier = roots.select("root", F.col("root").alias("node")).distinct()
     seen = frontier.withColumn("depth", F.lit(0))
-    limit = UNBOUNDED if hops == -1 else hops
-    for depth in range(1, limit + 1):
+    for depth in count(1) if hops is None else range(1, (UNBOUNDED if hops == -1 else hops) + 1):
         found = frontier.join(step, frontier["node"] == step["a"]).select("root", F.col("b").alias("node")).distinct()
         frontier = found.join(seen.select("root", "node"), ["root", "node"], "left_anti")
         if depth % CUT == 0:
@@ -64,7 +66,7 @@ def reach(edges: DataFrame, roots: DataFrame, hops: int = -1, direction: str = "
     return seen
 
 
-def shortest_hops(edges: DataFrame, pairs: DataFrame, hops: int = -1) -> DataFrame:
+def shortest_hops(edges: DataFrame, pairs: DataFrame, hops: int | None = -1) -> DataFrame:
     """G06. a, b, hops: the lesser of a to b and b to a, or UNREACHED.
 
     The search starts from the side with fewer distinct nodes, in both directions.

@@ -17,8 +17,8 @@ def _events(spark, sf_dir):
 @query("select event_id, user_id from events where event_type in ('click', 'purchase') and ts >= timestamp '2024-01-05' and ts <= timestamp '2024-01-20' and contains(props, '7')")
 def event_filter(spark, sf_dir):
     """by types, times and a text in the payload."""
-    found = E.matching(_events(spark, sf_dir).withColumn("ts", F.col("ts")), types=["click", "purchase"]).where("ts >= timestamp '2024-01-05' and ts <= timestamp '2024-01-20'")
-    return E.matching(found.select("event_id", "user_id", "props"), text=None).where(F.contains("props", F.lit("7"))).select("event_id", "user_id")
+    found = E.matching(_events(spark, sf_dir), types=["click", "purchase"], start="2024-01-05", end="2024-01-20")
+    return found.where(F.contains("props", F.lit("7"))).select("event_id", "user_id")
 
 
 @query("select event_id, user_id, props from events where ts >= timestamp '2024-01-05' and ts <= timestamp '2024-01-20' and event_id between 200 and 9000 and contains(lower(props), '\"k\": 7')")

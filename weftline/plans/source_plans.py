@@ -90,14 +90,14 @@ def graph_round_trip(spark, sf_dir):
     return I.read_jsonl(spark, f"{path}-rows/edges", "src string, dst string, type string, weight double")
 
 
-@query("select 'f' || o_orderkey as function, 'm' || o_custkey || '.py' as file, cast(o_orderkey % 100 as integer) as line, cast(o_orderkey as double) as ts, cast(o_orderkey % 2 as integer) as pid from orders where o_orderkey <= 500")
+@query("select 'f' || o_orderkey as function, 'm' || o_custkey || '.py' as file, cast(o_orderkey % 100 as integer) as line, cast(o_orderkey as double) as ts, cast(o_orderkey % 2 as integer) as pid from orders")
 def trace_rows(spark, sf_dir):
-    """Calls of a trace with function, file and line."""
+    """Calls of traces with function, file and line: a trace of every two thousand orders' keys, a file each."""
     path, k = _place(spark, "trace"), F.col("o_orderkey")
     name = F.concat(F.lit("f"), k, F.lit(" (m"), "o_custkey", F.lit(".py:"), k % 100, F.lit(")"))
     call = F.struct(F.lit("X").alias("ph"), name.alias("name"), k.cast("double").alias("ts"), F.lit(5.0).alias("dur"), (k % 2).alias("pid"), F.lit(1).alias("tid"))
-    rows = table(spark, sf_dir, "orders").where("o_orderkey <= 500").agg(F.to_json(F.struct(F.collect_list(call).alias("traceEvents"))).alias("value"))
-    _write_whole(spark, rows, path)
+    traces = table(spark, sf_dir, "orders").groupBy(F.floor(k / 2000).alias("trace")).agg(F.to_json(F.struct(F.collect_list(call).alias("traceEvents"))).alias("value"))
+    traces.repartition("trace").write.option("maxRecordsPerFile", 1).partitionBy("trace").option("lineSep", " ").text(path)
     return I.read_trace(spark, path).select("function", "file", "line", "ts", "pid")
 
 

@@ -199,27 +199,61 @@ def set_algebra(spark, sf_dir):
     return s.select("user_id", n(F.array_intersect("a", "b")).alias("both_n"), n(F.array_union("a", "b")).alias("any_n"), n(F.array_except("a", "b")).alias("only_n"))
 
 
-# Micro tables in the queries themselves.
-_PATCH = "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -2,4 +2,4 @@\n-old\n+new\n context\n context\n@@ -10,2 +10,3 @@ def f\n keep\n+more\n-less\n--- a/y/z.js\n+++ b/y/z.js\n@@ -1 +1,2 @@\n one\n+two"
+_HUNKS = (" a\n-b\n+c\n d", "+x\n+y\n z\n-w", "-p\n-q\n+r\n s")
+_TOUCHED = ((1, 2), (0, 1), (0, 1, 2))
 
 
-@query("select * from (values ('i1', 'x.py', 2::bigint), ('i1', 'x.py', 3), ('i1', 'x.py', 11), ('i1', 'y/z.js', 2)) t(instance_id, file, old_line)")
+@query(
+    " union ".join(f"select l_orderkey as instance_id, 'src/f' || l_suppkey || '.py' as file, l_partkey + {at} as old_line from lineitem where l_linenumber % 3 = {k}" for k, lines in enumerate(_TOUCHED) for at in lines)
+)
 def diff_changed_lines(spark, sf_dir):
-    """On a patch written out here."""
+    """A patch an order, with a file and hunk of one of three shapes for each of its items."""
     from weftline.operators.diffs import changed_old_lines
 
-    return changed_old_lines(spark.createDataFrame([("i1", _PATCH), ("i2", None), ("i3", "no hunk")], "instance_id string, patch string"))
+    body = F.element_at(F.array(*(F.lit(x) for x in _HUNKS)), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    file = F.concat(F.lit("src/f"), "l_suppkey", F.lit(".py"))
+    hunk = F.concat(F.lit("diff --git a/"), file, F.lit(" b/"), file, F.lit("\n--- a/"), file, F.lit("\n+++ b/"), file, F.lit("\n@@ -"), "l_partkey", F.lit(",4 +"), "l_partkey", F.lit(",4 @@ def f\n"), body)
+    patches = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("instance_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", hunk.alias("hunk")))), lambda x: x["hunk"]), "\n").alias("patch"))
+    return changed_old_lines(patches).select("instance_id", "file", "old_line")
+
+
+_SAID = ("PASSED t{t}", "FAILED t{t} - msg", "ERROR t{t}", "XFAIL t{t}", "noise t{t}")
+_LINE = f"replace([{', '.join(f"'{x}'" for x in _SAID)}][1 + l_quantity::int % 5], '{{t}}', cast(l_partkey % 3 as varchar))"
+_STATUSES = f"select l_orderkey as instance_id, 't' || l_partkey % 3 as test, arg_max(case l_quantity::int % 5 when 1 then 'FAILED' when 2 then 'ERROR' else 'PASSED' end, (l_linenumber, {_LINE})) as status from lineitem where l_quantity::int % 5 < 4 group by all"
 
 
-_LOGS = [("i1", "PASSED t1\nFAILED t2 - msg\nnoise\nFAILED t1\nPASSED t1\nXFAIL t3\nERROR t4"), ("i2", "PASSED a::b[c d]\nSKIPPED s"), ("i3", None)]
+def _logs(spark, sf_dir):
+    """A log an order: a line for each of its items, in order."""
+    said = F.element_at(F.array(*(F.lit(x) for x in _SAID)), (F.col("l_quantity").cast("int") % 5 + 1).cast("int"))
+    line = F.replace(said, F.lit("{t}"), (F.col("l_partkey") % 3).cast("string"))
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("instance_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("line")))), lambda x: x["line"]), "\n").alias("log"))
 
 
-@query("select * from (values ('i1', 't1', 'PASSED'), ('i1', 't2', 'FAILED'), ('i1', 't3', 'PASSED'), ('i1', 't4', 'ERROR'), ('i2', 'a::b[c', 'PASSED'), ('i2', 's', 'SKIPPED')) t(instance_id, test, status)")
+@query(_STATUSES)
 def log_status_last(spark, sf_dir):
-    """On logs written out here."""
+    """The last status of every test in the orders' logs."""
     from weftline.operators.diffs import test_statuses
 
-    return test_statuses(spark.createDataFrame(_LOGS, "instance_id string, log string"))
+    return test_statuses(_logs(spark, sf_dir)).select("instance_id", "test", "status")
+
+
+@query(
+    f"""with s as ({_STATUSES}),
+gold as (select distinct l_orderkey as instance_id, 't' || l_partkey % 3 as test, case when l_partkey % 3 = 0 then 'p2p' else 'f2p' end as kind from lineitem union all select o_orderkey, 'gone', 'f2p' from orders where o_orderkey % 7 = 0),
+r as (
+  select instance_id, coalesce(avg(cast(coalesce(status = 'PASSED', false) as integer)) filter (kind = 'f2p'), 1.0e0) as f2p, coalesce(avg(cast(coalesce(status = 'PASSED', false) as integer)) filter (kind = 'p2p'), 1.0e0) as p2p
+  from gold left join s using (instance_id, test) group by instance_id)
+select instance_id, round(f2p, 6) as f2p, round(p2p, 6) as p2p, case when f2p = 1 and p2p = 1 then 'FULL' when f2p > 0 and f2p < 1 and p2p = 1 then 'PARTIAL' else 'NO' end as resolution from r"""
+)
+def resolution_status(spark, sf_dir):
+    """The orders' logs graded against the tests that they should pass; some tests never ran."""
+    from weftline.operators.diffs import resolution, test_statuses
+
+    t = F.col("l_partkey") % 3
+    gold = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("instance_id"), F.concat(F.lit("t"), t).alias("test"), F.when(t == 0, "p2p").otherwise("f2p").alias("kind")).distinct()
+    gone = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("instance_id"), F.lit("gone").alias("test"), F.lit("f2p").alias("kind"))
+    found = resolution(gold.unionByName(gone), test_statuses(_logs(spark, sf_dir)))
+    return found.select("instance_id", F.round("f2p", 6).alias("f2p"), F.round("p2p", 6).alias("p2p"), "resolution")
 
 
 _TESTS = "(select l_orderkey as instance_id, l_partkey as t, cast(max(l_quantity) as integer) % 4 as s from lineitem group by all)"
@@ -250,12 +284,3 @@ def log_grammars(spark, sf_dir):
         own = test_statuses(logs, grammar=grammar).select("instance_id", F.lit(grammar).alias("grammar"), "test", "status")
         out = own if out is None else out.unionByName(own)
     return out
-
-
-@query("select * from (values ('i1', 0.5e0, 1.0e0, 'PARTIAL'), ('i2', 1.0e0, 1.0e0, 'FULL'), ('i3', 0.0e0, 1.0e0, 'NO')) t(instance_id, f2p, p2p, resolution)")
-def resolution_status(spark, sf_dir):
-    """On logs and gold written out here."""
-    from weftline.operators.diffs import resolution, test_statuses
-
-    gold = [("i1", "t1", "f2p"), ("i1", "t2", "f2p"), ("i1", "t3", "p2p"), ("i2", "a::b[c", "f2p"), ("i3", "gone", "f2p")]
-    return resolution(spark.createDataFrame(gold, "instance_id string, test string, kind string"), test_statuses(spark.createDataFrame(_LOGS, "instance_id string, log string")))

@@ -6,13 +6,14 @@ and returns what it wrote. Offsets and state live in the checkpoint folder, so a
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.session import shared_folder
+
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
     """The events below a folder as a stream; the schema is that of the files there."""
@@ -82,9 +83,7 @@ def run(stream: DataFrame, mode: str) -> DataFrame:
     In complete mode the last batch stands, in append and update mode all batches do.
     """
     spark = stream.sparkSession
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weftline-stream-")
-    path = f"{base}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     written = "overwrite" if mode == "complete" else "append"
     query = stream.writeStream.outputMode(mode).foreachBatch(lambda df, _: df.write.mode(written).parquet(f"{path}/out")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
