@@ -11,6 +11,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.rank import ranked
 from weftline.session import cut
 
 CUT = 4
@@ -142,14 +143,34 @@ def tree_text(edges: DataFrame, roots: DataFrame, hops: int) -> DataFrame:
     return lines.groupBy("root").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", text.alias("line")))), lambda x: x["line"]), "\n").alias("tree"))
 
 
+def components(edges: DataFrame, rounds: list[int] | None = None) -> DataFrame:
+    """node and label, the least node that edges in whatever direction join it to.
+
+    Each round, a node and the node that is its label take the least label around it, and labels follow their own labels,
+    so that the rounds grow with the logarithm of the longest path. rounds, if given, gets the number of each.
+    """
+    both = cut(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
+    for n in count(1):
+        told = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
+        around = labels.join(told, F.col("node") == F.col("a")).select("node", "label", F.least("label", "near").alias("near"))
+        hooked = around.select("node", "near").unionByName(around.where("near < label").select(F.col("label").alias("node"), "near")).groupBy("node").agg(F.min("near").alias("new"))
+        own = hooked.select(F.col("node").alias("m"), F.col("new").alias("far"))
+        jumped = hooked.join(own, F.col("new") == F.col("m"), "left").select("node", F.least("new", F.coalesce("far", "new")).alias("new"))
+        after = cut(jumped.join(labels, "node").select("node", F.col("new").alias("label"), (F.col("new") < F.col("label")).alias("moved")))
+        labels = after.select("node", "label")
+        if rounds is not None:
+            rounds.append(n)
+        if after.where("moved").isEmpty():
+            return labels
+
+
 def undirected_reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """G25. Nodes joined to any root (id) by edges in whatever direction."""
-    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
-    frontier = seen = cut(roots.select(F.col("id").alias("node")).distinct())
-    while not frontier.isEmpty():
-        frontier = cut(frontier.join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti"))
-        seen = cut(seen.unionByName(frontier))
-    return seen
+    """G25. Nodes joined to any root (id) by edges in whatever direction, by components: no step is made for each hop."""
+    labels = components(edges)
+    asked = roots.select(F.col("id").alias("node")).distinct()
+    chosen = asked.join(labels, "node").select("label").distinct()
+    return labels.join(chosen, "label", "left_semi").select("node").unionByName(asked).distinct()
 
 
 def stars(edges: DataFrame, roots: DataFrame, most: int = 3) -> DataFrame:
@@ -167,8 +188,7 @@ def normalize_scene(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Data
     A missing id becomes node_<n>, a repeated one <id>_<n>; nodes of equal type and lower-case text merge into the first,
     a root's role wins; relations become lower snake case, related_to by default; edges to ids that are gone are dropped.
     """
-    w = Window.orderBy("pos")
-    named = nodes.withColumn("n", F.row_number().over(w)).withColumn("base", F.when(F.trim(F.coalesce("id", F.lit(""))) == "", F.concat(F.lit("node_"), F.col("n").cast("string"))).otherwise(F.trim("id")))
+    named = ranked(nodes, F.col("pos")).withColumnRenamed("rank", "n").withColumn("base", F.when(F.trim(F.coalesce("id", F.lit(""))) == "", F.concat(F.lit("node_"), F.col("n").cast("string"))).otherwise(F.trim("id")))
     again = F.row_number().over(Window.partitionBy("base").orderBy("pos"))
     fixed = named.withColumn("again", again).withColumn("id", F.when(F.col("again") > 1, F.concat_ws("_", "base", F.col("again").cast("string"))).otherwise(F.col("base")))
     own = Window.partitionBy("type", F.lower(F.trim("text")))
