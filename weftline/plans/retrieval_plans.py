@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text as X
 from weftline.operators import retrieval as R
 from weftline.operators.index import PostingIndex
+from weftline.operators.vectors import VectorIndex
 from weftline.plans.registry import ORACLE_SQL, query
 from weftline.session import shared_folder, table
 
@@ -189,6 +190,15 @@ def dense_topk(spark, sf_dir):
     return dense_hits(spark, sf_dir).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"with {_DENSE} select query_id, doc_id, score, rank from dense")
+def vector_index_topk(spark, sf_dir):
+    """The same from a stored index, by cells that can hold one of the ten."""
+    e = table(spark, sf_dir, "embeddings")
+    index = VectorIndex.build(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}")
+    found = index.search(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 10)
+    return found.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"with {_DENSE} select query_id, doc_id, score from s where score >= 0.25 and query_id <> doc_id")
 def dense_pair_threshold(spark, sf_dir):
     """Pairs of the query vectors and all others with a cosine of 0.25 or more."""
