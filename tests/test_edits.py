@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from weftline.operators import edits as E
@@ -21,6 +23,46 @@ def test_apply(spark):
     assert keep == "if x:\n    b\n"
 
 
+def test_calls(spark):
+    """Commands in Python blocks: repeats, named arguments, brackets in strings, what is no string or no number."""
+    one = '```python\nedit_file("a.py", 1, 2, "x\\ny")\nedit_file("a.py", 1, 2, "x\\ny")\nedit_file("b.py", 3, 3, """f(1) # )""")\n```'
+    odd = "```python\nedit_file(file='a.py', start=1, end=2, content='''q\\n''')\nedit_file('a.py', 4, 5, 'two\nlines')\nedit_file(a.py, 6, 6, 7)\nedit_file('a.py', x, 6, 'no')\nedit_file('a.py', 1)\nedit_file('a.py', 8, 9, '')\n```"
+    rows = [(1, one), (2, odd), (3, None), (4, ""), (5, 'edit_file("a.py", 1, 1, "x")'), (6, "```python\nedit_file(\n```"), (7, one)]
+    got = E.edit_calls(spark.createDataFrame(rows, "id long, text string"), "id").collect()
+    of = lambda i: {tuple(r)[1:] for r in got if r.id == i}
+    assert of(1) == of(7) == {("a.py", 0, 1, 2, "x\ny"), ("b.py", 0, 3, 3, "f(1) # )")}
+    assert of(2) == {("a.py", 0, 1, 2, "q\\n"), ("a.py", 1, 4, 5, "two\nlines"), ("a.py", 2, 6, 6, "7"), ("a.py", 3, 8, 9, "")}
+    assert {r.id for r in got} == {1, 2, 7}
+
+
+def _applied(content, edits):
+    lines = content.split("\n")
+    n = len(lines)
+    for start, end, text in sorted(dict.fromkeys(edits), key=lambda e: -e[0]):
+        if not (1 <= start <= n and 0 <= end <= n):
+            continue
+        new = text.splitlines()
+        if start == end and len(new) == 1 and text == text.lstrip():
+            old = lines[start - 1] if start <= len(lines) else ""
+            new = [old[: len(old) - len(old.lstrip())] + new[0]]
+        lines[start - 1 : max(end, start - 1)] = new
+    return "\n".join(lines)
+
+
+def test_lines_against_a_plain_program(spark):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(200):
+        content = "\n".join(rng.choice(("", "a", "  b", "\tc d")) for _ in range(rng.randrange(1, 7)))
+        edits = [(rng.randrange(-1, 9), rng.randrange(-1, 9), rng.choice(("", "x", " y", "x\ny", "z\n", "\n"))) for _ in range(rng.randrange(4))]
+        rows.append((content, edits))
+    df = spark.createDataFrame(rows, "t string, e array<struct<start:int,end:int,text:string>>")
+    got = df.select("t", "e", E.apply_lines(F.col("t"), F.col("e")).alias("r")).collect()
+    assert len(got) == 200
+    for r in got:
+        assert r.r == _applied(r.t, [tuple(x) for x in r.e]), r
+
+
 CODE = '''"""
 module
 """

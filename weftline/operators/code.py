@@ -341,14 +341,10 @@ def node_score(keywords: Column, kind_prior: Column, name: Column, path: Column,
 def call_tree(events: DataFrame) -> DataFrame:
     """J10, G21. Trace events (id, pid, tid, ts, dur, name) with their nearest enclosing call and depth.
 
-    Depth is the number of enclosing calls of the same thread. Bounds are whole microseconds.
+    Depth is the number of enclosing calls of the same thread. Bounds are whole microseconds. Events without a time, or
+    of a negative duration, have no parent and depth 0.
     """
-    from weftline.operators.intervals import parents
-
-    spans = events.select("id", F.concat_ws("/", "pid", "tid").alias("thread"), F.floor("ts").alias("start"), F.floor(F.col("ts") + F.col("dur")).alias("end"), "name")
-    width = 1 << 20
-    near = parents(spans, "thread", width)
-    outer = spans.select("thread", F.col("start").alias("o_start"), F.col("end").alias("o_end"))
-    strict = (F.col("o_start") <= F.col("start")) & (F.col("end") <= F.col("o_end")) & (F.col("o_end") - F.col("o_start") > F.col("end") - F.col("start"))
-    depth = spans.join(outer, "thread").where(strict).groupBy("id").agg(F.count("*").alias("depth"))
-    return near.join(depth, "id", "left").select("id", "name", "parent", F.coalesce("depth", F.lit(0)).alias("depth"))
+    from weftline.operators.intervals import enclosing
+
+    spans = events.select("id", F.concat_ws("/", "pid", "tid").alias("thread"), F.floor("ts").alias("start"), F.floor(F.col("ts") + F.col("dur")).alias("end"))
+    return events.select("id", "name").join(enclosing(spans, "thread"), "id", "left").select("id", "name", "parent", F.coalesce("depth", F.lit(0)).alias("depth"))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import ast
+import io
+import tokenize
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The marks of a search-and-replace block.
 SEARCH, MIDDLE, REPLACE = "<<<<<<< SEARCH", "=======", ">>>>>>> REPLACE"
@@ -38,17 +44,64 @@ def apply_blocks(content: Column, blocks: Column) -> Column:
     return F.substring(done, F.lit(2), F.length(done) - 2)
 
 
+def edit_calls(answers: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """T31. key, file, pos, start, end, text: the distinct calls `edit_file(file, start, end, content)` in the Python blocks
+    of every answer, by file in order of their first place.
+
+    The first three arguments go up to the next comma, with or without their names, the file without its quotes; the
+    content up to the last bracket before the next call or the block's end. A string of Python stands for its value; what
+    is none (a named argument, line breaks in single quotes) stays as it is written, without name and outer quotes. Calls
+    whose lines are no numbers, or that have fewer arguments, are left out; so are answers of null.
+    """
+    blocks = F.regexp_extract_all(F.col(text), F.lit("(?s)```python\n(.*?)\n```"), F.lit(1))
+    calls = F.flatten(F.transform(blocks, lambda b: F.slice(F.split(b, r"edit_file\("), F.lit(2), F.length(b) + 1)))
+    said = answers.select(key, F.posexplode(calls).alias("at", "call")).select(key, "at", F.split("call", ",", 4).alias("a")).where("size(a) = 4")
+    bare = lambda i, named: F.trim(F.regexp_replace(F.get("a", F.lit(i)), rf"^\s*{named}\s*=", ""))
+    number = lambda i, named: F.regexp_extract(bare(i, named), "^[+-]?[0-9]{1,9}$", 0).try_cast("int")
+    file = F.regexp_replace(bare(0, "[A-Za-z_]+"), "^[\"']|[\"']$", "")
+    raw = F.regexp_extract(F.get("a", F.lit(3)), r"(?s)\A(.*)\)", 1)
+    rows = said.select(key, "at", file.alias("file"), number(1, "start").alias("start"), number(2, "end").alias("end"), raw.alias("raw")).where("start is not null and end is not null")
+    first = rows.groupBy(key, "file", "start", "end", "raw").agg(F.min("at").alias("at"))
+    place = F.row_number().over(Window.partitionBy(key, "file").orderBy("at")) - 1
+    return first.select(key, "file", place.alias("pos"), "start", "end", _value("raw").alias("text"))
+
+
+@F.pandas_udf(StringType())
+def _value(written: pd.Series) -> pd.Series:
+    return written.map(string_value)
+
+
+def string_value(written: str) -> str:
+    """The value of a string of Python; what is none stays, without the name `content` and outer quotes."""
+    try:
+        value = ast.literal_eval(written)
+        if isinstance(value, str):
+            return value
+    except (SyntaxError, ValueError, TypeError, MemoryError, RecursionError):
+        pass
+    value = written.strip().removeprefix("content=")
+    if value.startswith(('"""', "'''")):
+        value = value[3:-3]
+    return value[1:-1] if value.startswith(('"', "'")) else value
+
+
 def apply_lines(content: Column, edits: Column) -> Column:
     """T31. content after edits (array of struct<start, end, text>: lines start to end, from 1, become the text's lines),
-    the last lines first, equal ones once. One line for one line takes over its indentation if it has none."""
+    the last lines first, those of one start in their order, equal ones once. An empty text takes the lines away, an end
+    before the start puts the text before it. One line for one line takes over its indentation if it has none. Edits that
+    start or end outside of the content change nothing.
+    """
     lines = F.split(content, "\n")
-    order = F.reverse(F.array_sort(F.array_distinct(edits)))
+    inside = F.filter(F.array_distinct(edits), lambda e: e["start"].between(1, F.size(lines)) & e["end"].between(0, F.size(lines)))
+    order = F.array_sort(F.transform(inside, lambda e, i: F.struct((-e["start"]).alias("down"), i.alias("at"), e.alias("e"))))
 
-    def step(acc: Column, e: Column) -> Column:
-        new = F.split(e["text"], "\n")
+    def step(acc: Column, x: Column) -> Column:
+        e = x["e"]
+        new = F.when(e["text"] == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(e["text"], r"\n\z", ""), "\n"))
         single = (e["start"] == e["end"]) & (F.size(new) == 1) & ~e["text"].rlike(r"\A\s")
-        put = F.when(single, F.array(F.concat(F.regexp_extract(F.get(acc, e["start"] - 1), r"\A\s*", 0), e["text"]))).otherwise(new)
-        return F.concat(F.slice(acc, 1, F.greatest(e["start"] - 1, F.lit(0))), put, F.slice(acc, e["end"] + 1, F.greatest(F.size(acc) - e["end"], F.lit(0))))
+        put = F.when(single, F.transform(new, lambda one: F.concat(F.regexp_extract(F.get(acc, e["start"] - 1), r"\A\s*", 0), one))).otherwise(new)
+        rest = F.greatest(e["end"], e["start"] - 1)
+        return F.concat(F.slice(acc, F.lit(1), e["start"] - 1), put, F.slice(acc, rest + 1, F.greatest(F.size(acc) - rest, F.lit(0))))
 
     return F.array_join(F.aggregate(order, lines, step), "\n")
 
@@ -56,10 +109,6 @@ def apply_lines(content: Column, edits: Column) -> Column:
 def skeleton(code: str, constants: bool = True) -> str:
     """Classes, functions and, if wanted, assignments of a Python module: bodies of functions are three dots, strings that
     document classes go. What does not parse stays as it is."""
-    import ast
-    import io
-    import tokenize
-
     try:
         tree = ast.parse(code)
         colons = [t.start for t in tokenize.generate_tokens(io.StringIO(code).readline) if t.type == tokenize.OP and t.string == ":"]
@@ -130,8 +179,6 @@ def skeleton(code: str, constants: bool = True) -> str:
 
 def skeletons(files: DataFrame, constants: bool = True) -> DataFrame:
     """T33. file and text of every file's skeleton; null texts stay null."""
-    import pandas as pd
-
     def compress(parts):
         for pdf in parts:
             yield pd.DataFrame({"file": pdf["file"], "text": [t if t is None else skeleton(t, constants) for t in pdf["text"]]})

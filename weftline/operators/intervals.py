@@ -6,8 +6,17 @@ intervals meet by an equi-join on (group, bucket) and a filter.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from weftline.operators.rank import numbered
+
+#: Bounds of intervals in one range of a scan.
+RANGE = 8192
 
 
 def _entered(intervals: DataFrame, width: int) -> DataFrame:
@@ -39,6 +48,60 @@ def parents(intervals: DataFrame, group: str, width: int = 64) -> DataFrame:
     return intervals.join(best, intervals["id"] == best["i_id"], "left").select(intervals["*"], "parent")
 
 
+def enclosing(intervals: DataFrame, group: str, size: int = RANGE) -> DataFrame:
+    """J10, G21. id, parent, depth of intervals (id, group, start, end: long), whose ids are distinct.
+
+    The parent is the narrowest interval of the group that strictly contains one (ties as in `parents`), or null; the depth
+    counts all that do. Intervals may cross. Those with a null bound or id, or that end before they start, are in no result.
+
+    All openings and closings are numbered in one order, group after group, and cut into ranges of so many; each range is
+    scanned with a stack of what is open at its start. An interval is one row for each range that it reaches into, so the
+    rows grow with the intervals and, for each range, with the depth at its border; a group may be of any size.
+    """
+    rows = reaching(intervals, group, size)
+    kind = intervals.schema["id"].dataType
+    schema = StructType([StructField("id", kind), StructField("parent", kind), StructField("depth", LongType())])
+
+    def scan(pdf):
+        import pandas as pd
+
+        pdf = pdf.assign(w_back=-pdf["end"]).sort_values(["w_group", "start", "w_back", "id"], na_position="first")
+        mine = pdf["w_own"] == pdf["w_cell"]
+        found = list(_scanned(zip(pdf["w_group"].astype(object).where(pdf["w_group"].notna(), None), pdf["start"], pdf["end"], pdf["id"], mine)))
+        return pd.DataFrame(found, columns=["id", "parent", "depth"]).astype({"parent": object})
+
+    return rows.groupBy("w_cell").applyInPandas(scan, schema)
+
+
+def reaching(intervals: DataFrame, group: str, size: int = RANGE) -> DataFrame:
+    """Intervals (id, w_group, start, end), once for each range (w_cell) that they reach into from their own (w_own)."""
+    own = intervals.select("id", F.col(group).alias("w_group"), "start", "end").where("id is not null and start <= end")
+    at = lambda bound, close: own.select("*", F.col(bound).alias("w_at"), F.lit(close).alias("w_close"))
+    # of one moment, openings come before closings, and longer intervals open before shorter ones
+    order = [F.col("w_group"), F.col("w_at"), F.col("w_close"), F.desc("end"), F.col("id")]
+    points = numbered(at("start", 0).unionByName(at("end", 1)), *order).withColumn("w_cell", F.floor((F.col("w_rank") - 1) / size))
+    spans = points.groupBy("id", "w_group", "start", "end").agg(F.min("w_cell").alias("w_own"), F.max("w_cell").alias("w_last"))
+    return spans.select("id", "w_group", "start", "end", "w_own", F.explode(F.sequence("w_own", "w_last")).alias("w_cell"))
+
+
+def _scanned(rows: Iterable[tuple]) -> Iterator[tuple]:
+    """(id, parent, depth) of the asked among (group, start, end, id, asked), sorted by group, start, longest and id."""
+    group, open_ = object(), []  # (end, -start, id) of what is open, by end
+    for here, start, end, name, asked in rows:
+        if here != group:
+            group, open_ = here, []
+        del open_[: bisect_left(open_, (start,))]
+        if asked:
+            first = bisect_left(open_, (end, 1 - start))  # behind those that end before, and behind equal intervals
+            best = None
+            for e, s, i in open_[first:]:
+                if best and e - start > best[0]:  # no later one is as narrow: all have started by now
+                    break
+                best = min(best or (e + s, s, i), (e + s, s, i))
+            yield name, best[2] if best else None, len(open_) - first
+        insort(open_, (end, -start, name))
+
+
 def merge(intervals: DataFrame, group: str) -> DataFrame:
     """W13. Disjoint unions of intervals that overlap or touch at a point; n and n + 1 stay apart."""
     order = Window.partitionBy(group).orderBy("start", "end")

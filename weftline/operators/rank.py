@@ -54,8 +54,8 @@ def capped_roles(targets: DataFrame, key: str, order: list[Column], primaries: i
     return targets.select("*", role.alias("new_role"), F.row_number().over(w).alias("rank")).where(F.col("rank") <= most)
 
 
-def ranked(df: DataFrame, *order: Column) -> DataFrame:
-    """df with rank, from 1 in an order of all rows: by ranges of it, so no task sees more than a range.
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """df with w_rank (long), from 1 in an order of all rows: by ranges of it, so no task sees more than a range.
 
     The ranges are stored first, as their borders come from samples; what goes over one task is a count for each range.
     """
@@ -63,7 +63,12 @@ def ranked(df: DataFrame, *order: Column) -> DataFrame:
     counts = placed.groupBy("w_range").count()
     before = counts.select("w_range", (F.sum("count").over(Window.orderBy("w_range")) - F.col("count")).alias("w_before"))
     inside = F.row_number().over(Window.partitionBy("w_range").orderBy(*order))
-    return placed.withColumn("w_in", inside).join(F.broadcast(before), "w_range").withColumn("rank", (F.col("w_before") + F.col("w_in")).cast("int")).drop("w_range", "w_before", "w_in")
+    return placed.withColumn("w_in", inside).join(F.broadcast(before), "w_range").withColumn("w_rank", F.col("w_before") + F.col("w_in")).drop("w_range", "w_before", "w_in")
+
+
+def ranked(df: DataFrame, *order: Column) -> DataFrame:
+    """df with rank (int), from 1 in an order of all rows, numbered by ranges."""
+    return numbered(df, *order).withColumn("rank", F.col("w_rank").cast("int")).drop("w_rank")
 
 
 def promoted_order(actions: DataFrame, action: str, priority: str, order: str) -> DataFrame:

@@ -138,6 +138,23 @@ def trace_tree(spark, sf_dir):
     return C.call_tree(s.select(F.inline(F.array(*calls)))).select("id", "name", F.col("parent").cast("long").alias("parent"), F.col("depth").cast("int").alias("depth"))
 
 
+@query(
+    """with g as (select distinct o_orderkey // 100 as g from orders)
+select o_orderkey + 1 as id, 'order' as name, -2 - o_orderkey // 100 as parent, 2 as depth from orders
+union all select -2 - g, 'hundred', -1, 1 from g union all select -1, 'all', null, 0 from orders having count(*) > 0"""
+)
+def trace_of_one_thread(spark, sf_dir):
+    """Calls of one thread that made all orders, by hundreds of keys, with the nearest call around them and their depth."""
+    k = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders")
+    call = lambda i, name, ts, dur: [F.lit(1).alias("pid"), F.lit(1).alias("tid"), i.cast("long").alias("id"), F.lit(name).alias("name"), ts.cast("double").alias("ts"), dur.cast("double").alias("dur")]
+    hundreds = orders.select(F.floor(k / 100).alias("g")).distinct()
+    calls = orders.select(*call(k + 1, "order", k * 10, F.lit(8)))
+    calls = calls.unionByName(hundreds.select(*call(-2 - F.col("g"), "hundred", F.col("g") * 1000, F.lit(1000))))
+    calls = calls.unionByName(orders.agg(F.max(k).alias("k")).where("k is not null").select(*call(F.lit(-1), "all", F.lit(-1), F.col("k") * 10 + 2000)))
+    return C.call_tree(calls).select("id", "name", "parent", F.col("depth").cast("int").alias("depth"))
+
+
 @query(f"select 'f' || s_suppkey as src, 'f' || ({_NEXT}) as dst, t as type from supplier, (values ('renders'), ('passes_props')) as v(t) where s_suppkey <> {_NEXT}")
 def ui_function_edges(spark, sf_dir):
     """Components that functions render and pass properties to."""
