@@ -38,7 +38,7 @@ def test_against_all_lines(spark, tmp_path):
     assert sorted(tuple(r) for r in got) == sorted(_plain(files, asked))
     # what the letters leave: of the block that has it, and no other
     near, bare = index.candidates(spark.createDataFrame([(0, "text", "zqz"), (1, "text", "zq")], _TERMS))
-    assert [(r.term_id, r.file, r.block) for r in near.collect()] == [(0, "long", 0)] and [r.term_id for r in bare.collect()] == [1]
+    assert [(r.term_id, r.file, r.block) for r in near.join(index.blocks(), "id").collect()] == [(0, "long", 0)] and [r.term_id for r in bare.collect()] == [1]
     one = index.search(spark.createDataFrame([(0, "text", "a")], _TERMS), "src/1/*").collect()
     assert {r.file for r in one} == {f for f, _ in files if f and f.startswith("src/1/")}
     assert {r.file for r in index.search(spark.createDataFrame([(0, "text", "zqz")], _TERMS), "nowhere/*").collect()} == {"long"}

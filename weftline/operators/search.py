@@ -1,6 +1,6 @@
 """Stored index of the lines of files, searched by several terms at once: texts that a line holds, or regular expressions.
 
-Files are cut into blocks of whole lines, and every block is posted under each three letters in a row that it has. A term
+Files are cut into numbered blocks of whole lines, and every block is posted under each three letters in a row that it has. A term
 meets, in an equi-join, the blocks under its own rarest letters; only their lines are then compared with it. Terms without
 three letters that a line must have are compared with all lines, so what is found does not depend on the index.
 """
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from weftline.functions import text as X
 from weftline.operators.intervals import context_windows
+from weftline.session import cut, spread
 
 #: Lines of a block.
 LINES = 64
@@ -25,6 +26,8 @@ LINES = 64
 BUCKETS = 64
 #: The rarest letters of a term that a block must have before its lines are read.
 RAREST = 6
+#: Entries that a task combines before it sends them.
+HELD = 1_000_000
 #: Terms without such letters that go to all lines in one scan.
 BARE = 200
 
@@ -65,9 +68,20 @@ def literals(pattern: str) -> list[str]:
     return [x for x in found if len(x) > 2]
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _triples(text: pd.Series) -> pd.Series:
-    return text.map(triples)
+def _posted(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """letters and the blocks that have them, combined over some blocks of a task, as rows get fewer by this."""
+    held: dict[str, list[int]] = {}
+    n = 0
+    for pdf in parts:
+        for block, text in zip(pdf["id"].tolist(), pdf["text"]):
+            for g in triples(text):
+                held.setdefault(g, []).append(block)
+                n += 1
+            if n >= HELD:
+                yield pd.DataFrame({"letters": list(held), "ids": list(held.values())})
+                held, n = {}, 0
+    if held:
+        yield pd.DataFrame({"letters": list(held), "ids": list(held.values())})
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -78,7 +92,7 @@ def _asked(kind: pd.Series, term: pd.Series) -> pd.Series:
 
 
 class LineIndex:
-    """R15. An index in a folder: `blocks` (file, block, first line, lines) and `letters` (letters, file, block)."""
+    """R15. An index in a folder: `blocks` (id, file, block, first line, lines) and `letters` (letters, ids of blocks)."""
 
     def __init__(self, spark: SparkSession, path: str):
         self._spark, self._path = spark, path.rstrip("/")
@@ -87,31 +101,31 @@ class LineIndex:
     def build(cls, files: DataFrame, path: str, lines: int = LINES, buckets: int = BUCKETS) -> LineIndex:
         """Of files (file, text); null texts have no line, files of null names are left out.
 
-        The letters are written in ranges of (letters, file, block), so frequent ones have several tasks and files.
+        The letters are written in ranges of (letters, first block), so frequent ones have several tasks and files.
         """
         made = cls(files.sparkSession, path)
-        cut = F.split("text", "\n")
         first = F.explode(F.sequence(F.lit(0), F.floor((F.size("w_lines") - 1) / lines)))
-        blocks = files.where("file is not null and text is not null").select(F.col("file").cast("string").alias("file"), cut.alias("w_lines")).select("file", "w_lines", first.alias("block"))
-        blocks.select("file", "block", (F.col("block") * lines + 1).alias("first_line"), F.slice("w_lines", F.col("block") * lines + 1, F.lit(lines)).alias("lines")).write.parquet(f"{made._path}/blocks")
-        stored = made.blocks()
-        letters = stored.select("file", "block", F.explode(_triples(F.array_join("lines", "\n"))).alias("letters"))
+        blocks = files.where("file is not null and text is not null").select(F.col("file").cast("string").alias("file"), F.split("text", "\n").alias("w_lines")).select("file", "w_lines", first.alias("block"))
+        numbered = blocks.select(F.monotonically_increasing_id().alias("id"), "file", "block", (F.col("block") * lines + 1).alias("first_line"), F.slice("w_lines", F.col("block") * lines + 1, F.lit(lines)).alias("lines"))
+        numbered.write.parquet(f"{made._path}/blocks")  # the numbers are those written, whatever is computed again
+        letters = cut(spread(made.blocks().select("id", F.array_join("lines", "\n").alias("text"))).mapInPandas(_posted, "letters string, ids array<bigint>"))
         bucket = F.pmod(F.xxhash64("letters"), F.lit(buckets)).cast("int")
-        placed = letters.withColumn("bucket", bucket).repartitionByRange("bucket", "letters", "file", "block").sortWithinPartitions("bucket", "letters", "file", "block")
+        order = ["bucket", "letters", F.col("ids")[0]]
+        placed = letters.withColumn("bucket", bucket).repartitionByRange(*order).sortWithinPartitions(*order)
         placed.write.partitionBy("bucket").parquet(f"{made._path}/letters")
-        made.letters().groupBy("letters").agg(F.count("*").alias("n"), F.first("bucket").alias("bucket")).write.parquet(f"{made._path}/counts")
+        made.letters().groupBy("letters").agg(F.sum(F.size("ids")).alias("n"), F.first("bucket").alias("bucket")).write.parquet(f"{made._path}/counts")
         files.sparkSession.range(1).select(F.lit(lines).alias("lines")).write.parquet(f"{made._path}/whole")  # the last to be written
         return made
 
     def blocks(self) -> DataFrame:
-        """file, block, first_line, lines: whole lines of files."""
+        """id, file, block, first_line, lines: whole lines of files."""
         return self._spark.read.parquet(f"{self._path}/blocks")
 
     def letters(self) -> DataFrame:
-        return self._spark.read.schema("letters string, file string, block long, bucket int").parquet(f"{self._path}/letters")
+        return self._spark.read.schema("letters string, ids array<bigint>, bucket int").parquet(f"{self._path}/letters")
 
     def candidates(self, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(term_id, file, block) that have the rarest letters of terms (term_id, kind, term), and the terms without any."""
+        """(term_id, id of a block) that have the rarest letters of terms (term_id, kind, term), and the terms without any."""
         asked = terms.select("term_id", "kind", "term", _asked("kind", "term").alias("letters"))
         some = asked.select("term_id", F.explode("letters").alias("letters"))
         counts = self._spark.read.parquet(f"{self._path}/counts")
@@ -119,9 +133,9 @@ class LineIndex:
         rare = some.join(counts, "letters", "left").withColumn("w_rank", rank).where(F.col("w_rank") <= RAREST)
         needed = rare.select("term_id", "letters", "bucket", F.count("*").over(Window.partitionBy("term_id")).alias("needed"))
         read = [r.bucket for r in needed.select("bucket").where("bucket is not null").distinct().collect()]  # BUCKETS at most
-        posted = self.letters().where(F.col("bucket").isin(read)).select("letters", "file", "block")
-        hits = posted.join(needed, "letters").groupBy("term_id", "needed", "file", "block").agg(F.count_distinct("letters").alias("n"))
-        return hits.where("n = needed").select("term_id", "file", "block"), asked.where(F.size("letters") == 0).select("term_id", "kind", "term")
+        posted = self.letters().where(F.col("bucket").isin(read)).join(needed.drop("bucket"), "letters").select("term_id", "needed", F.explode("ids").alias("id"))
+        hits = posted.groupBy("term_id", "needed", "id").agg(F.count("*").alias("n"))  # a block is posted once under its letters
+        return hits.where("n = needed").select("term_id", "id"), asked.where(F.size("letters") == 0).select("term_id", "kind", "term")
 
     def search(self, terms: DataFrame, pattern: str | None = None) -> DataFrame:
         """term_id, file, line_no, line: all lines that hold a term (term_id, kind, term), each once a term and row of files.
@@ -135,8 +149,8 @@ class LineIndex:
         if pattern is not None:
             inside = X.matches_path(F.col("file"), pattern)
             if not blocks.select("file").where(inside).isEmpty():
-                blocks, near = blocks.where(inside), near.where(inside)
-        met = near.join(stated, "term_id").join(blocks, ["file", "block"])
+                blocks = blocks.where(inside)
+        met = near.join(stated, "term_id").join(blocks, "id")
         met = met.select("term_id", "kind", "term", "file", "first_line", "lines")
         for some in _in_blocks(bare.collect(), BARE):  # stated terms
             each = F.explode(F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in r.asDict().items())) for r in some))).alias("w_term")
