@@ -75,3 +75,11 @@ def test_similarity_is_the_last_tier(spark):
     f = spark.createDataFrame([("src/lib/parser.py",), ("src/a/b.py",)], "path string")
     m = spark.createDataFrame([("src/lib/parsers.py",), ("b.py",), ("nothing",)], "mention string")
     assert {tuple(r) for r in Z.resolve_paths(m, f).collect()} == {("src/lib/parsers.py", "src/lib/parser.py", 3), ("b.py", "src/a/b.py", 1)}
+
+
+def test_long_texts_meet_by_rare_places(spark):
+    """Paths of one host, each misspelled once: those compared grow with the paths, not with their square."""
+    paths = [f"blog.example.com/en/{i * 7919 % 100_003}.{i}.html" for i in range(600)]
+    df = lambda rows, c: spark.createDataFrame([(x,) for x in rows], f"{c} string")
+    met = {tuple(r) for r in Z.close_candidates(df(paths, "name"), df([p + "x" for p in paths], "query"), 0.98).collect()}
+    assert {(p + "x", p) for p in paths} <= met and len(met) < 3 * len(paths)

@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.session import cut
+
+#: Letters of the places by which similar texts meet; similarities at which queries are searched before their cutoff.
+WIDTHS, LEVELS = (6, 2, 1), (0.98,)
 
 def lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, bit-parallel over the first text."""
@@ -112,37 +116,47 @@ def _least_common(one: Column, two: Column, cutoff: float) -> Column:
     return F.ceil(cutoff * (one + two) / 2 - 1e-9)
 
 
+def _least_shared(one: Column, two: Column, cutoff: float, width: int) -> Column:
+    """Places of so many letters that stand in both texts at least, if their similarity reaches the cutoff."""
+    return (2 * width - 1) * _least_common(one, two, cutoff) - (width - 1) * (one + two + 1)
+
+
 def close_candidates(names: DataFrame, queries: DataFrame, cutoff: float) -> DataFrame:
     """query, name (of distinct lower-case texts): all pairs whose Ratcliff-Obershelp similarity can reach the cutoff.
 
     At this similarity the texts have a common subsequence of M >= cutoff (a + b) / 2 letters, a and b being their lengths.
-    Of its M - 1 pairs of neighbours, each letter left out of either text parts one, so 3 M - a - b - 1 pairs stand side by
-    side in both. Pairs of letters, numbered where they repeat, are put in order, the rarest first; texts which share t of
-    them share one of their first n - t + 1, so they meet by equality of these. Where t falls to nothing, in short texts,
-    single letters take the place of pairs. Of those that meet, pairs that share t in all remain.
+    The a + b - 2 M letters left out of either text part it into one run more at most, so M - (w - 1) (a + b - 2 M + 1)
+    places of w letters stand in both. Places, numbered where they repeat, are put in order, the rarest first; texts which
+    share t of them share one of their first n - t + 1, so they meet by equality of these. Where t falls to nothing, in short
+    texts or at low cutoffs, fewer letters take the place of more, single ones at last. Of those that meet, pairs that share
+    t in all remain.
     """
     both = names.select(F.lower("name").alias("text"), F.lit(0).alias("side")).unionByName(queries.select(F.lower("query").alias("text"), F.lit(1).alias("side"))).where("text is not null").distinct()
     size = F.length("text")
-    shortest = F.ceil(size * cutoff / (2 - cutoff) - 1e-9)  # of what can be so similar
-    # 3 M - a - b - 1 without rounding M grows with b, from the shortest on, if the cutoff is above 2/3
-    pairs_at_least = F.ceil((1.5 * cutoff - 1) * (size + shortest) - 1 - 1e-9) if cutoff > 2 / 3 else F.lit(0).cast("long")
+    shortest, longest = F.ceil(size * cutoff / (2 - cutoff) - 1e-9), F.floor(size * (2 - cutoff) / cutoff + 1e-9)  # of what can be so similar
+    others = F.sequence(F.least(shortest, size.cast("long")), F.greatest(longest, size.cast("long")))
+    feasible = lambda b: _least_common(size, b, cutoff) <= F.least(size.cast("long"), b)
+    t_of = lambda w: F.coalesce(F.array_min(F.transform(F.filter(others, feasible), lambda b: _least_shared(size, b, cutoff, w))), F.lit(0).cast("long"))
     places = lambda width: F.when(size >= width, F.transform(F.sequence(F.lit(1), size - width + 1), lambda i: F.substring("text", i, F.lit(width))))
-    sized = both.where(size > 0).select("text", "side", size.alias("size"), pairs_at_least.alias("t"), places(2).alias("two"), places(1).alias("one"), _least_common(size, shortest, cutoff).alias("m"))
-    pairs = sized.where("two is not null").select("text", "side", "size", F.lit(2).alias("width"), F.greatest(F.lit(1), "t").alias("t"), F.explode("two").alias("gram"))
-    singles = sized.where("t <= 0").select("text", "side", "size", F.lit(1).alias("width"), F.greatest(F.lit(1), "m").alias("t"), F.explode("one").alias("gram"))
-    counted = pairs.unionByName(singles).groupBy("text", "side", "size", "width", "t", "gram").agg(F.count("*").alias("n"))
-    each = counted.select("text", "side", "size", "width", "t", "gram", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("nth"))
+    sized = both.where(size > 0).select("text", "side", size.alias("size"), *(t_of(w).alias(f"t{w}") for w in WIDTHS))
+    each, before = None, F.lit(True)
+    for w in WIDTHS:
+        some = sized.where(before).select("text", "side", "size", F.lit(w).alias("width"), F.greatest(F.lit(1), f"t{w}").alias("t"), F.explode(places(w)).alias("gram"))
+        each, before = some if each is None else each.unionByName(some), before & (F.col(f"t{w}") <= 0)
+    counted = each.groupBy("text", "side", "size", "width", "t", "gram").agg(F.count("*").alias("n"))
+    each = cut(counted.select("text", "side", "size", "width", "t", "gram", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("nth")))
     frequency = each.groupBy("width", "gram", "nth").agg(F.count("*").alias("df"))
     ordered = each.join(frequency, ["width", "gram", "nth"]).groupBy("text", "side", "size", "width", "t").agg(F.array_sort(F.collect_list(F.struct("df", "gram", "nth"))).alias("grams"))
-    named = ordered.select("text", "side", "size", "width", F.transform("grams", lambda g: F.concat_ws(" ", g["nth"], g["gram"])).alias("grams"), "t")
+    named = cut(ordered.select("text", "side", "size", "width", F.transform("grams", lambda g: F.concat_ws(" ", g["nth"], g["gram"])).alias("grams"), "t"))
     # the least of the shared ones counts, so that a pair meets once
     first = named.select("text", "side", "size", "width", "grams", F.explode(F.slice("grams", F.lit(1), F.greatest(F.lit(1), F.size("grams") - F.col("t") + 1).cast("int"))).alias("gram"))
     of = lambda side, name: first.where(F.col("side") == side).select("gram", "width", F.col("text").alias(name), F.col("size").alias(f"{name}_size"), F.col("grams").alias(f"{name}_grams"))
-    both_sizes = F.col("query_size") + F.col("name_size")
     common = _least_common(F.col("query_size"), F.col("name_size"), cutoff)
     shared = F.array_intersect("query_grams", "name_grams")
-    wanted = 3 * common - both_sizes - 1
-    enough = F.when(F.col("width") == 2, (wanted > 0) & (F.size(shared) >= wanted)).otherwise((wanted <= 0) & (F.size(shared) >= common))
+    enough, before = F.lit(False), F.lit(True)
+    for w in WIDTHS:
+        wanted = _least_shared(F.col("query_size"), F.col("name_size"), cutoff, w)
+        enough, before = enough | (before & (F.col("width") == w) & (wanted > 0) & (F.size(shared) >= wanted)), before & (wanted <= 0)
     near = F.least("query_size", "name_size") >= common
     met = of(1, "query").join(of(0, "name"), ["gram", "width"]).where(near & (F.get(shared, F.lit(0)) == F.col("gram")) & enough).select("query", "name").distinct()
     none = both.where("text = ''")
@@ -152,15 +166,24 @@ def close_candidates(names: DataFrame, queries: DataFrame, cutoff: float) -> Dat
 def close_matches(names: DataFrame, queries: DataFrame, k: int, cutoff: float) -> DataFrame:
     """R11. query, name, score, rank: the k names most similar to each query in any case, of a similarity of cutoff at least.
 
-    Only close_candidates are compared. Scores count at six decimals; ties go by name.
+    Only close_candidates are compared, at high similarities first, where these are few: a query that has k names of a
+    level has all its best ones, and goes no further. Scores count at six decimals; ties go by name.
     """
-    def score(parts):
-        for pdf in parts:
-            rows = [(q, n, round(close(n, q), 6)) for q, n in zip(pdf["query"], pdf["name"], strict=True) if close_at_most(q, n) + 1e-6 >= cutoff]
-            yield pd.DataFrame([r for r in rows if r[2] >= cutoff], columns=["query", "name", "score"])
-
     tasks = max(names.sparkSession.sparkContext.defaultParallelism, int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    scored = close_candidates(names, queries, cutoff).repartition(tasks, "query", "name").mapInPandas(score, "query string, name string, score double")
+    left, scored = cut(queries.select(F.lower("query").alias("query")).where("query is not null").distinct()), None
+    for level in [x for x in LEVELS if x > cutoff] + [cutoff]:
+        def score(parts, level=level):
+            for pdf in parts:
+                rows = [(q, n, round(close(n, q), 6)) for q, n in zip(pdf["query"], pdf["name"], strict=True) if close_at_most(q, n) + 1e-6 >= level]
+                yield pd.DataFrame([r for r in rows if r[2] >= level], columns=["query", "name", "score"])
+
+        pairs = cut(close_candidates(names, left, level).repartition(tasks, "query", "name").mapInPandas(score, "query string, name string, score double"))
+        if level > cutoff:
+            full = pairs.where(F.col("score") > level + 1e-6).groupBy("query").count().where(F.col("count") >= k).select("query")
+            pairs, left = pairs.join(full, "query", "left_semi"), cut(left.join(full, "query", "left_anti"))
+        scored = pairs if scored is None else scored.unionByName(pairs)
+        if left.isEmpty():
+            break
     said = lambda df, c: df.select(F.col(c).cast("string").alias(c)).where(F.col(c).isNotNull()).distinct().withColumn(f"l_{c}", F.lower(c))
     found = scored.select(F.col("query").alias("l_query"), F.col("name").alias("l_name"), "score").join(said(queries, "query"), "l_query").join(said(names, "name"), "l_name")
     w = Window.partitionBy("query").orderBy(F.desc("score"), "name")
@@ -206,7 +229,7 @@ def resolve_paths(mentions: DataFrame, files: DataFrame, cutoff: float = 0.82) -
         return df.groupBy("mention").agg(F.min("path").alias("path"), F.count("*").alias("n")).where("n = 1").select("mention", "path", F.lit(n).alias("tier"))
 
     exact = m.join(f, F.col("mention") == F.col("path")).select("mention", "path", F.lit(0).alias("tier"))
-    same = m.join(f, base("mention") == base("path"))
+    same = m.join(f, F.col("mention") == F.col("path"), "left_anti").join(f, base("mention") == base("path"))
     suffix = unique(same.where(F.endswith("path", F.concat(F.lit("/"), F.col("mention")))), 1)
     named = unique(same.select("mention", "path"), 2)
     found = exact.unionByName(suffix).unionByName(named)
