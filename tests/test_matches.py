@@ -83,3 +83,19 @@ def test_long_texts_meet_by_rare_places(spark):
     df = lambda rows, c: spark.createDataFrame([(x,) for x in rows], f"{c} string")
     met = {tuple(r) for r in Z.close_candidates(df(paths, "name"), df([p + "x" for p in paths], "query"), 0.98).collect()}
     assert {(p + "x", p) for p in paths} <= met and len(met) < 3 * len(paths)
+
+
+def test_ids_of_later_tiers_are_not_met(spark):
+    """A query found by its id does not meet all ids of its last part's name."""
+    e = spark.range(400).selectExpr("concat('m', id, '.run') as id", "'run' as name")
+    found = Z.entity_search(e, e.selectExpr("id as query"), 1.1)
+    assert {(r["query"], r["id"], r["tier"]) for r in found.collect()} == {(f"m{i}.run", f"m{i}.run", 0) for i in range(400)}
+    metrics, open_ = [], [found._jdf.queryExecution().executedPlan()]
+    while open_:
+        node = open_.pop()
+        open_ += [node.children().apply(i) for i in range(node.children().size())]
+        if hasattr(node, "finalPhysicalPlan") and node.nodeName() == "AdaptiveSparkPlan":
+            open_.append(node.finalPhysicalPlan())
+        if "Join" in node.nodeName() and node.metrics().contains("numOutputRows"):
+            metrics.append(node.metrics().apply("numOutputRows").value())
+    assert max(metrics, default=0) <= 5 * 400

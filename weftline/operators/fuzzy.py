@@ -207,17 +207,16 @@ def entity_search(entities: DataFrame, queries: DataFrame, cutoff: float = 0.8)
     """R14. query, id, tier: entities (id, name) by whole id, by id with .__init__, by name, by name in any case, by the
     last dotted part of the query, or else by similarity of the name; the first tier that has any wins."""
     e, q = entities.select("id", "name").distinct(), queries.select("query").distinct()
-
-    def tier(n: int, on: Column) -> DataFrame:
-        return q.join(e, on).select("query", "id", F.lit(n).alias("tier"))
-
-    exact = [F.col("query") == F.col("id"), F.concat("query", F.lit(".__init__")) == F.col("id"), F.col("query") == F.col("name"), F.lower("query") == F.lower("name"), F.lower(F.substring_index("query", ".", -1)) == F.lower("name")]
-    found = tier(0, exact[0])
-    for n, on in enumerate(exact[1:], 1):
-        found = found.unionByName(tier(n, on))
-    left = q.join(found.select("query").distinct(), "query", "left_anti")
-    near = close_matches(e.select("name"), left, 5, cutoff).join(e, "name").select("query", "id", F.lit(len(exact)).alias("tier"))
-    return first_tier(found.unionByName(near), "query").distinct()
+    tiers = lambda *keys: F.posexplode(F.array(*keys)).alias("tier", "w_key")
+    own = e.select("id", tiers(F.col("id"), F.col("id"), F.col("name"), F.lower("name"), F.lower("name")))
+    asked = q.select("query", tiers(F.col("query"), F.concat("query", F.lit(".__init__")), F.col("query"), F.lower("query"), F.lower(F.substring_index("query", ".", -1))))
+    # the tier is settled before ids are met: keys of later tiers, as common names, would bring all their ids to each query
+    met = asked.join(own.select("tier", "w_key").distinct(), ["tier", "w_key"], "left_semi")
+    first = cut(met.groupBy("query").agg(F.min(F.struct("tier", "w_key")).alias("w_first")).select("query", "w_first.*"))
+    found = first.join(own, ["tier", "w_key"]).select("query", "id", "tier")
+    left = q.join(first.select("query"), "query", "left_anti")
+    near = close_matches(e.select("name"), left, 5, cutoff).join(e, "name").select("query", "id", F.lit(5).alias("tier"))
+    return found.unionByName(near).distinct()
 
 
 def resolve_paths(mentions: DataFrame, files: DataFrame, cutoff: float = 0.82) -> DataFrame:
