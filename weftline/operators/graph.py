@@ -6,6 +6,7 @@ removed by an anti-join. Deep traversals cut their lineage every CUT levels.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
@@ -201,16 +202,55 @@ def normalize_scene(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Data
     return kept, live.groupBy("src", "dst", "relation").agg(F.min("pos").alias("pos"))
 
 
+def _graph_by_graph(edges: DataFrame, key: str, order: Callable[[list[tuple]], list[str]]) -> DataFrame:
+    """key, node, rank by order(rows) of each graph's rows (without the key); graphs stream through tasks one behind the
+    other, so that small ones cost no table of their own, and a task holds one."""
+    spark = edges.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work: not to be merged into fewer
+    kind = dict(edges.dtypes)[key]
+    rows = edges.select(key, *(c for c in edges.columns if c != key)).repartition(tasks, key).sortWithinPartitions(key)
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds, none = [], object()
+
+        def groups():
+            at, own = none, []
+            for batch in batches:
+                kinds[:] = [batch.schema.field(0).type]
+                for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if at is none or not (k == at or (k != k and at != at)):
+                        if own:
+                            yield at, own
+                        at, own = k, []
+                    own.append(tuple(row))
+            if own:
+                yield at, own
+
+        def table(out):
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], kinds[0]), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.int64())], names=[key, "node", "rank"])
+
+        out = []
+        for k, own in groups():
+            out += [(k, n, i + 1) for i, n in enumerate(order(own))]
+            if len(out) >= 10_000:
+                yield table(out)
+                out = []
+        if out:
+            yield table(out)
+
+    return rows.mapInArrow(run, f"`{key}` {kind}, node string, rank long")
+
+
 def topological_order(edges: DataFrame, key: str) -> DataFrame:
     """W25. key, node, rank for each graph: least node first among those without open predecessors; where a cycle leaves
     none, the node with fewest open predecessors (then the least) goes. One graph is one group."""
     import heapq
 
-    import pandas as pd
-
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
+    def order(rows: list[tuple]) -> list[str]:
         after: dict[str, set[str]] = {}
-        for a, b in zip(pdf["src"], pdf["dst"], strict=True):
+        for a, b in rows:
             after.setdefault(a, set()).add(b)
             after.setdefault(b, set())
         degree = dict.fromkeys(after, 0)
@@ -229,10 +269,9 @@ def topological_order(edges: DataFrame, key: str) -> DataFrame:
             for b in after[n] - done:
                 degree[b] -= 1
                 heapq.heappush(heap, (degree[b], b))
-        return pd.DataFrame({key: pdf[key].iloc[0], "node": out, "rank": range(1, len(out) + 1)})
+        return out
 
-    kind = dict(edges.dtypes)[key]
-    return edges.groupBy(key).applyInPandas(order, f"{key} {kind}, node string, rank long")
+    return _graph_by_graph(edges.select(key, "src", "dst"), key, order)
 
 
 def best_first(edges: DataFrame, key: str, root: str, most: int = 20) -> DataFrame:
@@ -240,14 +279,12 @@ def best_first(edges: DataFrame, key: str, root: str, most: int = 20) -> DataFra
     out-edge weight goes next, earlier found ones first on ties."""
     import heapq
 
-    import pandas as pd
-
-    def expand(pdf: pd.DataFrame) -> pd.DataFrame:
+    def expand(rows: list[tuple]) -> list[str]:
         out_edges: dict[str, list[tuple[float, str]]] = {}
-        for a, b, w in sorted(zip(pdf["src"], pdf["dst"], pdf["weight"], strict=True)):
+        for a, b, w in sorted((a, b, float("nan") if w is None else w) for a, b, w, _ in rows):
             out_edges.setdefault(a, []).append((w, b))
         worth = {n: max(w for w, _ in own) for n, own in out_edges.items()}
-        start = pdf[root].iloc[0]
+        start = rows[0][3]
         heap, found, order = [(-worth.get(start, 0.0), 0, start)], {start}, []
         while heap and len(order) < most:
             _, _, n = heapq.heappop(heap)
@@ -256,7 +293,6 @@ def best_first(edges: DataFrame, key: str, root: str, most: int = 20) -> DataFra
                 if b not in found:
                     found.add(b)
                     heapq.heappush(heap, (-worth.get(b, 0.0), len(found), b))
-        return pd.DataFrame({key: pdf[key].iloc[0], "node": order, "rank": range(1, len(order) + 1)})
+        return order
 
-    kind = dict(edges.dtypes)[key]
-    return edges.groupBy(key).applyInPandas(expand, f"{key} {kind}, node string, rank long")
+    return _graph_by_graph(edges.select(key, "src", "dst", "weight", root), key, expand)
