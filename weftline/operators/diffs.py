@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,16 +17,35 @@ def changed_old_lines(patches: DataFrame, key: str = "instance_id", text: str =
 
     Added lines do not advance the old line; any line that is not an addition does.
     """
-    w = Window.partitionBy(key).orderBy("pos")
-    l = _lines(patches, key, text)
-    head = F.when(F.col("line").rlike(r"^@@ -[0-9]+"), F.regexp_extract("line", r"^@@ -([0-9]+)", 1).cast("long"))
-    file = F.when(F.col("line").startswith("--- "), F.regexp_replace(F.regexp_replace("line", r"^--- ", ""), r"^a/", ""))
-    marked = l.select("*", F.last(file, ignorenulls=True).over(w).alias("file"), head.alias("head"), F.count(F.when(head.isNotNull() | F.col("line").startswith("diff ") | F.col("line").startswith("--- "), 1)).over(w).alias("hunk"))
-    own = Window.partitionBy(key, "hunk").orderBy("pos")
-    inside = marked.select("*", F.first("head").over(own).alias("start")).where(F.col("start").isNotNull() & F.col("head").isNull())
-    moved = F.sum(F.when(F.col("line").startswith("+"), 0).otherwise(1)).over(own.rowsBetween(Window.unboundedPreceding, -1))
-    placed = inside.select(key, "file", "line", (F.col("start") + F.coalesce(moved, F.lit(0))).alias("at"))
-    return placed.where(F.col("line").startswith("-") | F.col("line").startswith("+")).select(key, "file", F.col("at").alias("old_line")).distinct()
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            name, at, file, line = batch.column(0), [], [], []
+            for i, patch in enumerate(batch.column(1).to_pylist()):
+                for own, old in _old_lines(patch or ""):
+                    at.append(i)
+                    file.append(own)
+                    line.append(old)
+            yield pa.RecordBatch.from_arrays([name.take(pa.array(at, pa.int64())), pa.array(file, pa.string()), pa.array(line, pa.int64())], names=[key, "file", "old_line"])
+
+    return patches.select(key, F.col(text).alias("w_text")).mapInArrow(run, f"`{key}` {dict(patches.dtypes)[key]}, file string, old_line long").distinct()
+
+
+def _old_lines(patch: str) -> set[tuple[str | None, int]]:
+    file, at, found = None, None, set()
+    for line in patch.split("\n"):
+        if head := re.match(r"@@ -([0-9]+)", line):
+            at = int(head[1])
+        elif line.startswith("--- "):
+            file, at = line[4:].removeprefix("a/"), None
+        elif line.startswith("diff "):
+            at = None
+        elif at is not None:
+            if line.startswith(("+", "-")):
+                found.add((file, at))
+            at += not line.startswith("+")
+    return found
 
 
 def modified_lines(patch: Column) -> Column:

@@ -210,10 +210,13 @@ def diff_changed_lines(spark, sf_dir):
     """A patch an order, with a file and hunk of one of three shapes for each of its items."""
     from weftline.operators.diffs import changed_old_lines
 
-    body = F.element_at(F.array(*(F.lit(x) for x in _HUNKS)), (F.col("l_linenumber") % 3 + 1).cast("int"))
-    file = F.concat(F.lit("src/f"), "l_suppkey", F.lit(".py"))
-    hunk = F.concat(F.lit("diff --git a/"), file, F.lit(" b/"), file, F.lit("\n--- a/"), file, F.lit("\n+++ b/"), file, F.lit("\n@@ -"), "l_partkey", F.lit(",4 +"), "l_partkey", F.lit(",4 @@ def f\n"), body)
-    patches = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("instance_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", hunk.alias("hunk")))), lambda x: x["hunk"]), "\n").alias("patch"))
+    def hunk(x):  # made of what is collected, so that no texts move
+        body = F.element_at(F.array(*(F.lit(h) for h in _HUNKS)), (x["l_linenumber"] % 3 + 1).cast("int"))
+        file = F.concat(F.lit("src/f"), x["l_suppkey"], F.lit(".py"))
+        return F.concat(F.lit("diff --git a/"), file, F.lit(" b/"), file, F.lit("\n--- a/"), file, F.lit("\n+++ b/"), file, F.lit("\n@@ -"), x["l_partkey"], F.lit(",4 +"), x["l_partkey"], F.lit(",4 @@ def f\n"), body)
+
+    items = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey")))
+    patches = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("instance_id")).agg(items.alias("items")).select("instance_id", F.array_join(F.transform("items", hunk), "\n").alias("patch"))
     return changed_old_lines(patches).select("instance_id", "file", "old_line")
 
 
