@@ -93,3 +93,16 @@ def test_pooling_and_prefixes(spark):
     found = K.DenseRetriever(docs, embed, query_prefix="query: ", document_prefix="d: ")
     assert {r.doc_id: r.vector for r in found.docs.collect()} == {1: [5.0, 1.0], 2: [3.0, 1.0]}
     assert found.search(spark.createDataFrame([(7, "")], "query_id long, text string"), 1).first().doc_id == 1
+
+
+def test_related_files_are_paired_once(spark):
+    """Files given often count once, pairs of several tokens come once, and no pair is gathered to drop repeats."""
+    names = [f"d/{a}_{b}_own{i}.py" for i, (a, b) in enumerate([("red", "car"), ("car", "red"), ("red", "bus"), ("van", "bus"), ("sea", "air")])]
+    tokens = {x: set(x[2:-3].split("_")) for x in names}
+    files = spark.createDataFrame([(x,) for x in names * 30] + [(None,)], "file string")
+    for block in (1, 2, 1024):
+        df = K.related_files(files, block=block)
+        assert sorted(tuple(r) for r in df.collect()) == sorted((x, y) for x in names for y in names if x != y and tokens[x] & tokens[y])
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]
+    assert {tuple(r) for r in K.related_files(files, least_share=0.5).collect()} == {(names[2], names[3]), (names[3], names[2]), (names[0], names[1]), (names[1], names[0])}

@@ -43,6 +43,9 @@ class DenseRetriever:
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         return R.dense(self.docs, self.embed(prefixed(queries, self.query_prefix)), k)
 
+#: Pairs of files that a task looks at, in the mean.
+PAIRS = 4_000_000
+
 
 def prefixed(texts: DataFrame, prefix: str) -> DataFrame:
     """Texts (null: empty) behind a prefix; without one they stay as they are."""
@@ -212,18 +215,29 @@ def cross_file(edges: DataFrame, nodes: DataFrame, before_line: bool = False) ->
     return found.where(F.col("line") < F.col("s_start_line")) if before_line else found
 
 
-def related_files(files: DataFrame, least_share: float | None = None) -> DataFrame:
+def related_files(files: DataFrame, least_share: float | None = None, block: int = 1024) -> DataFrame:
     """J17. a, b: files that share a token of over two signs in their stems, by an equi-join on the tokens.
 
     With least_share, tokens that at least such a share of the files has tell nothing and are left out: they alone would
-    make all pairs.
+    make all pairs. Files count once, however often they are given. A pair is made at the first token that both have, so
+    pairs are never gathered to tell them apart; a token's files meet in tiles of block files by all others, which are
+    dealt to as many tasks as there are PAIRS to look at.
     """
-    tokens = files.select("file", F.explode(X.stem_tokens(F.col("file"))).alias("token"))
+    each = files.select("file").where("file is not null").distinct()
+    tokens = each.select("file", F.explode(X.stem_tokens(F.col("file"))).alias("token"))
+    sizes = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     if least_share is not None:
-        common = tokens.groupBy("token").count().where(F.col("count") >= least_share * files.count()).select("token")
-        tokens = tokens.join(common, "token", "left_anti")
-    other = tokens.select(F.col("file").alias("b"), "token")
-    return tokens.join(other, "token").where(F.col("file") != F.col("b")).select(F.col("file").alias("a"), "b").distinct()
+        sizes = sizes.where(F.col("n") < least_share * each.count())
+    parts = int((sizes.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0) // PAIRS) + 1
+    known = tokens.join(sizes, "token").select("file", "token", F.ceil(F.col("n") / block).cast("int").alias("tiles"))
+    own = known.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("token", "tiles"))).alias("own"))
+    placed = own.select("file", F.transform("own", lambda t: t["token"]).alias("all"), F.posexplode("own").alias("at", "t"))
+    placed = placed.select("file", F.col("t.token").alias("token"), F.col("t.tiles").alias("tiles"), F.when(F.col("at") > 0, F.slice("all", F.lit(1), F.col("at"))).alias("before"))
+    left = placed.select(F.col("file").alias("a"), "token", F.pmod(F.xxhash64("file"), F.col("tiles")).cast("int").alias("tile"), F.col("before").alias("before_a"))
+    right = placed.select(F.col("file").alias("b"), "token", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("before").alias("before_b"))
+    first = F.col("before_a").isNull() | F.col("before_b").isNull() | ~F.arrays_overlap("before_a", "before_b")
+    dealt = left.repartition(parts, "token", "tile").join(right.repartition(parts, "token", "tile"), ["token", "tile"])
+    return dealt.where((F.col("a") != F.col("b")) & first).select("a", "b")
 
 
 def sibling_files(files: DataFrame) -> DataFrame:
