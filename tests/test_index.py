@@ -82,3 +82,21 @@ def test_no_tokens_move(queries, stored):
     plan = stored.search(queries.where("query_id = 1"), 3)._jdf.queryExecution().executedPlan().toString()
     assert "regexp_extract_all" not in plan
     assert "bucket" in plan and "PartitionFilters: [" in plan
+
+
+def test_hits_do_not_move(queries, stored):
+    """Blocks move to their ranges: neither the weights of all pairs nor the hits go through an exchange."""
+    plan = stored.search(queries, 3)._jdf.queryExecution().executedPlan().toString()
+    moves = [line.split("hashpartitioning(")[1].split(")")[0] for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert any("range" in m for m in moves) and not any("doc_id" in m or "range" in m and "," in m.rsplit(",", 1)[0] for m in moves), moves
+
+
+def test_postings_do_not_move(spark, docs, tmp_path, monkeypatch):
+    """A batch moves texts to ranges and blocks to buckets, nothing by term."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: (plans.append(self._df._jdf.queryExecution().executedPlan().toString()), write(self, path, *a, **k))[1])
+    PostingIndex.build(docs.where("doc_id < 90"), str(tmp_path / "i"), ("g",), buckets=4)
+    moves = [line.split("hashpartitioning(")[1].split(")")[0] for line in plans[0].split("\n") if "Exchange hashpartitioning" in line]
+    assert len(moves) == 2 and sum("bucket" in m for m in moves) == 1 and not any("term" in m for m in moves), moves

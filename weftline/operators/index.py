@@ -6,8 +6,9 @@ of documents, occurrences, and the largest tf and least dl. So counts and bounds
 buckets of its own terms only. Blocks lie in folders batch=<n>/bucket=<m>; a batch counts once its row of the table of batches
 is written, which is done last, so a batch that failed half-way is not seen, and is written anew by the next append.
 
-Texts are tokenised when a batch is written and never again. A search moves blocks of postings, not tokens, to their ranges,
-where scores are summed; only if an id stands in several documents are scores added up by a further exchange.
+Texts are tokenised when a batch is written and never again: texts move to their ranges, where blocks are made, and only these
+move once more, to their buckets. A search moves blocks of postings, not tokens, to their ranges, and neither weights nor hits;
+scores are summed there. Only if an id stands in several documents are scores added up by a further exchange.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from weftline.session import cut, spread
 RANGE, BUCKETS = 32, 64
 #: Ranges of each query that are scored first, for a score which the k best reach at least.
 FIRST = 4
+#: Signs of text that a task of a batch takes, in the mean.
+PART = 16_000_000
 #: The term of the blocks that have each document once.
 WHOLE = ""
 _SLACK = 2e-6  # scores are compared at six decimals
@@ -51,8 +54,11 @@ class PostingIndex:
         found = self.spark.read.schema(self.schema).parquet(f"{self.path}/blocks").where(F.col("batch").isin(self.batches))
         if terms is None:
             return found
-        asked = [r[0] for r in terms.select(_bucket(F.col("term"), self.buckets)).distinct().collect()]  # as many as there are buckets
-        return found.where(F.col("bucket").isin(asked)).join(terms.select("term"), "term", "left_semi")
+        from weftline.operators.retrieval import _bounded
+
+        asked = terms.groupBy(_bucket(F.col("term"), self.buckets)).count().collect()  # as many as there are buckets
+        held = _bounded(terms.select("term"), sum(r["count"] for r in asked))
+        return found.where(F.col("bucket").isin([r["bucket"] for r in asked])).join(held, "term", "left_semi")
 
     def sizes(self, over: list[str]) -> DataFrame:
         """over, n_docs and total (their length in tokens)."""
@@ -80,7 +86,7 @@ class PostingIndex:
     def surviving(self, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> tuple[DataFrame, DataFrame]:
         """Weights (query_id, term, w, avgdl) and the pairs query_id, range that may hold one of the k best, with upper, the
         most that a document there can score, and kept, whether that reaches what the k best reach."""
-        from weftline.operators.retrieval import _asked, _idf, _share
+        from weftline.operators.retrieval import _asked, _bounded, _idf, _share
 
         asked = _asked(queries, [])
         whole = self.sizes([]).first()
@@ -88,8 +94,9 @@ class PostingIndex:
         terms = asked.select("term").distinct()
         df = self.counts([], terms)
         weights = cut(asked.join(df, "term").select("query_id", "term", (_idf(F.lit(n), F.col("df")) * F.col("qf")).alias("w"), F.lit(avgdl).alias("avgdl")))
-        heads = self.blocks(terms).groupBy("term", "range").agg(F.max("max_tf").alias("tf"), F.min("min_dl").alias("dl"))
-        upper = heads.join(weights, "term").groupBy("query_id", "range").agg(F.sum(F.col("w") * _share(k1, b)).alias("upper"))
+        moved = self.blocks(terms).select("term", "range", "max_tf", "min_dl").repartition("range")  # all that follows stays there
+        heads = moved.groupBy("term", "range").agg(F.max("max_tf").alias("tf"), F.min("min_dl").alias("dl"))
+        upper = heads.join(_bounded(weights, weights.count()), "term").groupBy("query_id", "range").agg(F.sum(F.col("w") * _share(k1, b)).alias("upper"))
         upper = cut(upper)
         best = upper.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("upper"), "range"))).where(F.col("place") <= FIRST)
         first = self._scores(weights, best.select("query_id", "range"), k1, b)
@@ -99,14 +106,17 @@ class PostingIndex:
         return weights, cut(upper.join(least, "query_id", "left").select("query_id", "range", "upper", kept.alias("kept"))).where("kept")
 
     def _scores(self, weights: DataFrame, pairs: DataFrame, k1: float, b: float) -> DataFrame:
-        """query_id, doc_id, score of the documents in pairs (query_id, range): blocks that no pair wants are left out before
-        they move, the rest meets by range, where scores are summed."""
-        from weftline.operators.retrieval import _share
-
-        wanted = pairs.select("query_id", "range").join(weights, "query_id")
-        blocks = self.blocks(weights.select("term").distinct()).join(wanted.select("term", "range").distinct(), ["term", "range"], "left_semi")
-        moved = blocks.select("term", "range", "postings").repartition("range")
-        met = moved.join(wanted, ["range", "term"]).select("range", "query_id", "w", "avgdl", F.inline("postings"))
+        """query_id, doc_id, score of the documents in pairs (query_id, range): blocks of ranges that no pair has are left out
+        before they move, the rest meets the weights in its range, where scores are summed."""
+        from weftline.operators.retrieval import BROADCAST_ROWS, _bounded, _share
+
+        blocks = self.blocks(weights.select("term").distinct()).select("term", "range", "postings")
+        ranges = pairs.select("range").distinct()
+        if ranges.count() <= BROADCAST_ROWS:
+            blocks = blocks.join(F.broadcast(ranges), "range", "left_semi")
+        wanting = pairs.groupBy("range").agg(F.collect_list("query_id").alias("w_queries"))  # a row a range, so that weights need not move to pairs
+        held = blocks.repartition("range").join(wanting.hint("shuffle_hash"), "range").join(_bounded(weights, weights.count()), "term")
+        met = held.where(F.array_contains("w_queries", F.col("query_id"))).select("range", "query_id", "w", "avgdl", F.inline("postings"))
         summed = met.groupBy("range", "query_id", "doc_id").agg(F.sum(F.col("w") * _share(k1, b)).alias("score"))
         if not self.single:
             summed = summed.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
@@ -119,15 +129,19 @@ def _bucket(term: Column, buckets: int) -> Column:
 
 def _write(docs: DataFrame, path: str, batch: int, parts: list[str], buckets: int) -> None:
     placed = spread(docs.select("doc_id", *parts, "text")).withColumn("range", F.shiftright(F.monotonically_increasing_id(), RANGE.bit_length() - 1))
-    sized = placed.select("doc_id", *parts, (F.col("range") + (batch << 48)).alias("range"), identifier_bag(F.col("text")).alias("bag"))
+    # texts move to their ranges, so that their tokens and postings need not
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // PART)
+    sized = placed.repartition(tasks, "range").select("doc_id", *parts, (F.col("range") + (batch << 48)).alias("range"), identifier_bag(F.col("text")).alias("bag"))
     each = sized.select("doc_id", *parts, "range", F.size("bag").alias("dl"), F.explode(F.concat("bag", F.array(F.lit(WHOLE)))).alias("term"))
     tf = each.groupBy("doc_id", *parts, "range", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
-    blocks = tf.groupBy(*parts, "term", "range").agg(
-        F.count("*").alias("df"), F.sum("tf").alias("n"), F.sum(F.col("tf") * F.col("dl")).alias("total"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.array_sort(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("postings")
-    )
-    schema = ", ".join(f"`{c}` {t}" for c, t in blocks.dtypes) + ", batch int, bucket int"
-    # the blocks of a frequent term, which are many, go to several files of its bucket
-    dealt = blocks.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition("bucket", F.shiftright("range", 12)).sortWithinPartitions("bucket", "term")
+    each = tf.groupBy(*parts, "term", "range").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("p"))
+    packed = each.select(*parts, "term", "range", *(F.col(f"p.{c}").alias(c) for c in ("doc_id", "tf", "dl")), _bucket(F.col("term"), buckets))
+    # the blocks of a frequent term, which are many, go to several files of its bucket; heads are made where blocks arrive
+    dealt = packed.repartition("bucket", F.shiftright("range", 12)).sortWithinPartitions("bucket", "term")
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda x, y: x + y)
+    heads = [F.size("tf").cast("long").alias("df"), total(F.col("tf")).alias("n"), total(F.zip_with("tf", "dl", lambda x, y: x * y)).alias("total"), F.array_max("tf").alias("max_tf"), F.array_min("dl").alias("min_dl")]
+    dealt = dealt.select(*parts, "term", "range", *heads, F.arrays_zip("doc_id", "tf", "dl").alias("postings"), "bucket")
+    schema = ", ".join(f"`{c}` {t}" for c, t in dealt.dtypes if c != "bucket") + ", batch int, bucket int"
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks/batch={batch}")
     spark = docs.sparkSession
     whole = spark.range(1).select(_bucket(F.lit(WHOLE), buckets)).first()[0]
