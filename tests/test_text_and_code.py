@@ -245,3 +245,14 @@ if (useContext(Ctx)) {}
     assert (got["reads_state"], got["writes_state"]) == ({"useSelector", "getState", "store", "this"}, {"this", "this.setState", "setName"})
     assert (got["provides_context"], got["consumes_context"]) == ({"Theme"}, {"Theme", "Ctx"})
     assert (got["routes_to"], got["type_uses"]) == ({"Home", "Page", "Late"}, {"Kind", "Other", "Type", "One"})
+
+
+def test_repeats_of_mentions_are_told_apart_by_strings(spark):
+    """No list of structs is made distinct, which would compare each mention of a file with all others."""
+    text = "\n".join(f"f{i % 700}(g{i % 900}())" for i in range(1800)) + "\nexport { f1 as x, f2 }\nexport class f1 {"
+    df = C.mentions(spark.createDataFrame([("a.js", text)], "file string, text string"))
+    got = [tuple(r) for r in df.collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {("a.js", "calls", f"{x}{i}") for x, n in (("f", 700), ("g", 900)) for i in range(n)} | {("a.js", "exports", "f1"), ("a.js", "exports", "f2")}
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("array_distinct(") > 10 and "array_distinct(concat(transform" not in plan

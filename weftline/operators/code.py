@@ -225,14 +225,21 @@ OWN_FILE = ("implements", "uses_hook", "type_uses", "reads_state", "writes_state
 def mentions(files: DataFrame) -> DataFrame:
     """T18. file, type, target: distinct targets of every relation in every file."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = F.concat(*(_typed(k, F.regexp_extract_all(text, F.lit(p), F.lit(1))) for k, some in RELATIONS.items() for p in some), *(_typed(k, _names(text, p)) for k, p in LISTS.items()))
-    rows = files.select("file", F.inline(F.array_distinct(found)))
+    lists = {k: [_names(text, p)] for k, p in LISTS.items()}
+    rows = files.select("file", F.inline(_distinct({k: [*_found(text, RELATIONS.get(k, ())), *lists.get(k, [])] for k in {**RELATIONS, **LISTS}})))
     call = (F.col("type") == "calls") & F.substring_index("target", ".", 1).isin(*NOT_CALLS)
     return rows.where((F.col("target") != "") & ~call & ((F.col("type") != "uses_style") | F.col("target").rlike(r"\.s?css$")))
 
 
-def _typed(kind: str, targets: Column) -> Column:
-    return F.transform(targets, lambda t: F.struct(F.lit(kind).alias("type"), t.alias("target")))
+def _found(text: Column, patterns: tuple[str, ...]) -> list[Column]:
+    return [F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns]
+
+
+def _distinct(targets: dict[str, list[Column]]) -> Column:
+    """Structs type, target without repeats. Repeats go from lists of strings, in one pass: among structs each would be
+    compared with all, in time that grows with the square of a file's mentions."""
+    typed = lambda kind, names: F.transform(F.array_distinct(F.concat(*names)), lambda t: F.struct(F.lit(kind).alias("type"), t.alias("target")))
+    return F.concat(*(typed(k, names) for k, names in targets.items()))
 
 
 def _names(text: Column, pattern: str) -> Column:
@@ -280,10 +287,10 @@ def ui_edges(bodies: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("body"), F.lit(""))
     kinds = {k: RELATIONS[k] for k in ("renders", "calls", "reads_state", "writes_state")} | {"passes_props": (PROPS,), "applies_style": (*RELATIONS["renders"], PROPS)}
-    found = F.concat(*(_typed(k, F.regexp_extract_all(text, F.lit(p), F.lit(1))) for k, some in kinds.items() for p in some))
+    found = _distinct({k: _found(text, some) for k, some in kinds.items()})
     call = (F.col("type") == "calls") & F.substring_index("target", ".", 1).isin(*NOT_CALLS)
     styled = F.col("styled") | (F.col("type") != "applies_style")
-    used = bodies.select(F.col("id").alias("src"), text.rlike(STYLED).alias("styled"), F.inline(F.array_distinct(found))).where((F.col("target") != "") & ~call & styled).drop("styled")
+    used = bodies.select(F.col("id").alias("src"), text.rlike(STYLED).alias("styled"), F.inline(found)).where((F.col("target") != "") & ~call & styled).drop("styled")
     named = bodies.select(F.col("id").alias("dst"), "name", "qualified_name")
     full = used.join(named, F.col("target") == F.col("qualified_name")).select("src", "type", "target", "dst", F.lit(0).alias("tier"))
     short = used.join(named, F.substring_index("target", ".", -1) == F.col("name")).select("src", "type", "target", "dst", F.lit(1).alias("tier"))

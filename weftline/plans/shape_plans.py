@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import code as C
 from weftline.plans.registry import query
-from weftline.session import table
+from weftline.session import spread, table
 
 SHAPES = (
     "export class {a} extends {b} {",
@@ -41,7 +41,7 @@ def files(spark, sf_dir):
     """file, text: one a document, of its whole text."""
     words = F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))
     shapes = F.array(*(F.lit(x) for x in SHAPES))
-    named = table(spark, sf_dir, "documents").select("doc_id", F.transform(words, lambda w: F.lower(w)).alias("w"))
+    named = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.transform(words, lambda w: F.lower(w)).alias("w"))
 
     def line(i):
         out = F.element_at(shapes, (F.pmod(i * 5 + F.col("doc_id"), F.lit(len(SHAPES))) + 1).cast("int"))
