@@ -256,3 +256,14 @@ def test_repeats_of_mentions_are_told_apart_by_strings(spark):
     assert set(got) == {("a.js", "calls", f"{x}{i}") for x, n in (("f", 700), ("g", 900)) for i in range(n)} | {("a.js", "exports", "f1"), ("a.js", "exports", "f2")}
     plan = df._jdf.queryExecution().analyzed().toString()
     assert plan.count("array_distinct(") > 10 and "array_distinct(concat(transform" not in plan
+
+
+def test_a_long_file_is_read_once(spark, monkeypatch):
+    """Blocks of a file of 60,000 lines, by one pass over its lines: no frame is read anew for each line, and lines are ordered by file alone."""
+    kept = []
+    monkeypatch.setattr(C, "cut", lambda df: (kept.append(df._jdf.queryExecution().optimizedPlan().toString()), df.cache())[1])
+    text = "\n".join(f"class A{i} {{\n  go{i}() {{\n  }}\n}}\nfunction f{i}()" for i in range(12_000))
+    got = C.pattern_entities(spark.createDataFrame([("a.js", text)], "file string, text string"))
+    rows = {(r.qualified_name, r.start_line, r.end_line) for r in got.collect()}
+    assert rows == {x for i in range(12_000) for x in ((f"A{i}", 5 * i + 1, 5 * i + 4), (f"A{i}.go{i}", 5 * i + 2, 5 * i + 3), (f"f{i}", 5 * i + 5, 5 * i + 9 if i < 11_999 else 5 * i + 5))}
+    assert "currentrow$(), unboundedfollowing$()" not in kept[0] and kept[0].count("posexplode") == 1

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as X
 from weftline.operators.intervals import containing, innermost
+from weftline.session import cut
 
 # Patterns of definitions by kind, for each family of languages, in the order in which they are tried.
 DEFINITIONS = {
@@ -69,7 +70,8 @@ def pattern_entities(files: DataFrame) -> DataFrame:
     """T11, T12, J09. Definitions by the first line pattern that fits; a block ends on the first line on which, since the
     definition's, a brace has been opened and all are closed, comments aside (without one, on its own line).
 
-    A method's class is the narrowest one around it. Code files of no named language go by the patterns of "other";
+    A method's class is the narrowest one around it; what is found is kept in the shared folder, so that lines are not read
+    again for it. Code files of no named language go by the patterns of "other";
     Python files are read by python_entities.
     """
     lines = _numbered(files)
@@ -78,18 +80,21 @@ def pattern_entities(files: DataFrame) -> DataFrame:
     code = F.regexp_replace("line", "//.*$", "")
     count = lambda c: F.length(code) - F.length(F.replace(code, F.lit(c), F.lit("")))
     w = Window.partitionBy("file").orderBy("n")
+    # from the last line back: a frame that shrinks from the front would be read anew for each line
+    later = Window.partitionBy("file").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     depth = lines.select("file", "n", F.when(~F.col("line").rlike(_COMMENT), hit).alias("hit"), count("{").alias("opened"), (count("{") - count("}")).alias("step"))
-    level = F.sum("step").over(w)
-    first = F.first(F.when(F.col("opened") > 0, F.struct("n", "level")), ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    seen = depth.withColumn("level", level).withColumn("above", F.coalesce(F.lag("level").over(w), F.lit(0))).withColumn("open", first)
-    heads = seen.where("hit is not null").select("file", "hit.kind", "hit.name", F.col("n").alias("start_line"), "open", F.col("above").alias("base"))
+    seen = depth.withColumn("level", F.sum("step").over(w)).withColumn("base", F.coalesce(F.lag("level").over(w), F.lit(0).cast("long")))
+    seen = seen.withColumn("open", F.last(F.when(F.col("opened") > 0, F.struct("n", "level")), ignorenulls=True).over(later))
     # a block that its opening line does not close ends on the first line after it that falls to the level before it
-    falls = seen.where("level < above").select("file", F.explode(F.sequence("level", F.col("above") - 1)).alias("base"), "n", F.lit(False).alias("head"))
-    waiting = heads.where("open is not null and open.level > base").select("file", "base", F.col("open.n").alias("n"), F.lit(True).alias("head"), "kind", "name", "start_line")
-    back = Window.partitionBy("file", "base").orderBy(F.desc("n"), F.desc("head")).rowsBetween(Window.unboundedPreceding, -1)
-    late = waiting.unionByName(falls, allowMissingColumns=True).withColumn("end", F.last(F.when(~F.col("head"), F.col("n")), ignorenulls=True).over(back)).where("head")
-    at_once = heads.where("open is null or open.level <= base").select("file", "kind", "name", "start_line", F.coalesce("open.n", "start_line").alias("end_line"))
-    closed = at_once.unionByName(late.select("file", "kind", "name", "start_line", F.coalesce("end", "start_line").alias("end_line")))
+    waits = F.col("open").isNotNull() & (F.col("open.level") > F.col("base"))
+    head = F.struct("base", F.when(waits, F.col("open.n")).otherwise(F.col("n")).alias("at"), F.col("hit.kind").alias("kind"), F.col("hit.name").alias("name"), F.col("n").alias("start_line"), F.when(~waits, F.coalesce("open.n", "n")).alias("end_line"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("kind", "string"), ("name", "string"), ("start_line", "int"), ("end_line", "int"))]
+    falls = F.transform(F.sequence("level", F.col("base") - 1), lambda x: F.struct(x.alias("base"), F.col("n").alias("at"), *none))
+    # heads and falls of a line at once, so that lines are read and ordered once
+    marks = seen.select("file", F.explode(F.array_compact(F.flatten(F.array_compact(F.array(F.when(F.col("hit").isNotNull(), F.array(head)), F.when(F.col("level") < F.col("base"), falls)))))).alias("m")).select("file", "m.*")
+    back = Window.partitionBy("file", "base").orderBy(F.desc("at"), F.col("kind").isNull()).rowsBetween(Window.unboundedPreceding, -1)
+    ended = marks.withColumn("fall", F.last(F.when(F.col("kind").isNull(), F.col("at")), ignorenulls=True).over(back)).where("kind is not null")
+    closed = cut(ended.select("file", "kind", "name", "start_line", F.coalesce("end_line", "fall", "start_line").alias("end_line")))
     classes = closed.where("kind = 'class' and end_line > start_line").select("file", F.col("name").alias("class"), (F.col("start_line") + 1).alias("start"), F.col("end_line").alias("end"), (-F.col("start_line")).alias("pos"))
     owner = innermost(closed.where("kind = 'method'").select("file", F.col("start_line").alias("at")), classes, "file", ["file", "at"]).select("file", F.col("at").alias("start_line"), "class")
     named = closed.join(owner, ["file", "start_line"], "left")
