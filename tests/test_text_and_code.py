@@ -267,3 +267,44 @@ def test_a_long_file_is_read_once(spark, monkeypatch):
     rows = {(r.qualified_name, r.start_line, r.end_line) for r in got.collect()}
     assert rows == {x for i in range(12_000) for x in ((f"A{i}", 5 * i + 1, 5 * i + 4), (f"A{i}.go{i}", 5 * i + 2, 5 * i + 3), (f"f{i}", 5 * i + 5, 5 * i + 9 if i < 11_999 else 5 * i + 5))}
     assert "currentrow$(), unboundedfollowing$()" not in kept[0] and kept[0].count("posexplode") == 1
+
+
+def test_calls_are_read_once(spark):
+    """Odd texts: what is found in a file's calls is what each pattern finds in its whole text, and only the rest reads that."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(7)
+    parts = ["a", "b$", "$c", "\u00e9", "\u0301", "9", "_", "use", "useX", "setState", "setA", "this", ".", ".", ".", "(", "(", "(", " ", "\n", "\r", "\t", "getState", "dispatch", "emit", ".on", "state", "selectA", "new ", "import(", "'x'", "require(", "as T", "useContext(C)", "class K ", "element = {<P", "useSyncExternalStore"]
+    texts = spark.createDataFrame([(f"f{i}.js", "".join(rng.choice(parts) for _ in range(80))) for i in range(400)], "file string, text string")
+    got = C.mentions(texts)
+    each = [F.struct(F.lit(k).alias("type"), F.regexp_extract_all("text", F.lit(p), F.lit(1)).alias("found")) for k in C.RELATIONS for p in C.RELATIONS[k]]
+    alone = texts.select("file", F.inline(F.array(*each))).select("file", "type", F.explode("found").alias("target")).distinct()
+    alone = alone.where("target <> ''").where((F.col("type") != "calls") | ~F.substring_index("target", ".", 1).isin(*C.NOT_CALLS)).where("type <> 'uses_style'")
+    lists = ("exports", "implements", "uses_style")
+    expected = {tuple(r) for r in alone.collect() if r.type not in lists}
+    assert {tuple(r) for r in got.collect() if r.type not in lists} == expected and len({t for _, t, _ in expected}) > 9
+    assert got._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(called") == 9
+
+
+def test_what_a_file_has_of_its_own_is_found_once(spark, monkeypatch):
+    """The language is told once a file, not a line, and the words of a document are taken once, not for a filter too."""
+    from weftline.plans import shape_plans
+
+    kept = []
+    monkeypatch.setattr(C, "cut", lambda df: (kept.append(df._jdf.queryExecution().optimizedPlan().toString()), df.cache())[1])
+    C.pattern_entities(spark.createDataFrame([("a.js", "class A {\n}")], "file string, text string"))
+    assert "lower(file" not in kept[0].split("posexplode")[0] and "lower(file" in kept[0]
+    plan = shape_plans.files(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1
+
+
+def test_references_meet_their_file_once(spark):
+    """Own full name, own short name, anywhere, own file; by an exchange a name, one of names and one a file."""
+    entities = spark.createDataFrame([("a", "run", "K.run"), ("a", "run", "B.run"), ("b", "run", "run"), ("b", "go", "go")], "file string, name string, qualified_name string")
+    asked = [("a", "calls", "K.run"), ("a", "calls", "x.run"), ("a", "calls", "y.run"), ("a", "calls", "go"), ("a", "exports", "go"), ("a", "uses_hook", "useX"), ("a", "uses_hook", "useY"), ("b", "renders", "K.run"), ("c", "calls", "run"), ("c", "renders", "No")]
+    edges = C.symbol_edges(spark.createDataFrame(asked, "file string, type string, target string"), entities)
+    got = [tuple(r) for r in edges.select("src", "dst", "type").collect()]
+    assert sorted(got) == [("a", "a", "uses_hook"), ("a", "a::B.run", "calls"), ("a", "a::K.run", "calls"), ("a", "b::go", "calls"), ("b", "b::run", "renders"), ("c", "a::B.run", "calls")]
+    assert edges._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 3

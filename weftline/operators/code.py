@@ -6,6 +6,8 @@ Files are rows (file, text); entities are (file, kind, name, qualified_name, sta
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,10 +62,20 @@ def _numbered(files: DataFrame) -> DataFrame:
     return files.select("file", X.language_of(F.col("file")).alias("lang"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "line")).withColumn("n", F.col("n") + 1)
 
 
+def _led(pattern: str) -> str:
+    """The same pattern, with a word that it begins with before the test of that word's boundary, or a choice's first letter.
+
+    Java tests boundaries and choices slowly, and would do so at every sign.
+    """
+    pattern = re.sub(r"^\(\?:import\|export\)", "[ei](?:(?<=i)mport|(?<=e)xport)", pattern)
+    led = re.match(r"\\b([A-Za-z]+)(?=\\[sb(]|[ (])", pattern)
+    return f"{led[1]}(?<=\\b{led[1]}){pattern[led.end() :]}" if led else pattern
+
+
 def _first_pattern(patterns: tuple[tuple[str, str], ...]) -> Column:
-    """Kind and name by the first pattern that fits with a name that is no keyword."""
-    found = [(k, F.regexp_extract("line", p, 1)) for k, p in patterns]
-    return F.coalesce(*(F.when((name != "") & ~name.isin(*KEYWORDS), F.struct(F.lit(k).alias("kind"), name.alias("name"))) for k, name in found))
+    """Kind and name, with a blank between them, by the first pattern that fits with a name that is no keyword."""
+    one = lambda p: F.get(F.filter(F.array(F.regexp_extract("line", _led(p), 1)), lambda x: ~x.isin("", *KEYWORDS)), 0)
+    return F.coalesce(*(F.concat(F.lit(f"{k} "), one(p)) for k, p in patterns))
 
 
 def pattern_entities(files: DataFrame) -> DataFrame:
@@ -74,27 +86,32 @@ def pattern_entities(files: DataFrame) -> DataFrame:
     again for it. Code files of no named language go by the patterns of "other";
     Python files are read by python_entities.
     """
-    lines = _numbered(files)
-    family = F.when(F.col("lang").isin("javascript", "typescript"), "javascript").when(F.col("lang") == "java", "java").when((F.col("lang") == "") & X.is_code_path(F.col("file")), "other")
-    hit = F.coalesce(*(F.when(family == name, _first_pattern(DEFINITIONS[name])) for name in ("javascript", "java", "other")))
-    code = F.regexp_replace("line", "//.*$", "")
-    count = lambda c: F.length(code) - F.length(F.replace(code, F.lit(c), F.lit("")))
-    w = Window.partitionBy("file").orderBy("n")
-    # from the last line back: a frame that shrinks from the front would be read anew for each line
+    lang = X.language_of(F.col("file"))
+    family = F.when(lang.isin("javascript", "typescript"), "javascript").when(lang == "java", "java").when((lang == "") & X.is_code_path(F.col("file")), "other")
+    # the family once a file, not a line; files of none define nothing here
+    known = files.select("file", family.alias("family"), F.coalesce("text", F.lit("")).alias("text")).where("family is not null")
+    lines = known.select("file", "family", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    hit = F.coalesce(*(F.when(F.col("family") == name, _first_pattern(DEFINITIONS[name])) for name in ("javascript", "java", "other")))
+    code = F.when(F.contains("line", F.lit("//")), F.regexp_replace("line", "//.*$", "")).otherwise(F.col("line"))
+    count = lambda c: F.octet_length("code") - F.octet_length(F.replace("code", F.lit(c), F.lit("")))
+    # from the last line back: a frame that shrinks from the front would be read anew for each line; levels, which are
+    # compared within a file only, count from its end
     later = Window.partitionBy("file").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    depth = lines.select("file", "n", F.when(~F.col("line").rlike(_COMMENT), hit).alias("hit"), count("{").alias("opened"), (count("{") - count("}")).alias("step"))
-    seen = depth.withColumn("level", F.sum("step").over(w)).withColumn("base", F.coalesce(F.lag("level").over(w), F.lit(0).cast("long")))
+    read = lines.select("file", (F.col("n") + 1).alias("n"), F.when(~F.col("line").rlike(_COMMENT), hit).alias("hit"), code.alias("code"))
+    depth = read.select("file", "n", "hit", count("{").alias("opened"), (count("{") - count("}")).alias("step"))
+    seen = depth.withColumn("base", -F.sum("step").over(later)).withColumn("level", F.col("base") + F.col("step"))
     seen = seen.withColumn("open", F.last(F.when(F.col("opened") > 0, F.struct("n", "level")), ignorenulls=True).over(later))
     # a block that its opening line does not close ends on the first line after it that falls to the level before it
     waits = F.col("open").isNotNull() & (F.col("open.level") > F.col("base"))
-    head = F.struct("base", F.when(waits, F.col("open.n")).otherwise(F.col("n")).alias("at"), F.col("hit.kind").alias("kind"), F.col("hit.name").alias("name"), F.col("n").alias("start_line"), F.when(~waits, F.coalesce("open.n", "n")).alias("end_line"))
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("kind", "string"), ("name", "string"), ("start_line", "int"), ("end_line", "int"))]
+    head = F.struct("base", F.when(waits, F.col("open.n")).otherwise(F.col("n")).alias("at"), "hit", F.col("n").alias("start_line"), F.when(~waits, F.coalesce("open.n", "n")).alias("end_line"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("hit", "string"), ("start_line", "int"), ("end_line", "int"))]
     falls = F.transform(F.sequence("level", F.col("base") - 1), lambda x: F.struct(x.alias("base"), F.col("n").alias("at"), *none))
     # heads and falls of a line at once, so that lines are read and ordered once
     marks = seen.select("file", F.explode(F.array_compact(F.flatten(F.array_compact(F.array(F.when(F.col("hit").isNotNull(), F.array(head)), F.when(F.col("level") < F.col("base"), falls)))))).alias("m")).select("file", "m.*")
-    back = Window.partitionBy("file", "base").orderBy(F.desc("at"), F.col("kind").isNull()).rowsBetween(Window.unboundedPreceding, -1)
-    ended = marks.withColumn("fall", F.last(F.when(F.col("kind").isNull(), F.col("at")), ignorenulls=True).over(back)).where("kind is not null")
-    closed = cut(ended.select("file", "kind", "name", "start_line", F.coalesce("end_line", "fall", "start_line").alias("end_line")))
+    back = Window.partitionBy("file", "base").orderBy(F.desc("at"), F.col("hit").isNull()).rowsBetween(Window.unboundedPreceding, -1)
+    ended = marks.withColumn("fall", F.last(F.when(F.col("hit").isNull(), F.col("at")), ignorenulls=True).over(back)).where("hit is not null")
+    kind, name = (F.substring_index("hit", " ", i) for i in (1, -1))
+    closed = cut(ended.select("file", kind.alias("kind"), name.alias("name"), "start_line", F.coalesce("end_line", "fall", "start_line").alias("end_line")))
     classes = closed.where("kind = 'class' and end_line > start_line").select("file", F.col("name").alias("class"), (F.col("start_line") + 1).alias("start"), F.col("end_line").alias("end"), (-F.col("start_line")).alias("pos"))
     owner = innermost(closed.where("kind = 'method'").select("file", F.col("start_line").alias("at")), classes, "file", ["file", "at"]).select("file", F.col("at").alias("start_line"), "class")
     named = closed.join(owner, ["file", "start_line"], "left")
@@ -227,15 +244,48 @@ NOT_CALLS = ("if", "for", "while", "switch", "catch", "return", "typeof", "insta
 OWN_FILE = ("implements", "uses_hook", "type_uses", "reads_state", "writes_state", "subscribes_to", "dispatches", "provides_context", "consumes_context", "routes_to")
 
 
+#: Patterns of calls of a name or of a property (X.name), which are looked for in the file's calls.
+_PROPERTY = r"\b([A-Za-z_$][\w$]*)\."
+_CALLS = r"\b([A-Za-z_$][\w$]*+(?:\.[A-Za-z_$][\w$]*+)?+)\s*+\("
+#: Patterns that stay on a line that begins with export.
+_EXPORTS = r"(?m)^[ \t]*export[ \t]"
+# What a text has in it if a pattern fits that few texts have.
+_NEEDED = {_PROPERTY + "state": ".state", r"\bimport\(": "import(", r"require\(": "require(", r"\buseContext": "useContext", r"\bcomponent": "component", r"\belement": "element", r"\brender": "render"}
+
+
 def mentions(files: DataFrame) -> DataFrame:
-    """T18. file, type, target: distinct targets of every relation in every file."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lists = {k: [_names(text, p)] for k, p in LISTS.items()}
-    rows = files.select("file", F.inline(_distinct({k: [*_found(text, RELATIONS.get(k, ())), *lists.get(k, [])] for k in {**RELATIONS, **LISTS}})))
+    """T18. file, type, target: distinct targets of every relation in every file.
+
+    What ends in a call is found in the file's calls (name or owner.name), which are read from the text once.
+    """
+    read = files.select("file", F.coalesce("text", F.lit("")).alias("text"))
+    read = read.withColumn("calls", F.array_distinct(F.regexp_extract_all("text", F.lit(_CALLS), F.lit(1))))
+    read = read.withColumn("exported", F.array_join(F.regexp_extract_all("text", F.lit(r"(?m)^[ \t]*export[^\n]*"), F.lit(0)), "\n"))
+    read = read.withColumn("called", F.concat(F.array_join("calls", "(\n"), F.lit("(")))
+    found = {k: [_mentioned(p) for p in RELATIONS.get(k, ())] + [_names(F.col("exported" if p.startswith(_EXPORTS) else "text"), p) for p in [LISTS.get(k)] if p] for k in {**RELATIONS, **LISTS}}
+    rows = read.select("file", F.inline(_distinct(found)))
     call = (F.col("type") == "calls") & F.substring_index("target", ".", 1).isin(*NOT_CALLS)
     return rows.where((F.col("target") != "") & ~call & ((F.col("type") != "uses_style") | F.col("target").rlike(r"\.s?css$")))
 
 
+def _mentioned(pattern: str) -> Column:
+    """What a pattern of RELATIONS finds in text, of which calls, called (each with its bracket, one a line) and exported (its
+    lines that begin with export) are known.
+
+    A call is the longest name, with its owner if it has one, before a bracket. So a pattern of one that ends in the bracket
+    fits an end of a call, and one that begins with the owner fits whole calls.
+    """
+    if pattern in RELATIONS["calls"]:
+        return F.col("calls")
+    if pattern.startswith((_PROPERTY, r"\b(")) and pattern.endswith(r"\s*\("):
+        return F.regexp_extract_all("called", F.lit(f"(?m)^{pattern[2:]}" if pattern.startswith(_PROPERTY) else pattern), F.lit(1))
+    if pattern.startswith(_EXPORTS):
+        return F.regexp_extract_all("exported", F.lit(pattern), F.lit(1))
+    needed = next((x for start, x in _NEEDED.items() if pattern.startswith(start)), None)
+    found = F.regexp_extract_all("text", F.lit(_led(pattern)), F.lit(1))
+    return F.when(F.contains("text", F.lit(needed)), found).otherwise(F.array().cast("array<string>")) if needed else found
+
+
 def _found(text: Column, patterns: tuple[str, ...]) -> list[Column]:
     return [F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns]
 
@@ -259,17 +309,17 @@ def symbol_edges(references: DataFrame, entities: DataFrame) -> DataFrame:
     In order: the own file by full name, by short name; the only one anywhere by short name; then the first anywhere by
     id; an export is of the own file. Relations in OWN_FILE that find nothing point at the file itself, others are dropped.
     """
-    e = entities.select("file", "qualified_name", F.col("name").alias("short"), X.entity_id(F.col("file"), F.col("qualified_name")).alias("id"))
-    r = references.select("file", "type", "target", F.substring_index("target", ".", -1).alias("short")).distinct()
-    # one row a name of a file, and one a name anywhere: no name meets all files that have it
-    own = e.groupBy("file", "short").agg(F.min("id").alias("near"))
-    full = e.groupBy("file", F.col("qualified_name").alias("target")).agg(F.min("id").alias("exact"))
-    anywhere = e.groupBy("short").agg(F.min("id").alias("far"))
-    told = r.join(full, ["file", "target"], "left").join(own, ["file", "short"], "left").join(anywhere, "short", "left")
-    exact = F.when(F.col("near").isNotNull(), F.col("exact"))
-    best = F.coalesce(exact, "near", F.when(F.col("type") != "exports", F.col("far")), F.when(F.col("type").isin(*OWN_FILE), F.col("file")))
-    kept = told.select("file", "type", best.alias("dst")).where("dst is not null")
-    return kept.select(F.col("file").alias("src"), "dst", "type").distinct()
+    short = F.col("name").alias("short")
+    # one row a name anywhere: no name meets all files that have it
+    anywhere = entities.groupBy(short).agg(F.min(X.entity_id(F.col("file"), F.col("qualified_name"))).alias("far"))
+    asked = references.select("file", "type", "target", F.substring_index("target", ".", -1).alias("short")).join(anywhere, "short", "left")
+    known = entities.select("file", F.lit(None).cast("string").alias("type"), F.col("qualified_name").alias("target"), short, F.lit(None).cast("string").alias("far"))
+    # what is asked and what is known of a file meet in one exchange and one order, which serve the last distinct, too
+    both = asked.select(*known.columns).unionByName(known).repartition("file").withColumn("w_key", F.xxhash64("file", "short"))
+    own, name = F.when(F.col("type").isNull(), F.col("target")), ("w_key", "file", "short")  # numbers are ordered faster than the like names of files
+    told = both.withColumn("exact", F.min(own).over(Window.partitionBy(*name, "target"))).withColumn("near", F.min(own).over(Window.partitionBy(*name)))
+    best = F.coalesce(X.entity_id(F.col("file"), F.coalesce("exact", "near")), F.when(F.col("type") != "exports", F.col("far")), F.when(F.col("type").isin(*OWN_FILE), F.col("file")))
+    return told.where("type is not null").select(F.col("file").alias("src"), best.alias("dst"), "type").where("dst is not null").distinct()
 
 
 def import_edges(files: DataFrame) -> DataFrame:

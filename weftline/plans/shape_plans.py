@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from weftline.operators import code as C
 from weftline.plans.registry import query
-from weftline.session import spread, table
+from weftline.session import cut, spread, table
 
 SHAPES = (
     "export class {a} extends {b} {",
@@ -37,22 +39,32 @@ SHAPES = (
 _SUFFIXES = ("js", "ts", "java", "go", "rs", "md")
 
 
+def _pieces(shape: str):
+    """Structs before, word, upper: what stands before each of a line's words, and which word it is; the last without one."""
+    parts = [*re.split(r"\{([A-Da-d])\}", shape), None]
+    for before, letter in zip(parts[::2], parts[1::2], strict=True):
+        word = F.lit(letter and "abcd".index(letter.lower())).cast("int")
+        yield F.struct(F.lit(before).alias("before"), word.alias("word"), F.lit(bool(letter and letter.isupper())).alias("upper"))
+
+
 def files(spark, sf_dir):
     """file, text: one a document, of its whole text."""
-    words = F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))
-    shapes = F.array(*(F.lit(x) for x in SHAPES))
-    named = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.transform(words, lambda w: F.lower(w)).alias("w"))
+    words = F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)), lambda w: F.lower(w))
+    shapes = F.array(*(F.array(*_pieces(x)) for x in SHAPES))
+    # no filter on the words, which would go below and take them from the text once more
+    named = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(F.filter(F.array(words), lambda w: F.size(w) >= 4)).alias("w"))
 
     def line(i):
-        out = F.element_at(shapes, (F.pmod(i * 5 + F.col("doc_id"), F.lit(len(SHAPES))) + 1).cast("int"))
-        for k, letter in enumerate("abcd"):
-            word = F.get("w", i * 4 + k)
-            out = F.replace(F.replace(out, F.lit(f"{{{letter}}}"), word), F.lit(f"{{{letter.upper()}}}"), F.initcap(word))
-        return out
+        def piece(p):
+            word = F.get("w", i * 4 + p["word"])
+            return F.concat_ws("", p["before"], F.when(p["upper"], F.concat(F.upper(F.left(word, F.lit(1))), F.substring(word, 2, 1 << 30))).otherwise(word))
+
+        form = F.element_at(shapes, (F.pmod(i * 5 + F.col("doc_id"), F.lit(len(SHAPES))) + 1).cast("int"))
+        return F.array_join(F.transform(form, piece), "")
 
     lines = F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / 4).cast("int") - 1), line)
     name = F.concat(F.lit("d"), "doc_id", F.lit("."), F.element_at(F.array(*(F.lit(x) for x in _SUFFIXES)), (F.pmod("doc_id", F.lit(len(_SUFFIXES))) + 1).cast("int")))
-    return named.where("size(w) >= 4").select(name.alias("file"), F.array_join(lines, "\n").alias("text"))
+    return named.select(name.alias("file"), F.array_join(lines, "\n").alias("text"))
 
 
 def _sql_line() -> str:
@@ -131,5 +143,5 @@ select distinct src, dst, type from told where dst is not null"""
 )
 def code_symbols_of_shapes(spark, sf_dir):
     """These relations resolved to entities, in the own file first."""
-    f = files(spark, sf_dir)
+    f = cut(files(spark, sf_dir))  # read twice
     return C.symbol_edges(C.mentions(f), C.pattern_entities(f)).select("src", "dst", "type")
