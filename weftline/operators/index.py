@@ -1,6 +1,6 @@
 """A stored inverted index: block-max postings, bucketed by term, appended to by batches.
 
-A batch's documents, in their order, form ranges of RANGE. A
+A batch's documents, in their order (those of one part beside each other, if the index has parts), form ranges of RANGE. A
 block holds a term's postings in one range (and in one part of the corpus): an array of one number each, tf * RANGE + slot,
 and beside it what a search needs first, the number of documents, occurrences, and the largest tf and least dl. What a slot
 of a range stands for, (doc_id, dl), is told once, by the block of WHOLE. So counts and bounds read no postings, and a search
@@ -185,6 +185,8 @@ def _packing() -> tuple[Callable, Callable]:
 
 def _write(docs: DataFrame, path: str, batch: int, parts: list[str], buckets: int) -> None:
     texts = spread(docs.select("doc_id", *parts, "text"))
+    if parts:
+        texts = texts.sortWithinPartitions(*parts)
     # the number of the batch is in the range before texts move by it: a sum made afterwards would move all postings anew
     placed = texts.withColumn("range", F.shiftright(F.monotonically_increasing_id(), RANGE.bit_length() - 1) + F.lit(batch << 48))
     # texts move to their ranges, so that their tokens and postings need not
