@@ -198,7 +198,8 @@ def _write(docs: DataFrame, path: str, batch: int, parts: list[str], buckets: in
     doc = F.when(F.col("term") == WHOLE, F.struct("slot", "doc_id", "dl"))
     posting = F.col("tf") * RANGE + F.col("slot")
     made = tf.groupBy(*parts, "term", "range").agg(F.sum(F.col("tf") * F.col("dl")).alias("total"), F.min("dl").alias("min_dl"), F.sort_array(F.collect_list(posting)).alias("postings"), F.collect_list(doc).alias("docs"))
-    moved = made.withColumn("docs", F.when(F.col("term") == WHOLE, F.col("docs"))).withColumn("bucket", _bucket(F.col("term"), buckets))
+    # docs are empty but not null elsewhere: of a column of null lists, Arrow's size is counted anew from the last list for each row
+    moved = made.withColumn("bucket", _bucket(F.col("term"), buckets))
     # the blocks of a frequent term, which are many, go to several files of its bucket; what the postings tell is counted where they arrive
     pack, unpack = _packing()
     pages = moved.mapInArrow(pack, "bucket int, lot int, page binary").repartition(tasks, "bucket", "lot")
